@@ -53,7 +53,13 @@ from sealyard.operators.rules import (
     write_violations,
 )
 from sealyard.plans.contract import ReleaseContract
-from sealyard.plans.publish import publish_release, stage_release
+from sealyard.plans.publish import (
+    create_registry,
+    publish_folder,
+    publish_release,
+    read_upload_listings,
+    stage_release,
+)
 from sealyard.plans.validate import validate_folder, validate_releases
 from sealyard.session import configure, materialise, shared_folder
 from sealyard.sources.archives import list_archives

@@ -18,8 +18,8 @@ from sealyard import (
     verify_digests as verify,
     violations,
 )
-from sealyard.bindings import query, table
-from sealyard.operators.digests import asset_facts, asset_rules
+from sealyard.bindings import query, table, wide_table
+from sealyard.operators.digests import asset_rules
 from sealyard.operators.digests import sidecar_matches as says
 from sealyard.plans.publish import upload_violations
 from sealyard.session import configure
@@ -173,9 +173,8 @@ def verify_digests(spark, sf_dir):
 def asset_present(spark, sf_dir):
     name = F.concat(F.lit("doc-"), F.col("doc_id")).alias("name")
     expected = table(spark, sf_dir, "documents").select("doc_id", name)
-    found = table(spark, sf_dir, "labels").select("doc_id", name, F.lit("-").alias("sha256"))
-    empty = found.select("doc_id", "name", F.array("sha256").alias("fields"))
-    facts = asset_facts(expected, found, empty, ["doc_id"]).withColumn("item_pos", F.lit(0))
+    found = table(spark, sf_dir, "labels").select("doc_id", name, F.lit(True).alias("_present"))
+    facts = expected.join(found, ["doc_id", "name"], "left").withColumn("item_pos", F.lit(0))
     rule = next(r for r in asset_rules() if r.name == "asset_present")
     return violations(facts, ["doc_id"], [rule]).select("doc_id", "rule", "message")
 
@@ -205,7 +204,7 @@ def scan_models(spark, sf_dir):
     model = F.transform(
         F.split("p_name", " "), lambda w: F.struct(w.alias("id"), F.col("p_size").alias("n"))
     )
-    manifests = table(spark, sf_dir, "part").select(
+    manifests = wide_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(
         "p_partkey", F.to_json(F.struct(model.alias("models"))).alias("raw")
     )
     return models_of(manifests, ["p_partkey"]).select(

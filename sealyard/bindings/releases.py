@@ -19,7 +19,7 @@ from sealyard import (
     stage_release as stage,
     validate_releases as validate,
 )
-from sealyard.bindings import query, table
+from sealyard.bindings import query, table, wide_table
 from sealyard.operators.digests import asset_facts, asset_rules, content_digest
 from sealyard.operators.digests import digest_files as digests_below
 from sealyard.plans.contract import MODEL_KEYS
@@ -119,7 +119,10 @@ def pack(text: str, base: str, fault: str | None) -> bytes:
         }.get(fault)
         if extra:
             add(*extra)
-    return target.getvalue()
+    whole = target.getvalue()
+    if fault == "headless":
+        return whole[2:]
+    return whole[: len(whole) // 2] if fault == "cut" else whole
 
 
 def packed_documents(documents, base, fault):
@@ -138,6 +141,9 @@ def packed_documents(documents, base, fault):
     ).mapInPandas(build, "doc_id bigint, base string, fault string, content binary")
 
 
+_PACKED = ["doc_id", "text", "lang", "source"]
+
+
 def _base():
     return F.concat(F.lit("pack-1.0."), F.col("doc_id"), F.lit("-any-x64"))
 
@@ -154,22 +160,16 @@ _MEMBERS = """
 
 @query(_MEMBERS)
 def list_archives(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
+    documents = wide_table(spark, sf_dir, "documents", *_PACKED)
     packed = packed_documents(documents, _base(), F.lit(None).cast("string"))
     return list_of(packed, ["doc_id"], content="content")
 
 
 @query("SELECT doc_id, lang NOT IN ('de', 'es') AS ok FROM documents")
 def archive_readable(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    packed = packed_documents(documents, _base(), F.lit(None).cast("string"))
-    damaged = packed.join(documents.select("doc_id", "lang"), "doc_id").select(
-        "doc_id",
-        F.when(F.col("lang") == "de", F.substring("content", 3, 1 << 30))
-        .when(F.col("lang") == "es", F.expr("substring(content, 1, length(content) div 2)"))
-        .otherwise(F.col("content"))
-        .alias("content"),
-    )
+    damage = F.when(F.col("lang") == "de", "headless").when(F.col("lang") == "es", "cut")
+    documents = wide_table(spark, sf_dir, "documents", *_PACKED)
+    damaged = packed_documents(documents, _base(), damage)
     listing = read_bytes_once(damaged, ["doc_id"], True, "content")
     return digests_of(listing, ["doc_id"]).select("doc_id", F.col("error").isNull().alias("ok"))
 
@@ -243,7 +243,7 @@ def document_releases(spark, sf_dir):
     names = F.array(*[F.lit(name) for name, _, _ in FAULTS])
     number = F.expr(_FAULT_NUMBER)
     fault = F.when(number.between(1, len(FAULTS)), F.get(names, number - 1))
-    documents = table(spark, sf_dir, "documents")
+    documents = wide_table(spark, sf_dir, "documents", *_PACKED)
     packed = materialise(
         packed_documents(documents, _base(), fault).select(
             F.col("doc_id").alias("release_id"), "base", "fault", "content"
@@ -283,7 +283,9 @@ def document_releases(spark, sf_dir):
     images = images.select("release_id", image.alias("name"), "sha256", "number")
     missing_image = [i + 1 for i, f in enumerate(FAULTS) if f[0] == "no_image"]
     present = images.where(~F.col("number").isin(*missing_image)).drop("number")
-    assets = archives.unionByName(present.withColumn("error", F.lit(None).cast("string")))
+    assets = archives.drop("length").unionByName(
+        present.withColumn("error", F.lit(None).cast("string"))
+    )
     archive_claim = described.where(~(fault == "no_sidecar") | fault.isNull()).select(
         "release_id",
         name.alias("name"),
@@ -466,7 +468,7 @@ def stage_release(spark, sf_dir):
 @query()
 def scan_manifests(spark, sf_dir):
     registry, _, _ = _staged_files(spark, sf_dir)
-    return manifests_below(spark, f"{registry}/files")
+    return manifests_below(spark, f"{registry}/files").select("release_id", "raw")
 
 
 @query()

@@ -27,7 +27,7 @@ from sealyard import (
     violations,
     write_violations as store,
 )
-from sealyard.bindings import query, table
+from sealyard.bindings import query, table, wide_table
 from sealyard.functions.documents import json_document
 from sealyard.functions.text import base_name, parent_name, split_fields, strip_slashes
 from sealyard.operators.rules import first_broken as first_broken_of
@@ -101,7 +101,7 @@ def equals_constant(spark, sf_dir):
 """)
 def required_keys(spark, sf_dir):
     configure(spark)
-    events = table(spark, sf_dir, "events")
+    events = wide_table(spark, sf_dir, "events", "event_id", "props")
     return required_keys_of_text(events, ["event_id"], F.col("props"), ["k", "revision"])
 
 
@@ -114,7 +114,7 @@ _FLAG_JSON = """CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN '"true
     FROM (SELECT event_id, {_FLAG_JSON} AS flag FROM events)
 """)
 def strict_true(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(
+    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_FLAG_JSON)).alias("flag")
     )
     return events.select("event_id", is_true(F.col("flag")).alias("ok"))
@@ -131,7 +131,7 @@ _SERVER_JSON = """CASE event_type WHEN 'click' THEN '{}' WHEN 'view' THEN '[1]'
 """)
 def nonempty_object(spark, sf_dir):
     configure(spark)
-    events = table(spark, sf_dir, "events").select(
+    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_SERVER_JSON)).alias("server")
     )
     return events.select("event_id", filled_object(F.col("server")).alias("ok"))
@@ -143,7 +143,7 @@ def nonempty_object(spark, sf_dir):
 """)
 def nonempty_array(spark, sf_dir):
     configure(spark)
-    events = table(spark, sf_dir, "events").select(
+    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_SERVER_JSON)).alias("items")
     )
     return events.select("event_id", filled_array(F.col("items")).alias("ok"))
@@ -159,7 +159,7 @@ _MANIFEST_TEXT = """CASE event_type WHEN 'click' THEN props || ' x' WHEN 'view'
 """)
 def manifest_readable(spark, sf_dir):
     configure(spark)
-    events = table(spark, sf_dir, "events").select(
+    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
         "event_id", F.expr(_MANIFEST_TEXT).alias("raw")
     )
     return events.select("event_id", readable(F.col("raw")).alias("ok"))

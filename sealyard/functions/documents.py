@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sealyard.functions.text import array_of
+
 # NaN and the infinities are accepted, single-quoted strings are not.
 _OPTIONS = {"allowSingleQuotes": "false"}
 
@@ -13,15 +15,16 @@ def json_document(raw: Column) -> Column:
     """The one JSON value a text holds, or NULL when it is not exactly one value.
 
     The parser stops after the first complete value, so text behind it would go
-    unseen. Parsing the text once as the sole array item and once as the sole
-    object value rules that out: nothing but blanks can follow in both.
+    unseen. The text is therefore read once as array item and once as object value.
+    Whatever follows the value breaks one of the two: a bracket ends only one of
+    them, and after a comma the one wants a value, the other a key with a colon. An
+    empty text is no object value. Each parse is referred to once, as an expression
+    used twice in a conditional would be evaluated twice.
     """
     as_item = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "variant", _OPTIONS)
     as_value = F.from_json(F.concat(F.lit('{"k":'), raw, F.lit("}")), "variant", _OPTIONS)
     items = F.try_variant_get(as_item, "$", "array<variant>")
-    return F.when(
-        F.is_valid_utf8(raw) & as_value.isNotNull() & (F.size(items) == 1), F.get(items, 0)
-    )
+    return F.when(F.is_valid_utf8(raw) & as_value.isNotNull(), F.get(items, 0))
 
 
 def object_fields(value: Column) -> Column:
@@ -29,6 +32,11 @@ def object_fields(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
+def key_list(fields: Column) -> Column:
+    """The keys of an object's members, none when there is no object."""
+    return F.coalesce(F.map_keys(fields), F.expr("CAST(array() AS array<string>)"))
+
+
 def array_items(value: Column) -> Column:
     """The items of a JSON array; NULL for every other JSON type."""
     return F.try_variant_get(value, "$", "array<variant>")
@@ -51,12 +59,6 @@ def whole_number(value: Column) -> Column:
     return F.when(numeric & (F.try_variant_get(value, "$", "double") == number), number)
 
 
-def array_of(values) -> Column:
-    """A literal array of strings."""
-    return F.array(*[F.lit(v) for v in values])
-
-
 def missing_keys(fields: Column, keys) -> Column:
     """Those of ``keys`` an object lacks, in order; all of them when it is no object."""
-    present = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
-    return F.array_except(array_of(keys), present)
+    return F.array_except(array_of(keys), key_list(fields))

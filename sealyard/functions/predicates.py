@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sealyard.functions.documents import (
     array_items,
     json_document,
-    json_type,
     object_fields,
 )
 from sealyard.functions.text import path_parts
@@ -31,11 +30,8 @@ def equals_constant(column: Column, constant) -> Column:
 
 
 def strict_true(value: Column) -> Column:
-    """JSON ``true`` itself, not 1 and not the text "true"."""
-    return F.coalesce(
-        (json_type(value) == "BOOLEAN") & F.try_variant_get(value, "$", "boolean"),
-        F.lit(False),
-    )
+    """JSON ``true`` itself, not 1 and not the text "true", which prints with quotes."""
+    return F.coalesce(F.to_json(value) == "true", F.lit(False))
 
 
 def nonempty_object(value: Column) -> Column:

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
+def quoted(value: str) -> str:
+    """A text as SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def array_of(values) -> Column:
+    """A literal array of texts."""
+    return F.expr(f"array({', '.join(quoted(value) for value in values)})")
+
+
 def split_fields(text: Column) -> Column:
     """Words of a text, split at runs of Unicode white space, without empty ones."""
     return F.array_remove(F.split(text, _BLANKS), "")

@@ -35,7 +35,7 @@ def digest_files(
         .select(*columns, content_digest(F.col("content")).alias("sha256"))
     )
     long = scan_assets(spark, path, pattern).where(F.col("length") > limit)
-    in_chunks = read_bytes_once(balance_by_bytes(long), columns, archives=False)
+    in_chunks = read_bytes_once(balance_by_bytes(long), columns[:3], archives=False)
     return in_rows.unionByName(in_chunks.select(*columns, "sha256"))
 
 

@@ -18,11 +18,17 @@ def reject_existing(
     Of several candidates for one key the first by ``arrival`` counts; ``arrival``
     must tell candidates apart. Both sides shrink to one row per key before they
     meet, and the later arrivals are split off by the full candidate identity, so
-    no join sees a hot key.
+    no join sees a hot key. An outer join with a null test keeps that order of steps;
+    an anti join would be moved below the aggregation, onto all candidates.
     """
     key, arrival = list(key), list(arrival)
-    taken = releases.select(*key).distinct()
-    admitted = last_wins(candidates, key, arrival, earliest=True).join(taken, key, "left_anti")
+    taken = releases.select(*key).distinct().withColumn("_taken", F.lit(True))
+    admitted = (
+        last_wins(candidates, key, arrival, earliest=True)
+        .join(taken, key, "left")
+        .where(F.col("_taken").isNull())
+        .drop("_taken")
+    )
     identity = [*key, *[c for c in arrival if c not in key]]
     rejected = candidates.join(admitted.select(*identity), identity, "left_anti")
     return admitted, rejected

@@ -13,14 +13,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealyard.functions.documents import array_of, json_document, missing_keys, object_fields
+from sealyard.functions.documents import json_document, missing_keys, object_fields
+from sealyard.functions.text import array_of, quoted
+from sealyard.session import stored
 
 ORDER = ("phase", "item_pos", "rule_ord", "sub_pos")
 FINDING = (*ORDER, "rule", "message")
 
 
-def _column(value, kind: str) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
+def _column(value: Column | str | None) -> Column:
+    return value if isinstance(value, Column) else F.lit(value).cast("string")
 
 
 @dataclass(frozen=True, eq=False)
@@ -33,7 +35,7 @@ class Rule:
     message: Column | str | None = None
     phase: int = 1
     item_pos: Column | int = 0
-    sub_pos: Column | int = 0
+    sub_pos: int = 0
 
     @property
     def broken(self) -> Column:
@@ -41,23 +43,40 @@ class Rule:
 
     @property
     def finding(self) -> Column:
+        """The violation as a struct; what the rule itself fixes is one literal."""
+        fixed = (
+            f"named_struct('phase', {self.phase}, 'rule_ord', {self.ord}, "
+            f"'sub_pos', {self.sub_pos}, 'rule', {quoted(self.name)})"
+        )
+        if not isinstance(self.item_pos, Column) and not isinstance(self.message, Column):
+            message = "CAST(NULL AS string)" if self.message is None else quoted(self.message)
+            position = f"CAST({self.item_pos} AS bigint)"
+            return F.expr(
+                f"named_struct('fixed', {fixed}, 'item_pos', {position}, 'message', {message})"
+            )
+        position = self.item_pos if isinstance(self.item_pos, Column) else F.lit(self.item_pos)
         return F.struct(
-            F.lit(self.phase).cast("int").alias("phase"),
-            _column(self.item_pos, "bigint").alias("item_pos"),
-            F.lit(self.ord).cast("int").alias("rule_ord"),
-            _column(self.sub_pos, "int").alias("sub_pos"),
-            F.lit(self.name).alias("rule"),
-            _column(self.message, "string").alias("message"),
+            F.expr(f"{fixed} AS fixed"),
+            position.cast("bigint").alias("item_pos"),
+            _column(self.message).alias("message"),
         )
 
 
 def violations(df: DataFrame, key: Sequence[str], rules: Sequence[Rule]) -> DataFrame:
     """All violations of all rules, from one pass over ``df`` and without a shuffle."""
-    findings = F.array(*[F.when(rule.broken, rule.finding) for rule in rules])
+    findings = F.array(*[F.when(rule.holds, None).otherwise(rule.finding) for rule in rules])
     return (
         df.select(*key, F.explode(findings).alias("finding"))
-        .where(F.col("finding").isNotNull())
-        .select(*key, "finding.*")
+        .where("finding IS NOT NULL")
+        .selectExpr(
+            *[f"`{name}`" for name in key],
+            "finding.fixed.phase",
+            "finding.item_pos",
+            "finding.fixed.rule_ord",
+            "finding.fixed.sub_pos",
+            "finding.fixed.rule",
+            "finding.message",
+        )
     )
 
 
@@ -74,7 +93,9 @@ def required_keys(
     """
     return df.select(
         *key,
-        _column(item_pos, "bigint").alias("item_pos"),
+        (item_pos if isinstance(item_pos, Column) else F.lit(item_pos))
+        .cast("bigint")
+        .alias("item_pos"),
         F.explode(missing_keys(object_fields(column), keys)).alias("missing"),
     )
 
@@ -104,8 +125,7 @@ def missing_key_violations(
 
 def write_violations(found: DataFrame, path: str) -> DataFrame:
     """Store all violations as a table and go on from the stored rows."""
-    found.write.mode("errorifexists").parquet(path)
-    return found.sparkSession.read.schema(found.schema).parquet(path)
+    return stored(found, path)
 
 
 def gate(subjects: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -147,7 +167,7 @@ def first_violation(found: DataFrame, key: Sequence[str]) -> DataFrame:
 def first_broken(rules: Sequence[Rule], label: str = "name") -> Column:
     """The first broken rule of a row, in rule order, or NULL; needs no shuffle at all."""
     ordered = sorted(rules, key=lambda rule: (rule.phase, rule.ord))
-    pick = (lambda r: F.lit(r.name)) if label == "name" else (lambda r: _column(r.message, "string"))
+    pick = (lambda r: F.lit(r.name)) if label == "name" else (lambda r: _column(r.message))
     return F.coalesce(*[F.when(rule.broken, pick(rule)) for rule in ordered])
 
 

@@ -49,6 +49,10 @@ class ReleaseContract:
     entrypoint_role: str = "Entry point"
     client_name: str = "client"
 
+    @property
+    def product(self) -> str:
+        return self.base_prefix.rstrip("-")
+
     def base(self, version: Column) -> Column:
         return F.concat(F.lit(self.base_prefix), version, F.lit(self.base_suffix))
 

@@ -15,11 +15,21 @@ from pyspark.sql import functions as F
 
 from sealyard.functions.text import classify_channel
 from sealyard.operators.inventory import reconcile_inventory
+from sealyard.operators.registry import reject_existing
 from sealyard.operators.rules import Rule, violations
-from sealyard.sources.files import RELEASES_SCHEMA, balance_by_bytes, scan_releases
+from sealyard.plans.contract import ReleaseContract
+from sealyard.plans.validate import validate_folder
+from sealyard.session import materialise
+from sealyard.sources.files import (
+    RELEASES_SCHEMA,
+    balance_by_bytes,
+    scan_assets,
+    scan_releases,
+)
 from sealyard.sources.streams import copy_file
 
-UPLOADS_SCHEMA = "release_id string, tag string, upload_pos bigint, name string, size bigint, seq bigint"
+_LISTING = "release_id string, tag string, upload_pos bigint, name string, size bigint"
+UPLOADS_SCHEMA = f"{_LISTING}, seq bigint"
 _INDEX = ["release_id", "tag", "product", "channel", "arrival"]
 
 
@@ -103,17 +113,19 @@ def stage_release(
     wanted = files if content is not None else balance_by_bytes(files)
     columns = ["release_id", "tag", F.col("ord").cast("bigint").alias("ord"), "name"]
     uploaded = wanted.select(*columns, F.col(source).alias("_source")).mapInPandas(
-        upload, "release_id string, tag string, upload_pos bigint, name string, size bigint"
+        upload, _LISTING
     )
     return write_upload_listing(uploaded, registry, seq)
 
 
 def write_upload_listing(uploads: DataFrame, registry: str, seq: int) -> DataFrame:
     """Keep the observed listing for audit and go on from the stored rows."""
-    path = f"{registry}/uploads"
-    uploads.write.mode("errorifexists").parquet(f"{path}/seq={seq}")
-    read = uploads.sparkSession.read.schema(UPLOADS_SCHEMA).parquet(path)
-    return read.where(F.col("seq") == seq)
+    uploads.write.mode("errorifexists").parquet(f"{registry}/uploads/seq={seq}")
+    return read_upload_listings(uploads.sparkSession, registry).where(F.col("seq") == seq)
+
+
+def read_upload_listings(spark: SparkSession, registry: str) -> DataFrame:
+    return spark.read.schema(UPLOADS_SCHEMA).parquet(f"{registry}/uploads")
 
 
 def publish_release(releases: DataFrame, faults: DataFrame, registry: str, seq: int) -> DataFrame:
@@ -136,3 +148,37 @@ def index_rows(admitted: DataFrame, product: Column, arrival: Column) -> DataFra
         classify_channel(F.col("tag")).alias("channel"),
         arrival.cast("bigint").alias("arrival"),
     )
+
+
+def publish_folder(
+    spark: SparkSession,
+    contract: ReleaseContract,
+    candidates: DataFrame,
+    path: str,
+    registry: str,
+    seq: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``(index, violations)``: validate, admit, stage, reconcile and publish a batch.
+
+    ``candidates`` has ``release_id, tag, arrival``; ``path`` holds a folder per
+    release id. What fails a step goes no further and is among the violations.
+    """
+    inventory, found, judged = validate_folder(spark, contract, candidates, path)
+    sound = candidates.join(judged.where("passed").select("release_id"), ["release_id"])
+    taken = scan_releases(spark, releases_path(registry))
+    admitted, rejected = reject_existing(sound, taken, ["tag"], ["arrival", "release_id"])
+    # Written before the drafts are, as it must not see them.
+    admitted = materialise(admitted)
+    refused = materialise(tag_violations(rejected))
+    lengths = scan_assets(spark, path).select("release_id", "name", "length")
+    files = (
+        inventory.join(admitted.select("release_id", "tag"), ["release_id"])
+        .join(lengths, ["release_id", "name"], "left")
+        # A validated file that no listing shows has no bytes.
+        .withColumn("size", F.coalesce("length", F.lit(0).cast("bigint")))
+    )
+    rows = index_rows(admitted, F.lit(contract.product), F.col("arrival"))
+    uploads = stage_release(files, rows, registry, seq)
+    faults = materialise(upload_violations(files, uploads))
+    index = publish_release(rows, faults, registry, seq)
+    return index, found.unionByName(refused).unionByName(faults)

@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealyard.functions.documents import json_document, object_fields, string_value
+from sealyard.functions.documents import (
+    json_document,
+    key_list,
+    object_fields,
+    string_value,
+)
 from sealyard.functions.predicates import (
     FILE,
     SYMLINK,
@@ -26,7 +31,7 @@ from sealyard.functions.predicates import (
     safe_path,
     strict_true,
 )
-from sealyard.functions.text import strip_slashes
+from sealyard.functions.text import quoted, strip_slashes
 from sealyard.operators.digests import asset_facts, asset_rules
 from sealyard.operators.inventory import expected_inventory
 from sealyard.operators.rules import (
@@ -64,24 +69,27 @@ def manifest_facts(
 ) -> DataFrame:
     """One row per candidate with what the rules ask of its manifest.
 
-    ``candidates`` has ``release_id, tag``, manifests ``release_id, raw``. The text is
-    parsed once; ``document`` is kept for the catalog and pruned where unused.
+    ``candidates`` has ``release_id, tag``, manifests ``release_id, raw`` and perhaps
+    ``folder``. The text is parsed once; ``document`` is kept for the catalog and
+    pruned where unused.
     """
     configure(candidates.sparkSession)
+    place = [name for name in ("folder",) if name in manifests.columns]
     parsed = candidates.select("release_id", "tag").join(
-        manifests.select("release_id", "raw"), KEY, "left"
-    ).select("release_id", "tag", json_document(F.col("raw")).alias("document"))
+        manifests.select("release_id", "raw", *place), KEY, "left"
+    ).select("release_id", "tag", *place, json_document(F.col("raw")).alias("document"))
     fields = parsed.select("*", object_fields(F.col("document")).alias("fields"))
 
     def value(key: str) -> Column:
-        return F.try_element_at("fields", F.lit(key))
+        return F.expr(f"try_element_at(fields, {quoted(key)})")
 
     typed = fields.select(
         "release_id",
         "tag",
+        *place,
         "document",
         F.col("document").isNotNull().alias("readable"),
-        F.coalesce(F.map_keys("fields"), F.array().cast("array<string>")).alias("keys"),
+        key_list(F.col("fields")).alias("keys"),
         *[
             string_value(value(key)).alias(key)
             for key in (
@@ -103,10 +111,11 @@ def manifest_facts(
 
 def _keyed(name: str, ord: int, key: str, holds: Column, message, **at) -> list[Rule]:
     """A rule on the value of a manifest key, led by the rule that the key is there."""
-    absent = F.col("readable") & ~F.array_contains("keys", key)
+    there = f"array_contains(keys, {quoted(key)})"
+    moot = F.expr(f"NOT readable OR NOT {there}")
     return [
-        Rule("required_key", ord, ~absent, repr(key), sub_pos=0, **at),
-        Rule(name, ord, ~F.col("readable") | absent | holds, message, sub_pos=1, **at),
+        Rule("required_key", ord, F.expr(f"NOT readable OR {there}"), repr(key), **at),
+        Rule(name, ord, moot | holds, message, sub_pos=1, **at),
     ]
 
 
@@ -164,9 +173,15 @@ def manifest_violations(contract: ReleaseContract, facts: DataFrame) -> DataFram
 
 
 def release_inventory(contract: ReleaseContract, facts: DataFrame) -> DataFrame:
-    """``release_id, ord, kind, name``: the five files of each named release."""
+    """``release_id, ord, kind, name``: the five files of each named release.
+
+    With the folder of the manifest known, ``path`` says where each file should be.
+    """
     named = facts.where(F.col("base").isNotNull())
-    return expected_inventory(named, KEY, F.col("base"), contract.files())
+    if "folder" not in facts.columns:
+        return expected_inventory(named, KEY, F.col("base"), contract.files())
+    listed = expected_inventory(named, KEY, F.col("base"), contract.files(), ["folder"])
+    return listed.withColumn("path", F.concat_ws("/", "folder", "name")).drop("folder")
 
 
 def asset_violations(facts: DataFrame, assets: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -324,10 +339,11 @@ def validate_folder(
     early = materialise(manifest_violations(contract, facts))
     sound = facts.drop("document").join(early.select(*KEY).distinct(), KEY, "left_anti")
     inventory = release_inventory(contract, sound)
-    wanted = (
-        inventory.where(F.col("kind").isin("archive", "image"))
-        .select("release_id", "kind", "name")
-        .join(scan_assets(spark, path), ["release_id", "name"], "inner")
+    # The listing only tells how much there is to read. Expected files are opened by
+    # name whether listed or not, as listings leave out files of length zero.
+    lengths = scan_assets(spark, path).select("release_id", "name", "length")
+    wanted = inventory.where(F.col("kind").isin("archive", "image")).join(
+        lengths, ["release_id", "name"], "left"
     )
     listing = materialise(
         read_bytes_once(

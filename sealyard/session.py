@@ -45,7 +45,23 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and go on from the written rows.
 
     For results that several branches read and that are dear to compute again,
-    such as digests: a lost executor then costs a re-read, not a re-hash.
+    such as digests: a lost executor then costs a re-read, not a re-hash. Being a
+    columnar table, each branch reads its columns only, and joins know its size.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, fresh_folder(df.sparkSession, "table"))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to a path that must be new, and return the table read from it."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Give every core work where the input is too small to be split that far.
+
+    For costly work per row on few files. An input with more splits than cores, which
+    is any large one, stays where it lies and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

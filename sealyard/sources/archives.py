@@ -13,7 +13,7 @@ from sealyard.functions.predicates import DIRECTORY, FILE, SYMLINK
 from sealyard.sources.streams import HashingReader, locate
 
 LISTING = (
-    "sha256 string, error string, member_pos bigint, member string, type string, "
+    "sha256 string, length bigint, error string, member_pos bigint, member string, type string, "
     "mode bigint, linkname string"
 )
 _ROWS_PER_BATCH = 4096
@@ -53,16 +53,20 @@ def _listing_rows(raw, archive: bool) -> Iterator[tuple]:
     if archive:
         try:
             for position, name, kind, mode, target in _members(reader):
-                yield (None, None, position, _text(name), kind, mode, _text(target))
+                yield (None, None, None, position, _text(name), kind, mode, _text(target))
         except Exception as problem:  # any damage is a finding about this one archive
             if reader.failure is not None:
                 raise reader.failure from problem
             error = f"{type(problem).__name__}: {problem}"
-    yield (reader.finish(), error, None, None, None, None, None)
+    digest = reader.finish()
+    yield (digest, reader.digested, error, None, None, None, None, None)
 
 
 def read_bytes_once(
-    files: DataFrame, key: Sequence[str], archives: bool | Column = True, content: str | None = None
+    files: DataFrame,
+    key: Sequence[str],
+    archives: bool | Column = True,
+    content: str | None = None,
 ) -> DataFrame:
     """``key`` and the columns of ``LISTING`` from a single pass over each file.
 
@@ -91,7 +95,7 @@ def read_bytes_once(
                 try:
                     raw = io.BytesIO(source) if in_row else _open(source)
                 except (FileNotFoundError, PermissionError) as gone:
-                    rows.append((*identity, None, str(gone), None, None, None, None, None))
+                    rows.append((*identity, None, None, str(gone), *[None] * 5))
                     continue
                 with raw:
                     for row in _listing_rows(raw, bool(is_archive)):
@@ -124,5 +128,6 @@ def members_of(listing: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def digests_of(listing: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``key, sha256, error``: one row per file that was read."""
-    return listing.where(F.col("member_pos").isNull()).select(*key, "sha256", "error")
+    """``key, sha256, length, error``: one row per file; no digest where none was found."""
+    columns = [*key, "sha256", "length", "error"]
+    return listing.where(F.col("member_pos").isNull()).select(*columns)

@@ -43,9 +43,11 @@ def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def scan_manifests(spark: SparkSession, path: str, name: str = "release.json") -> DataFrame:
-    """``release_id, raw``: the manifest text of each release folder."""
+    """``release_id, raw, folder``: the manifest text of each release folder."""
     return _whole_files(spark, path, name).select(
-        parent_name(F.col("_path")).alias("release_id"), "raw"
+        parent_name(F.col("_path")).alias("release_id"),
+        "raw",
+        F.substring_index("_path", "/" + name, 1).alias("folder"),
     )
 
 
@@ -70,7 +72,8 @@ def scan_assets(
 ) -> DataFrame:
     """``release_id, name, path, length`` of every file.
 
-    Content is read only where ``extra`` asks for that column.
+    Content is read only where ``extra`` asks for that column. File sources pass over
+    files without any bytes; whoever has to see those opens the names it expects.
     """
     return (
         spark.read.format("binaryFile")

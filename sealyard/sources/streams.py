@@ -72,12 +72,12 @@ def copy_file(source, target: str) -> int:
     system, place = locate(target)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
     draft = f"{place}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(draft) as sink:
+    with system.open_output_stream(draft, compression=None) as sink:
         if isinstance(source, (bytes, bytearray, memoryview)):
             sink.write(source)
         else:
             from_system, from_place = locate(source)
-            with from_system.open_input_stream(from_place) as stream:
+            with from_system.open_input_stream(from_place, compression=None) as stream:
                 while chunk := stream.read(CHUNK):
                     sink.write(chunk)
     system.move(draft, place)

@@ -1,0 +1,220 @@
+"""One folder per case: which rule a release fails first, and with which message."""
+
+import gzip
+import tarfile
+
+import pytest
+from builder import CONTRACT, MODEL, archive_bytes, member, members_of, write_release
+
+import sealyard as sy
+
+
+def put(**values):
+    return lambda document: document.update(values)
+
+
+def drop(*keys):
+    return lambda document: {k: v for k, v in document.items() if k not in keys}
+
+
+def second_model(change):
+    broken = {k: v for k, v in MODEL.items() if k != change}
+    return put(models=[MODEL, broken])
+
+
+def extra(*added):
+    return lambda listed, base: listed + [member(*a) for a in added_for(base, added)]
+
+
+def added_for(base, added):
+    return [(a[0].format(base=base), *a[1:]) for a in added]
+
+
+def replaced(suffix, *new):
+    def change(listed, base):
+        kept = [e for e in listed if not e[0].name.endswith(suffix)]
+        return kept + [member(*a) for a in added_for(base, new)]
+
+    return change
+
+
+LNK, SYM, FIFO, DIR = tarfile.LNKTYPE, tarfile.SYMTYPE, tarfile.FIFOTYPE, tarfile.DIRTYPE
+REG = tarfile.REGTYPE
+BASE = "acme-tool-0.4.0-os-cpu"
+PASSED = None
+
+# name -> (arguments of write_release, tag, first rule, message or None for any)
+CASES = {
+    "sound": ({}, "v0.4.0", PASSED, None),
+    "sound prerelease": ({"version": "1.2.3-rc.1"}, "v1.2.3-rc.1", PASSED, None),
+    "sound unicode digits": ({"version": "١.2.3"}, "v١.2.3", PASSED, None),
+    "sound nan": ({"raw": lambda d: __import__("json").dumps({**d, "x": float("nan")})},
+                  "v0.4.0", PASSED, None),
+    "sound duplicate key": (
+        {"raw": lambda d: '{"notarized": false, ' + __import__("json").dumps(d)[1:]},
+        "v0.4.0", PASSED, None),
+    "01 missing": ({"without": ["release.json"]}, "v0.4.0", "manifest_readable", None),
+    "01 empty": ({"raw": lambda d: ""}, "v0.4.0", "manifest_readable", None),
+    "01 trailing": ({"raw": lambda d: __import__("json").dumps(d) + " x"}, "v0.4.0",
+                    "manifest_readable", None),
+    "02 not object": ({"raw": lambda d: "[1]"}, "v0.4.0", "required_key", "'version'"),
+    **{
+        f"02 no {key}": ({"manifest": drop(key)}, "v0.4.0", "required_key", repr(key))
+        for key in (
+            "version", "architecture", "team_identifier", "notarized", "source_commit", "server",
+            "models", "archive", "disk_image", "archive_sha256",
+        )
+    },
+    "02 order": ({"manifest": lambda d: {**drop("models")(d), "architecture": "x"}}, "v0.4.0",
+                 "equals_constant(architecture)", "Expected cpu"),
+    "03 number": ({"manifest": put(version=4)}, "v0.4.0", "full_match(version)",
+                  "Invalid version"),
+    "03 newline": ({"manifest": put(version="0.4.0\n")}, "v0.4.0", "full_match(version)", None),
+    "04 no prefix": ({}, "0.4.0", "columns_equal(tag)", "Tag and manifest version differ"),
+    "04 other": ({}, "v0.4.1", "columns_equal(tag)", None),
+    "05 case": ({"manifest": put(architecture="CPU")}, "v0.4.0",
+                "equals_constant(architecture)", None),
+    "06 team": ({"manifest": put(team_identifier="team123")}, "v0.4.0",
+                "equals_constant(team_identifier)", "Expected acme signing team"),
+    **{
+        f"07 {value!r}": ({"manifest": put(notarized=value)}, "v0.4.0", "strict_true(notarized)",
+                          "Only notarized builds may be published")
+        for value in (False, 1, "true", None)
+    },
+    "08 upper": ({"manifest": put(source_commit="A" * 40)}, "v0.4.0",
+                 "full_match(source_commit)", "Missing source commit"),
+    "08 number": ({"manifest": put(source_commit=int("1" * 40))}, "v0.4.0",
+                  "full_match(source_commit)", None),
+    **{
+        f"09 {value!r}": ({"manifest": put(server=value)}, "v0.4.0", "nonempty_object(server)",
+                          "Missing server description")
+        for value in ({}, [], "x", None)
+    },
+    "10 empty": ({"manifest": put(models=[])}, "v0.4.0", "nonempty_array(models)",
+                 "Missing model catalog"),
+    "11 second": ({"manifest": second_model("dimensions")}, "v0.4.0", "required_keys(models[])",
+                  "Model missing dimensions"),
+    "11 text": ({"manifest": put(models=["x"])}, "v0.4.0", "required_keys(models[])",
+                "Model missing id"),
+    "12 archive": ({"manifest": put(archive="other.tar.gz")}, "v0.4.0",
+                   "columns_equal(archive)", "Unexpected archive"),
+    "12 image": ({"manifest": put(disk_image="other.dmg")}, "v0.4.0",
+                 "columns_equal(disk_image)", "Unexpected disk_image"),
+    "13 archive": ({"without": [".tar.gz"]}, "v0.4.0", "asset_present",
+                   f"No such file: {BASE}.tar.gz"),
+    "13 image": ({"without": [".dmg"]}, "v0.4.0", "asset_present", f"No such file: {BASE}.dmg"),
+    "13 empty image is an image": ({"image": b""}, "v0.4.0", PASSED, None),
+    "14 missing": ({"without": [".dmg.sha256"]}, "v0.4.0", "sidecar_matches",
+                   f"Invalid checksum for {BASE}.dmg"),
+    "14 tab": ({"sidecars": lambda d, n: f"{d}\t{n}"}, "v0.4.0", PASSED, None),
+    "14 no-break space": ({"sidecars": lambda d, n: f"{d} {n}"}, "v0.4.0", PASSED, None),
+    "14 newline": ({"sidecars": lambda d, n: f"{d}\n{n}\n"}, "v0.4.0", PASSED, None),
+    **{
+        f"14 {name}": ({"sidecars": text}, "v0.4.0", "sidecar_matches",
+                       f"Invalid checksum for {BASE}.tar.gz")
+        for name, text in {
+            "star": lambda d, n: f"{d} *{n}",
+            "three": lambda d, n: f"{d} {n} x",
+            "swapped": lambda d, n: f"{n} {d}",
+            "upper": lambda d, n: f"{d.upper()}  {n}",
+            "empty": lambda d, n: "",
+        }.items()
+    },
+    "15 claim": ({"manifest": put(archive_sha256="0" * 64)}, "v0.4.0", "digest_matches_manifest",
+                 "Archive checksum differs from manifest"),
+    "16 no gzip": ({"archive": b"plain"}, "v0.4.0", "archive_readable", None),
+    "16 truncated": ({"archive": archive_bytes(members_of(BASE))[:90]}, "v0.4.0",
+                     "archive_readable", None),
+    "16 empty": ({"archive": b""}, "v0.4.0", "archive_readable", None),
+    "16 gzip of text": ({"archive": gzip.compress(b"x" * 2000)}, "v0.4.0", "archive_readable",
+                        None),
+    "17 absolute": ({"entries": extra(("/{base}/x",))}, "v0.4.0", "safe_path",
+                    "Unsafe archive path"),
+    "17 double slash": ({"entries": extra(("//{base}/x",))}, "v0.4.0", "safe_path", None),
+    "17 upwards": ({"entries": extra(("{base}/..",))}, "v0.4.0", "safe_path", None),
+    "17 dots in name": ({"entries": extra(("{base}/..x",), ("{base}//y",))}, "v0.4.0", PASSED,
+                        None),
+    "18 other": ({"entries": extra(("other/x",))}, "v0.4.0", "path_root",
+                 "Unexpected archive root"),
+    "18 dot": ({"entries": extra((".",))}, "v0.4.0", "path_root", None),
+    "18 leading dot": ({"entries": extra(("./{base}/x",))}, "v0.4.0", PASSED, None),
+    "19 hard link": ({"entries": extra(("{base}/x", LNK, b"", 0o644, "y"))}, "v0.4.0",
+                     "allowed_kind", "Unsupported archive member"),
+    "19 fifo": ({"entries": extra(("{base}/x", FIFO))}, "v0.4.0", "allowed_kind", None),
+    "20 target": ({"entries": replaced("/tool", ("{base}/tool", SYM, b"", 0o777, "x"))}, "v0.4.0",
+                  "link_allowlist", "Unexpected symlink"),
+    "20 name": ({"entries": extra(("{base}/t", SYM, b"", 0o777, "toold"))}, "v0.4.0",
+                "link_allowlist", None),
+    "20 leading dot": ({"entries": replaced("/tool", ("./{base}/tool", SYM, b"", 0o777, "toold"))},
+                       "v0.4.0", "link_allowlist", None),
+    "21 absent": ({"entries": replaced("/toold")}, "v0.4.0", "require_member(entrypoint)", None),
+    "21 leading dot": ({"entries": replaced("/toold", ("./{base}/toold", REG, b"", 0o755))},
+                       "v0.4.0", "require_member(entrypoint)", None),
+    "22 plain": ({"entries": replaced("/toold", ("{base}/toold",))}, "v0.4.0",
+                 "member_property(entrypoint)", "Daemon is not executable"),
+    "22 owner only": ({"entries": replaced("/toold", ("{base}/toold", REG, b"", 0o100))},
+                      "v0.4.0", PASSED, None),
+    "22 folder": ({"entries": replaced("/toold", ("{base}/toold", DIR, b"", 0o755))}, "v0.4.0",
+                  "member_property(entrypoint)", None),
+    "22 last wins": ({"entries": extra(("{base}/toold",))}, "v0.4.0",
+                     "member_property(entrypoint)", None),
+    "22 last wins well": (
+        {"entries": lambda listed, base: [member(f"{base}/toold")] + listed}, "v0.4.0", PASSED,
+        None),
+    "23 absent": ({"entries": replaced("/tool")}, "v0.4.0", "require_member(alias)",
+                  "Missing Shell compatibility entry"),
+    "23 file": ({"entries": replaced("/tool", ("{base}/tool",))}, "v0.4.0",
+                "require_member(alias)", None),
+    "24 folder only": ({"entries": replaced("/a.txt")}, "v0.4.0",
+                       "require_any_prefix(resources)", "Missing resources"),
+    "24 slashes": ({"entries": replaced("/a.txt", ("{base}/Res.bundle//", DIR))}, "v0.4.0",
+                   "require_any_prefix(resources)", None),
+    "two faults": ({"manifest": put(archive_sha256="0"), "entries": extra(("/x",))}, "v0.4.0",
+                   "digest_matches_manifest", None),
+}
+
+
+@pytest.fixture(scope="module")
+def validated(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("releases with space+plus%41")
+    rows = []
+    for number, (name, (arguments, tag, _, _)) in enumerate(CASES.items()):
+        write_release(root / f"r {number}+%41", **arguments)
+        rows.append((f"r {number}+%41", tag))
+    candidates = spark.createDataFrame(rows, "release_id string, tag string")
+    inventory, found, judged = sy.validate_folder(spark, CONTRACT, candidates, str(root))
+    names = {rid: name for (rid, _), name in zip(rows, CASES)}
+    return (
+        {names[r.release_id]: r for r in judged.collect()},
+        [(names[r.release_id], r) for r in found.collect()],
+        [(names[r.release_id], r) for r in inventory.collect()],
+    )
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_first_violation(validated, name):
+    verdict = validated[0][name]
+    _, _, rule, message = CASES[name]
+    assert verdict.rule == rule, verdict
+    assert verdict.passed == (rule is None) == (verdict.n_violations == 0)
+    if message is not None:
+        assert verdict.message == message
+
+
+def test_every_candidate_has_one_verdict(validated):
+    assert set(validated[0]) == set(CASES)
+
+
+def test_all_violations_are_reported(validated):
+    rules = {r.rule for name, r in validated[1] if name == "two faults"}
+    assert {"digest_matches_manifest", "safe_path", "path_root"} <= rules
+    order = [r.rule for name, r in validated[1] if name == "02 order"]
+    assert sorted(order) == ["equals_constant(architecture)", "required_key"]
+
+
+def test_inventory_names_files_in_order(validated):
+    rows = sorted((r.ord, r.name) for name, r in validated[2] if name == "sound")
+    assert [name for _, name in rows] == [
+        "release.json", f"{BASE}.tar.gz", f"{BASE}.tar.gz.sha256", f"{BASE}.dmg",
+        f"{BASE}.dmg.sha256",
+    ]
