@@ -129,16 +129,18 @@ def packed_documents(documents, base, fault):
     """``doc_id, base, fault, content``: an archive per document, built in Arrow batches."""
 
     def build(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", "base", "fault", "content"]
         for batch in batches:
-            batch["content"] = [
-                pack(text, name, wrong)
-                for text, name, wrong in zip(batch["text"], batch["base"], batch["fault"])
-            ]
-            yield batch[["doc_id", "base", "fault", "content"]]
+            fields = [batch.column(name).to_pylist() for name in ("text", "base", "fault")]
+            content = [pack(*values) for values in zip(*fields)]
+            columns = [batch.column(name) for name in names[:3]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names)
 
     return documents.select(
         "doc_id", base.alias("base"), fault.alias("fault"), "text"
-    ).mapInPandas(build, "doc_id bigint, base string, fault string, content binary")
+    ).mapInArrow(build, "doc_id bigint, base string, fault string, content binary")
 
 
 _PACKED = ["doc_id", "text", "lang", "source"]

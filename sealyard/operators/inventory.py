@@ -47,7 +47,8 @@ def reconcile_inventory(
 ) -> DataFrame:
     """``key, status`` with status ok, missing, mismatch (or extra, when asked for).
 
-    ``order`` settles repeated observations: the last one counts. Observed files
+    ``order`` settles repeated observations: the last one counts. Without it the key
+    must be unique among the observed, as in the expected rows. Observed files
     nobody expects are no fault; ``report_extra`` merely lists them.
     """
     key = list(key)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sealyard.functions.documents import json_document, missing_keys, object_fields
 from sealyard.functions.text import array_of, quoted
-from sealyard.session import stored
+from sealyard.session import configure, stored
 
 ORDER = ("phase", "item_pos", "rule_ord", "sub_pos")
 FINDING = (*ORDER, "rule", "message")
@@ -104,6 +104,7 @@ def required_keys_of_text(
     df: DataFrame, key: Sequence[str], raw: Column, keys: Sequence[str]
 ) -> DataFrame:
     """``required_keys`` over a column of JSON text."""
+    configure(df.sparkSession)
     parsed = df.select(*key, json_document(raw).alias("_document"))
     return required_keys(parsed, key, F.col("_document"), keys)
 

@@ -65,8 +65,13 @@ def upload_violations(
 ) -> DataFrame:
     """Rule 25: each expected file is uploaded in full. Extra uploads are no fault.
 
-    ``expected`` has ``key, ord, name, size``, uploads ``key, name, upload_pos, size``.
+    ``expected`` has ``key, name, size``, uploads ``key, name, upload_pos, size``. An
+    upload without a name makes the listing as a whole unusable.
     """
+    usable = Rule(
+        "upload_listing_readable", 25, F.col("name").isNotNull(),
+        "Upload without name or size", phase=8, item_pos=-1,
+    )
     status = reconcile_inventory(
         expected.select(*key, "name", "size"), uploads, [*key, "name"], "size", ["upload_pos"]
     )
@@ -74,7 +79,7 @@ def upload_violations(
         "upload_size_matches", 25, F.col("status") == "ok",
         F.concat(F.lit("Missing or incomplete upload: "), "name"), phase=8,
     )
-    return violations(status, key, [complete])
+    return violations(uploads, key, [usable]).unionByName(violations(status, key, [complete]))
 
 
 def stage_release(
@@ -90,29 +95,25 @@ def stage_release(
     spark = files.sparkSession
     _append(releases, registry, "draft", seq)
     source = content if content is not None else "path"
-    root = f"{registry}/files"
+    root, in_row = f"{registry}/files", content is not None
+    names = [column.split()[0] for column in _LISTING.split(", ")]
 
     def upload(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
             sizes = [
-                copy_file(data, f"{root}/{tag}/{name}")
-                for data, tag, name in zip(batch["_source"], batch["tag"], batch["name"])
+                copy_file(data.as_buffer() if in_row else data.as_py(), f"{root}/{tag}/{name}")
+                for data, tag, name in zip(
+                    batch.column("_source"), batch.column("tag"), batch.column("name")
+                )
             ]
-            yield pd.DataFrame(
-                {
-                    "release_id": batch["release_id"],
-                    "tag": batch["tag"],
-                    "upload_pos": batch["ord"],
-                    "name": batch["name"],
-                    "size": sizes,
-                }
-            )
+            columns = [batch.column(i) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names)
 
     wanted = files if content is not None else balance_by_bytes(files)
     columns = ["release_id", "tag", F.col("ord").cast("bigint").alias("ord"), "name"]
-    uploaded = wanted.select(*columns, F.col(source).alias("_source")).mapInPandas(
+    uploaded = wanted.select(*columns, F.col(source).alias("_source")).mapInArrow(
         upload, _LISTING
     )
     return write_upload_listing(uploaded, registry, seq)

@@ -60,8 +60,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 def widen(df: DataFrame) -> DataFrame:
     """Give every core work where the input is too small to be split that far.
 
-    For costly work per row on few files. An input with more splits than cores, which
-    is any large one, stays where it lies and is not shuffled.
+    For costly work per row on a scan of few files. An input with more splits than
+    cores, which is any large one, stays where it lies and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator, Sequence
 
@@ -77,36 +76,43 @@ def read_bytes_once(
     archive = archives if isinstance(archives, Column) else F.lit(archives)
     source = content if content is not None else "path"
     wanted = files.select(*key, F.col(source).alias("_source"), archive.alias("_archive"))
-    key_fields = wanted.select(*key).schema.fields
-    names = [*[field.name for field in key_fields], *[c.split()[0] for c in LISTING.split(", ")]]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    in_row = content is not None
+    identity = wanted.select(*key).schema
+    names = [*identity.names, *[column.split()[0] for column in LISTING.split(", ")]]
+    key_ddl = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in identity)
+    n_keys, in_row = len(identity), content is not None
 
     def listing(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        def frame(rows):
-            return pd.DataFrame(rows, columns=names, dtype=object)
+        kinds = {"string": pa.string(), "bigint": pa.int64()}
+        types = [kinds[column.split()[1]] for column in LISTING.split(", ")]
+
+        def output(batch, picks, rows):
+            keys = [batch.column(i).take(pa.array(picks)) for i in range(n_keys)]
+            found = [pa.array(values, kind) for values, kind in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays(keys + found, names)
 
-        rows = []
         for batch in batches:
-            ids = batch[names[: len(key_fields)]].itertuples(index=False, name=None)
-            for identity, source, is_archive in zip(ids, batch["_source"], batch["_archive"]):
+            picks, rows = [], []
+            for i in range(batch.num_rows):
+                place = batch.column(n_keys)[i]
                 try:
-                    raw = io.BytesIO(source) if in_row else _open(source)
+                    raw = pa.BufferReader(place.as_buffer()) if in_row else _open(place.as_py())
                 except (FileNotFoundError, PermissionError) as gone:
-                    rows.append((*identity, None, None, str(gone), *[None] * 5))
+                    picks.append(i)
+                    rows.append((None, None, str(gone), *[None] * 5))
                     continue
                 with raw:
-                    for row in _listing_rows(raw, bool(is_archive)):
-                        rows.append((*identity, *row))
+                    for row in _listing_rows(raw, batch.column(n_keys + 1)[i].as_py()):
+                        picks.append(i)
+                        rows.append(row)
                         if len(rows) >= _ROWS_PER_BATCH:
-                            yield frame(rows)
-                            rows = []
-        if rows:
-            yield frame(rows)
+                            yield output(batch, picks, rows)
+                            picks, rows = [], []
+            if rows:
+                yield output(batch, picks, rows)
 
-    return wanted.mapInPandas(listing, f"{key_ddl}, {LISTING}")
+    return wanted.mapInArrow(listing, f"{key_ddl}, {LISTING}")
 
 
 def _open(path: str):

@@ -20,6 +20,7 @@ from sealyard.functions.documents import (
     whole_number,
 )
 from sealyard.functions.text import base_name, parent_name, split_fields
+from sealyard.session import configure
 
 RELEASES_SCHEMA = (
     "release_id string, tag string, product string, channel string, arrival bigint, "
@@ -35,7 +36,7 @@ def _decoded_path() -> Column:
 
 def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return (
-        spark.read.option("recursiveFileLookup", "true")
+        configure(spark).read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
         .select(_decoded_path().alias("_path"), F.col("value").alias("raw"))
@@ -56,6 +57,7 @@ def scan_models(manifests: DataFrame, key=("release_id",), raw: str = "raw") ->
 
     A manifest whose ``models`` is absent or no array has no rows here.
     """
+    configure(manifests.sparkSession)
     parsed = manifests.select(*key, json_document(F.col(raw)).alias("_doc"))
     return explode_models(parsed, key, F.col("_doc"))
 
@@ -111,8 +113,13 @@ def scan_uploads(
 
 
 def parse_uploads(listings: DataFrame, key, raw: Column) -> DataFrame:
-    """Entries of ``{"assets": [{"name": .., "size": ..}]}``; sizes only if JSON numbers."""
+    """Entries of ``{"assets": [{"name": .., "size": ..}]}``; sizes only if JSON numbers.
+
+    An entry that lacks one of the two keys has no name here, and is thereby a fault.
+    """
+    configure(listings.sparkSession)
     fields = object_fields(F.col("upload"))
+    named = string_value(F.try_element_at("_fields", F.lit("name")))
     return (
         listings.select(*key, json_document(raw).alias("_doc"))
         .select(
@@ -125,7 +132,7 @@ def parse_uploads(listings: DataFrame, key, raw: Column) -> DataFrame:
         .select(
             *key,
             "upload_pos",
-            string_value(F.try_element_at("_fields", F.lit("name"))).alias("name"),
+            F.when(F.map_contains_key("_fields", F.lit("size")), named).alias("name"),
             whole_number(F.try_element_at("_fields", F.lit("size"))).alias("size"),
         )
     )

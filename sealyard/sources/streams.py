@@ -64,7 +64,7 @@ class HashingReader:
 
 
 def copy_file(source, target: str) -> int:
-    """Copy a file (a path, or bytes) to ``target`` and return the size found there.
+    """Copy a file (its path, or its bytes) to ``target`` and return the size found there.
 
     The bytes go to a name of this attempt's own and are moved into place when
     complete, so a repeated or concurrent attempt never shows a partial file.
@@ -73,12 +73,17 @@ def copy_file(source, target: str) -> int:
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
     draft = f"{place}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(draft, compression=None) as sink:
-        if isinstance(source, (bytes, bytearray, memoryview)):
-            sink.write(source)
-        else:
+        if isinstance(source, str):
             from_system, from_place = locate(source)
             with from_system.open_input_stream(from_place, compression=None) as stream:
                 while chunk := stream.read(CHUNK):
                     sink.write(chunk)
-    system.move(draft, place)
+        else:
+            sink.write(source)
+    try:
+        system.move(draft, place)
+    except OSError:
+        # Some file systems do not move onto a file an earlier attempt has left.
+        system.delete_file(place)
+        system.move(draft, place)
     return system.get_file_info(place).size

@@ -137,6 +137,16 @@ def test_incomplete_upload_stays_a_draft_and_blocks_its_tag(spark, tmp_path):
     assert admitted.count() == 0 and tag_violations(rejected).count() == 2
 
 
+def test_upload_without_name_is_a_fault_and_extras_are_not(spark):
+    expected = spark.createDataFrame([("r1", "a", 1), ("r2", "a", 1)], "release_id string, name string, size bigint")
+    uploads = spark.createDataFrame(
+        [("r1", "a", 0, 1), ("r1", "x", 1, 9), ("r2", "a", 0, 1), ("r2", None, 1, None)],
+        "release_id string, name string, upload_pos int, size bigint",
+    )
+    found = upload_violations(expected, uploads).collect()
+    assert [(r.release_id, r.rule) for r in found] == [("r2", "upload_listing_readable")]
+
+
 def test_seq_is_never_reused(spark, tmp_path):
     registry = f"file://{tmp_path}/registry"
     sy.create_registry(spark, registry)

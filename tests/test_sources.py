@@ -27,6 +27,7 @@ def folder(tmp_path_factory):
         (place / "a.bin.sha256").write_text("abc \t a.bin\n")
         listing = {"assets": [
             {"name": "a.bin", "size": 5}, {"name": "a.bin", "size": 7}, {"name": "b.bin", "size": "9"},
+            {"name": "c.bin"},
         ]}
         (place / "uploaded-assets.json").write_text(json.dumps(listing))
         (place / "release.json").write_text(json.dumps({"models": [{"id": 1, "x": None}, 5]}))
@@ -59,7 +60,7 @@ def test_scan_sidecars(spark, folder):
 
 def test_scan_uploads_keeps_positions_and_number_types(spark, folder):
     rows = sy.scan_uploads(spark, str(folder)).where("release_id = 'r1'").orderBy("upload_pos")
-    assert [(r.name, r.size) for r in rows.collect()] == [("a.bin", 5), ("a.bin", 7), ("b.bin", None)]
+    assert [(r.name, r.size) for r in rows.collect()] == [("a.bin", 5), ("a.bin", 7), ("b.bin", None), (None, None)]
 
 
 def test_scan_models(spark, folder):
