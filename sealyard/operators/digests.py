@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sealyard.operators.rules import Rule, violations
 from sealyard.sources.archives import read_bytes_once
-from sealyard.sources.files import balance_by_bytes, scan_assets
+from sealyard.sources.files import scan_assets
+from sealyard.sources.named import balance_by_bytes
 
 # Files up to this length are hashed from a binary column, longer ones in chunks.
 IN_ROW_LIMIT = 64 * 1024 * 1024

@@ -20,12 +20,8 @@ from sealyard.operators.rules import Rule, violations
 from sealyard.plans.contract import ReleaseContract
 from sealyard.plans.validate import validate_folder
 from sealyard.session import materialise
-from sealyard.sources.files import (
-    RELEASES_SCHEMA,
-    balance_by_bytes,
-    scan_assets,
-    scan_releases,
-)
+from sealyard.sources.files import RELEASES_SCHEMA, scan_releases
+from sealyard.sources.named import balance_by_bytes, file_lengths
 from sealyard.sources.streams import copy_file
 
 _LISTING = "release_id string, tag string, upload_pos bigint, name string, size bigint"
@@ -171,15 +167,11 @@ def publish_folder(
     # Written before the drafts are, as it must not see them.
     admitted = materialise(admitted)
     refused = materialise(tag_violations(rejected))
-    lengths = scan_assets(spark, path).select("release_id", "name", "length")
-    files = (
-        inventory.join(admitted.select("release_id", "tag"), ["release_id"])
-        .join(lengths, ["release_id", "name"], "left")
-        # A validated file that no listing shows has no bytes.
-        .withColumn("size", F.coalesce("length", F.lit(0).cast("bigint")))
-    )
+    files = inventory.join(admitted.select("release_id", "tag"), ["release_id"])
+    lengths = file_lengths(files, ["release_id", "name"])
+    files = materialise(files.join(lengths, ["release_id", "name"], "left"))
     rows = index_rows(admitted, F.lit(contract.product), F.col("arrival"))
     uploads = stage_release(files, rows, registry, seq)
-    faults = materialise(upload_violations(files, uploads))
+    faults = materialise(upload_violations(files.withColumnRenamed("length", "size"), uploads))
     index = publish_release(rows, faults, registry, seq)
     return index, found.unionByName(refused).unionByName(faults)

@@ -31,7 +31,7 @@ from sealyard.functions.predicates import (
     safe_path,
     strict_true,
 )
-from sealyard.functions.text import quoted, strip_slashes
+from sealyard.functions.text import quoted, split_fields, strip_slashes
 from sealyard.operators.digests import asset_facts, asset_rules
 from sealyard.operators.inventory import expected_inventory
 from sealyard.operators.rules import (
@@ -46,20 +46,17 @@ from sealyard.plans.contract import (
     COMMIT_PATTERN,
     EXECUTE_BITS,
     IMAGE_SUFFIX,
+    MANIFEST_NAME,
     MODEL_KEYS,
+    SIDECAR_SUFFIX,
     TAG_PREFIX,
     VERSION_PATTERN,
     ReleaseContract,
 )
 from sealyard.session import configure, materialise
 from sealyard.sources.archives import digests_of, members_of, read_bytes_once
-from sealyard.sources.files import (
-    balance_by_bytes,
-    explode_models,
-    scan_assets,
-    scan_manifests,
-    scan_sidecars,
-)
+from sealyard.sources.files import explode_models
+from sealyard.sources.named import balance_by_bytes, file_lengths, qualified, read_texts
 
 KEY = ["release_id"]
 
@@ -69,15 +66,15 @@ def manifest_facts(
 ) -> DataFrame:
     """One row per candidate with what the rules ask of its manifest.
 
-    ``candidates`` has ``release_id, tag``, manifests ``release_id, raw`` and perhaps
-    ``folder``. The text is parsed once; ``document`` is kept for the catalog and
-    pruned where unused.
+    ``candidates`` has ``release_id, tag``, manifests ``release_id, raw``. The text is
+    parsed once; ``document`` is kept for the catalog and pruned where unused.
     """
     configure(candidates.sparkSession)
-    place = [name for name in ("folder",) if name in manifests.columns]
-    parsed = candidates.select("release_id", "tag").join(
-        manifests.select("release_id", "raw", *place), KEY, "left"
-    ).select("release_id", "tag", *place, json_document(F.col("raw")).alias("document"))
+    parsed = (
+        candidates.select("release_id", "tag")
+        .join(manifests.select("release_id", "raw"), KEY, "left")
+        .select("release_id", "tag", json_document(F.col("raw")).alias("document"))
+    )
     fields = parsed.select("*", object_fields(F.col("document")).alias("fields"))
 
     def value(key: str) -> Column:
@@ -86,7 +83,6 @@ def manifest_facts(
     typed = fields.select(
         "release_id",
         "tag",
-        *place,
         "document",
         F.col("document").isNotNull().alias("readable"),
         key_list(F.col("fields")).alias("keys"),
@@ -173,15 +169,9 @@ def manifest_violations(contract: ReleaseContract, facts: DataFrame) -> DataFram
 
 
 def release_inventory(contract: ReleaseContract, facts: DataFrame) -> DataFrame:
-    """``release_id, ord, kind, name``: the five files of each named release.
-
-    With the folder of the manifest known, ``path`` says where each file should be.
-    """
+    """``release_id, ord, kind, name``: the five files of each named release."""
     named = facts.where(F.col("base").isNotNull())
-    if "folder" not in facts.columns:
-        return expected_inventory(named, KEY, F.col("base"), contract.files())
-    listed = expected_inventory(named, KEY, F.col("base"), contract.files(), ["folder"])
-    return listed.withColumn("path", F.concat_ws("/", "folder", "name")).drop("folder")
+    return expected_inventory(named, KEY, F.col("base"), contract.files())
 
 
 def asset_violations(facts: DataFrame, assets: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -330,32 +320,43 @@ def validate_folder(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(inventory, violations, verdicts)`` of the release folders below ``path``.
 
-    Manifests are judged first, and bytes are read only for releases without a
+    Files are opened by the name the contract gives them, so no folder is listed, and
+    an unexpected file has no influence. Manifests are judged first, and bytes are read only for releases without a
     finding there. Each such file is read once; digests and member lists are written
     to the shared folder, so neither a later branch nor a lost executor reads it again.
     """
-    configure(spark)
-    facts = materialise(manifest_facts(contract, candidates, scan_manifests(spark, path)))
+    root = F.lit(qualified(spark, path))
+    texts = read_texts(
+        candidates.select(
+            "release_id", F.concat_ws("/", root, "release_id", F.lit(MANIFEST_NAME)).alias("path")
+        ),
+        KEY,
+    )
+    facts = materialise(manifest_facts(contract, candidates, texts))
     early = materialise(manifest_violations(contract, facts))
     sound = facts.drop("document").join(early.select(*KEY).distinct(), KEY, "left_anti")
-    inventory = release_inventory(contract, sound)
-    # The listing only tells how much there is to read. Expected files are opened by
-    # name whether listed or not, as listings leave out files of length zero.
-    lengths = scan_assets(spark, path).select("release_id", "name", "length")
-    wanted = inventory.where(F.col("kind").isin("archive", "image")).join(
-        lengths, ["release_id", "name"], "left"
-    )
-    listing = materialise(
-        read_bytes_once(
-            balance_by_bytes(wanted), ["release_id", "name"], F.col("kind") == "archive"
+    inventory = materialise(
+        release_inventory(contract, sound).withColumn(
+            "path", F.concat_ws("/", root, "release_id", "name")
         )
     )
     key = ["release_id", "name"]
+    binaries = inventory.where(F.col("kind").isin("archive", "image"))
+    wanted = materialise(binaries.join(file_lengths(binaries, key), key))
+    listing = materialise(
+        read_bytes_once(balance_by_bytes(wanted), key, F.col("kind") == "archive")
+    )
     assets = digests_of(listing, key).where(F.col("sha256").isNotNull())
+    claims = read_texts(inventory.where(F.col("kind").endswith("_sidecar")), key)
+    sidecars = claims.select(
+        "release_id",
+        F.left("name", F.char_length("name") - len(SIDECAR_SUFFIX)).alias("name"),
+        split_fields(F.col("raw")).alias("fields"),
+    )
     archives = assets.where(F.col("name").endswith(ARCHIVE_SUFFIX))
     members = members_of(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
     found = materialise(
-        early.unionByName(asset_violations(sound, assets, scan_sidecars(spark, path)))
+        early.unionByName(asset_violations(sound, assets, sidecars))
         .unionByName(archive_violations(contract, archives, members))
     )
     return inventory, found, verdicts(candidates, found, KEY)

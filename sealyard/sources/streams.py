@@ -7,6 +7,8 @@ import uuid
 from urllib.parse import urlsplit
 
 CHUNK = 1024 * 1024
+# File systems this process has connected to.
+_SERVERS: dict = {}
 
 
 def locate(path: str):
@@ -18,7 +20,10 @@ def locate(path: str):
         # Local names may hold characters that mean something in a URI.
         return fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
     scheme = "s3" if parts.scheme in ("s3a", "s3n") else parts.scheme
-    system, root = fs.FileSystem.from_uri(f"{scheme}://{parts.netloc}/")
+    server = f"{scheme}://{parts.netloc}/"
+    if server not in _SERVERS:
+        _SERVERS[server] = fs.FileSystem.from_uri(server)
+    system, root = _SERVERS[server]
     inner = path.split(parts.netloc, 1)[1] if parts.netloc else path.split(":", 1)[1]
     return system, root.rstrip("/") + "/" + inner.lstrip("/")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import sealyard as sy
 from sealyard.operators.digests import digest_files
 from sealyard.sources.archives import digests_of, members_of as listed_members, read_bytes_once
-from sealyard.sources.files import balance_by_bytes
+from sealyard.sources.named import balance_by_bytes, file_lengths, read_texts
 from sealyard.sources.streams import HashingReader, copy_file, locate
 
 
@@ -82,6 +82,18 @@ def test_balance_keeps_its_tasks(spark, folder):
     assert spread.rdd.getNumPartitions() == -(-total // 100_000) > 8
 
 
+def test_named_files(spark, folder, tmp_path):
+    (tmp_path / "bad").write_bytes(b"\xff")
+    (tmp_path / "empty").write_bytes(b"")
+    names = [str(folder / "r+2 %20" / "a.bin.sha256"), f"file://{tmp_path}/bad",
+             f"file:{tmp_path}/empty", f"{tmp_path}/none", str(tmp_path)]
+    files = spark.createDataFrame(list(enumerate(names)), "k int, path string")
+    texts = {r.k: r.raw for r in read_texts(files.limit(4), ["k"]).collect()}
+    assert texts == {0: "abc \t a.bin\n", 1: None, 2: "", 3: None}
+    lengths = {r.k: r.length for r in file_lengths(files, ["k"], files_per_task=1).collect()}
+    assert lengths == {0: 12, 1: 1, 2: 0, 3: None, 4: None}
+
+
 def wide_archive(count):
     return archive_bytes([member("b", tarfile.DIRTYPE)] + [
         member(f"b/{'x' * (i % 120)}{i}", data=b"d" * (i % 700)) for i in range(count)
