@@ -22,8 +22,14 @@ from sealyard import (
 from sealyard.bindings import query, table, wide_table
 from sealyard.operators.digests import asset_facts, asset_rules, content_digest
 from sealyard.operators.digests import digest_files as digests_below
-from sealyard.plans.contract import MODEL_KEYS
-from sealyard.plans.publish import create_registry, index_rows, upload_violations
+from sealyard.fixed import MODEL_KEYS
+from sealyard.plans.publish import (
+    create_registry,
+    draft_release,
+    index_rows,
+    upload_violations,
+    write_upload_listing as keep_listing,
+)
 from sealyard.plans.validate import manifest_facts, release_inventory
 from sealyard.session import configure, fresh_folder
 from sealyard.sources.archives import digests_of, members_of, read_bytes_once
@@ -371,7 +377,7 @@ def _tagged_documents(spark, sf_dir):
 
 
 def _published(spark, sf_dir):
-    """Admit, reconcile and publish the tagged documents; returns index and candidates."""
+    """Admit, draft, reconcile and publish the tagged documents; returns index and candidates."""
     registry = fresh_folder(spark, "registry")
     create_registry(spark, registry)
     candidates = _tagged_documents(spark, sf_dir)
@@ -386,19 +392,45 @@ def _published(spark, sf_dir):
         F.when(F.col("complete"), F.col("size")).otherwise(F.col("size") - 1).alias("size"),
     )
     rows = index_rows(admitted, F.col("source"), F.col("doc_id"))
+    draft_release(rows, registry, 1)
     return publish(rows, upload_violations(files, uploads), registry, 1), candidates
 
 
-@query(f"""
-    SELECT doc_id::VARCHAR AS release_id, tag, source AS product,
+_INDEX = """SELECT doc_id::VARCHAR AS release_id, tag, source AS product,
            CASE WHEN contains(tag, '-') THEN 'prerelease' ELSE 'stable' END AS channel,
-           doc_id AS arrival, 'published' AS state, 1::BIGINT AS seq
-    FROM ({_PUBLISHED}) WHERE strlen(text) = n_chars
-""")
+           doc_id AS arrival, '{state}' AS state, 1::BIGINT AS seq"""
+_PUBLISHED_INDEX = f"""
+    {_INDEX.format(state="published")} FROM ({_PUBLISHED}) WHERE strlen(text) = n_chars
+"""
+
+
+@query(_PUBLISHED_INDEX)
 def publish_release(spark, sf_dir):
+    return _published(spark, sf_dir)[0].where(F.col("state") == "published")
+
+
+@query(f"{_PUBLISHED_INDEX} UNION ALL {_INDEX.format(state='draft')} FROM ({_PUBLISHED})")
+def scan_releases(spark, sf_dir):
+    """The whole index: an incomplete upload has left a draft and nothing else."""
     return _published(spark, sf_dir)[0]
 
 
+@query("""
+    SELECT page_id::VARCHAR AS release_id, 'v' || page_id AS tag, 0::BIGINT AS upload_pos,
+           url AS name, strlen(html) AS size, 4::BIGINT AS seq
+    FROM pages
+""")
+def write_upload_listing(spark, sf_dir):
+    uploads = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("release_id"),
+        F.concat(F.lit("v"), F.col("page_id")).alias("tag"),
+        F.lit(0).cast("bigint").alias("upload_pos"),
+        F.col("url").alias("name"),
+        F.octet_length("html").cast("bigint").alias("size"),
+    )
+    return keep_listing(uploads, fresh_folder(spark, "registry"), 4)
+
+
 @query(f"""
     SELECT source AS product, tag, doc_id::VARCHAR AS release_id, strlen(text) AS size
     FROM ({_PUBLISHED}) WHERE strlen(text) = n_chars AND NOT contains(tag, '-')

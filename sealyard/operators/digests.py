@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealyard.fixed import MESSAGES
 from sealyard.operators.rules import Rule, violations
 from sealyard.sources.archives import read_bytes_once
 from sealyard.sources.files import scan_assets
@@ -70,19 +71,19 @@ def asset_rules(phase: int = 3) -> list[Rule]:
     present = F.col("_present").isNotNull()
     at = {"phase": phase, "item_pos": F.col("item_pos")}
     return [
-        Rule("asset_present", 13, present, F.concat(F.lit("No such file: "), "name"), **at),
+        Rule("asset_present", 13, present, F.concat(F.lit(MESSAGES["asset_present"]), "name"), **at),
         Rule(
             "sidecar_matches",
             14,
             ~present | sidecar_matches(F.col("fields"), F.col("sha256"), F.col("name")),
-            F.concat(F.lit("Invalid checksum for "), "name"),
+            F.concat(F.lit(MESSAGES["sidecar_matches"]), "name"),
             **at,
         ),
         Rule(
             "digest_matches_manifest",
             15,
             ~present | (F.col("kind") != "archive") | (F.col("sha256") == F.col("claimed_sha256")),
-            "Archive checksum differs from manifest",
+            MESSAGES["digest_matches_manifest"],
             sub_pos=1,
             **at,
         ),

@@ -59,7 +59,7 @@ def reconcile_inventory(
     status = (
         F.when(F.col("_expected").isNull(), "extra")
         .when(F.col("_observed").isNull(), "missing")
-        .when(F.col("_want").eqNullSafe(F.col("_have")), "ok")
+        .when(F.col("_want") == F.col("_have"), "ok")
         .otherwise("mismatch")
     )
     how = "full_outer" if report_extra else "left"

@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the release contract: patterns, key lists and file names.
-VERSION_PATTERN = r"\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?"
-COMMIT_PATTERN = r"[a-f0-9]{40}"
-MODEL_KEYS = (
-    "id",
-    "label",
-    "repository",
-    "revision",
-    "size_bytes",
-    "dimensions",
-    "default_dimensions",
+from sealyard.fixed import (
+    ARCHIVE_SUFFIX,
+    IMAGE_SUFFIX,
+    MANIFEST_NAME,
+    MESSAGES,
+    SIDECAR_SUFFIX,
 )
-MANIFEST_NAME = "release.json"
-ARCHIVE_SUFFIX = ".tar.gz"
-IMAGE_SUFFIX = ".dmg"
-SIDECAR_SUFFIX = ".sha256"
-TAG_PREFIX = "v"
-EXECUTE_BITS = 0o111
-
 
 @dataclass(frozen=True)
 class ReleaseContract:
@@ -53,6 +41,9 @@ class ReleaseContract:
     def product(self) -> str:
         return self.base_prefix.rstrip("-")
 
+    def message(self, rule: str) -> str:
+        return MESSAGES[rule].format(**asdict(self))
+
     def base(self, version: Column) -> Column:
         return F.concat(F.lit(self.base_prefix), version, F.lit(self.base_suffix))
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealyard.fixed import MESSAGES
 from sealyard.functions.text import classify_channel
 from sealyard.operators.inventory import reconcile_inventory
 from sealyard.operators.registry import reject_existing
@@ -21,7 +22,7 @@ from sealyard.plans.contract import ReleaseContract
 from sealyard.plans.validate import validate_folder
 from sealyard.session import materialise
 from sealyard.sources.files import RELEASES_SCHEMA, scan_releases
-from sealyard.sources.named import balance_by_bytes, file_lengths
+from sealyard.sources.named import balance_by_bytes, file_lengths, qualified
 from sealyard.sources.streams import copy_file
 
 _LISTING = "release_id string, tag string, upload_pos bigint, name string, size bigint"
@@ -47,6 +48,11 @@ def _append(rows: DataFrame, registry: str, state: str, seq: int) -> None:
     )
 
 
+def draft_release(releases: DataFrame, registry: str, seq: int) -> None:
+    """Enter releases as drafts: no reader resolves them, but their tags are taken."""
+    _append(releases, registry, "draft", seq)
+
+
 def tag_violations(rejected: DataFrame, key: Sequence[str] = ("release_id",)) -> DataFrame:
     """Rule 26 for candidates whose tag exists already, in the registry or the batch."""
     taken = Rule(
@@ -73,7 +79,7 @@ def upload_violations(
     )
     complete = Rule(
         "upload_size_matches", 25, F.col("status") == "ok",
-        F.concat(F.lit("Missing or incomplete upload: "), "name"), phase=8,
+        F.concat(F.lit(MESSAGES["upload_size_matches"]), "name"), phase=8,
     )
     return violations(uploads, key, [usable]).unionByName(violations(status, key, [complete]))
 
@@ -88,10 +94,9 @@ def stage_release(
     first, so that an interrupted upload leaves a trace that blocks the tag until
     someone has looked at it. The listing holds the sizes found after the copy.
     """
-    spark = files.sparkSession
-    _append(releases, registry, "draft", seq)
+    draft_release(releases, registry, seq)
     source = content if content is not None else "path"
-    root, in_row = f"{registry}/files", content is not None
+    root, in_row = qualified(files.sparkSession, f"{registry}/files"), content is not None
     names = [column.split()[0] for column in _LISTING.split(", ")]
 
     def upload(batches):

@@ -7,9 +7,23 @@ catalog, 3 assets, 4 archive readable, 5 archive members, 6 required members,
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealyard.fixed import (
+    ARCHIVE_SUFFIX,
+    COMMIT_PATTERN,
+    EXECUTE_BITS,
+    IMAGE_SUFFIX,
+    MANIFEST_NAME,
+    MESSAGES,
+    MODEL_KEYS,
+    SIDECAR_SUFFIX,
+    TAG_PREFIX,
+    VERSION_PATTERN,
+)
 from sealyard.functions.documents import (
     json_document,
     key_list,
@@ -41,18 +55,7 @@ from sealyard.operators.rules import (
     verdicts,
     violations,
 )
-from sealyard.plans.contract import (
-    ARCHIVE_SUFFIX,
-    COMMIT_PATTERN,
-    EXECUTE_BITS,
-    IMAGE_SUFFIX,
-    MANIFEST_NAME,
-    MODEL_KEYS,
-    SIDECAR_SUFFIX,
-    TAG_PREFIX,
-    VERSION_PATTERN,
-    ReleaseContract,
-)
+from sealyard.plans.contract import ReleaseContract
 from sealyard.session import configure, materialise
 from sealyard.sources.archives import digests_of, members_of, read_bytes_once
 from sealyard.sources.files import explode_models
@@ -105,55 +108,42 @@ def manifest_facts(
     return typed.withColumn("base", contract.base(F.col("version")))
 
 
-def _keyed(name: str, ord: int, key: str, holds: Column, message, **at) -> list[Rule]:
+def _keyed(
+    contract: ReleaseContract, name: str, ord: int, key: str, holds: Column, **at
+) -> list[Rule]:
     """A rule on the value of a manifest key, led by the rule that the key is there."""
-    there = f"array_contains(keys, {quoted(key)})"
-    moot = F.expr(f"NOT readable OR NOT {there}")
+    moot = F.expr(f"NOT readable OR NOT array_contains(keys, {quoted(key)})")
     return [
-        Rule("required_key", ord, F.expr(f"NOT readable OR {there}"), repr(key), **at),
-        Rule(name, ord, moot | holds, message, sub_pos=1, **at),
+        _key_present(ord, key, **at),
+        Rule(name, ord, moot | holds, contract.message(name), sub_pos=1, **at),
     ]
 
 
+def _key_present(ord: int, key: str, **at) -> Rule:
+    present = F.expr(f"NOT readable OR array_contains(keys, {quoted(key)})")
+    return Rule("required_key", ord, present, repr(key), **at)
+
+
 def manifest_rules(contract: ReleaseContract) -> list[Rule]:
-    version = F.col("version")
+    version, tag = F.col("version"), F.col("tag")
+    same_tag = version.isNull() | columns_equal(tag, F.concat(F.lit(TAG_PREFIX), version))
+    architecture = equals_constant(F.col("architecture"), contract.architecture)
+    team = equals_constant(F.col("team_identifier"), contract.team_identifier)
+    commit = full_match(F.col("source_commit"), COMMIT_PATTERN)
+
+    def keyed(name, ord, key, holds):
+        return _keyed(contract, name, ord, key, holds)
+
     return [
-        Rule("manifest_readable", 1, F.col("readable"), "Manifest missing or not one JSON value"),
-        *_keyed(
-            "full_match(version)", 3, "version",
-            full_match(version, VERSION_PATTERN), "Invalid version",
-        ),
-        Rule(
-            "columns_equal(tag)", 4,
-            version.isNull() | columns_equal(F.col("tag"), F.concat(F.lit(TAG_PREFIX), version)),
-            "Tag and manifest version differ",
-        ),
-        *_keyed(
-            "equals_constant(architecture)", 5, "architecture",
-            equals_constant(F.col("architecture"), contract.architecture),
-            f"Expected {contract.architecture}",
-        ),
-        *_keyed(
-            "equals_constant(team_identifier)", 6, "team_identifier",
-            equals_constant(F.col("team_identifier"), contract.team_identifier),
-            f"Expected {contract.team_name} signing team",
-        ),
-        *_keyed(
-            "strict_true(notarized)", 7, "notarized",
-            F.col("notarized"), "Only notarized builds may be published",
-        ),
-        *_keyed(
-            "full_match(source_commit)", 8, "source_commit",
-            full_match(F.col("source_commit"), COMMIT_PATTERN), "Missing source commit",
-        ),
-        *_keyed(
-            "nonempty_object(server)", 9, "server",
-            F.col("has_server"), "Missing server description",
-        ),
-        *_keyed(
-            "nonempty_array(models)", 10, "models",
-            F.col("has_models"), "Missing model catalog",
-        ),
+        Rule("manifest_readable", 1, F.col("readable"), contract.message("manifest_readable")),
+        *keyed("full_match(version)", 3, "version", full_match(version, VERSION_PATTERN)),
+        Rule("columns_equal(tag)", 4, same_tag, contract.message("columns_equal(tag)")),
+        *keyed("equals_constant(architecture)", 5, "architecture", architecture),
+        *keyed("equals_constant(team_identifier)", 6, "team_identifier", team),
+        *keyed("strict_true(notarized)", 7, "notarized", F.col("notarized")),
+        *keyed("full_match(source_commit)", 8, "source_commit", commit),
+        *keyed("nonempty_object(server)", 9, "server", F.col("has_server")),
+        *keyed("nonempty_array(models)", 10, "models", F.col("has_models")),
     ]
 
 
@@ -161,10 +151,9 @@ def manifest_violations(contract: ReleaseContract, facts: DataFrame) -> DataFram
     """Phases 1 and 2. Reads no asset and shuffles nothing."""
     entries = explode_models(facts, KEY, F.col("document"))
     missing = required_keys(entries, KEY, F.col("model"), MODEL_KEYS, F.col("model_pos"))
-    catalog = missing_key_violations(
-        missing, KEY, "required_keys(models[])", 11, 2, MODEL_KEYS,
-        F.concat(F.lit("Model missing "), F.col("missing")),
-    )
+    rule = "required_keys(models[])"
+    message = F.concat(F.lit(contract.message(rule)), F.col("missing"))
+    catalog = missing_key_violations(missing, KEY, rule, 11, 2, MODEL_KEYS, message)
     return violations(facts, KEY, manifest_rules(contract)).unionByName(catalog)
 
 
@@ -174,7 +163,9 @@ def release_inventory(contract: ReleaseContract, facts: DataFrame) -> DataFrame:
     return expected_inventory(named, KEY, F.col("base"), contract.files())
 
 
-def asset_violations(facts: DataFrame, assets: DataFrame, sidecars: DataFrame) -> DataFrame:
+def asset_violations(
+    contract: ReleaseContract, facts: DataFrame, assets: DataFrame, sidecars: DataFrame
+) -> DataFrame:
     """Phase 3: names, presence, checksum files and the digest the manifest claims."""
     binaries = [("archive", ARCHIVE_SUFFIX), ("image", IMAGE_SUFFIX)]
     carried = ["readable", "keys", "archive", "disk_image", "archive_sha256"]
@@ -182,25 +173,19 @@ def asset_violations(facts: DataFrame, assets: DataFrame, sidecars: DataFrame) -
         facts.where(F.col("base").isNotNull()), KEY, F.col("base"), binaries, carried
     ).withColumnsRenamed({"ord": "item_pos", "archive_sha256": "claimed_sha256"})
     at = {"phase": 3, "item_pos": F.col("item_pos")}
-    is_archive = F.col("kind") == "archive"
-    named = []
+    rules = []
     for kind, key in (("archive", "archive"), ("image", "disk_image")):
-        for rule in _keyed(
-            f"columns_equal({key})", 12, key,
-            columns_equal(F.col(key), F.col("name")), f"Unexpected {key}", **at,
-        ):
-            named.append(_only(F.col("kind") == kind, rule))
-    claim = _keyed("", 15, "archive_sha256", F.lit(True), None, **at)[0]
-    facts_of_assets = asset_facts(expected, assets, sidecars, KEY)
-    return violations(facts_of_assets, KEY, [*named, _only(is_archive, claim), *asset_rules()])
+        named = columns_equal(F.col(key), F.col("name"))
+        for rule in _keyed(contract, f"columns_equal({key})", 12, key, named, **at):
+            rules.append(_only(F.col("kind") == kind, rule))
+    rules.append(_only(F.col("kind") == "archive", _key_present(15, "archive_sha256", **at)))
+    compared = asset_facts(expected, assets, sidecars, KEY)
+    return violations(compared, KEY, [*rules, *asset_rules()])
 
 
 def _only(scope: Column, rule: Rule) -> Rule:
     """The rule, limited to the rows in scope."""
-    return Rule(
-        rule.name, rule.ord, ~scope | F.coalesce(rule.holds, F.lit(False)), rule.message,
-        rule.phase, rule.item_pos, rule.sub_pos,
-    )
+    return replace(rule, holds=~scope | F.coalesce(rule.holds, F.lit(False)))
 
 
 def archive_violations(
@@ -231,16 +216,16 @@ def _without_suffix(archive: Column) -> Column:
 
 def member_rules(contract: ReleaseContract) -> list[Rule]:
     name, kind, base = F.col("name"), F.col("type"), F.col("base")
-    at = {"phase": 5, "item_pos": F.col("member_pos")}
     permitted = [(F.concat(base, F.lit("/" + contract.alias)), F.lit(contract.entrypoint))]
+    holds = {
+        "safe_path": safe_path(name),
+        "path_root": path_root(name, base),
+        "allowed_kind": allowed_kind(kind),
+        "link_allowlist": link_allowlist(kind, name, F.col("linkname"), permitted),
+    }
     return [
-        Rule("safe_path", 17, safe_path(name), "Unsafe archive path", **at),
-        Rule("path_root", 18, path_root(name, base), "Unexpected archive root", **at),
-        Rule("allowed_kind", 19, allowed_kind(kind), "Unsupported archive member", **at),
-        Rule(
-            "link_allowlist", 20, link_allowlist(kind, name, F.col("linkname"), permitted),
-            "Unexpected symlink", **at,
-        ),
+        Rule(rule, ord, condition, MESSAGES[rule], phase=5, item_pos=F.col("member_pos"))
+        for ord, (rule, condition) in enumerate(holds.items(), 17)
     ]
 
 
@@ -269,24 +254,15 @@ def required_member_violations(
             F.bool_or(below).alias("resources_ok"),
         )
     )
-    role = contract.entrypoint_role
+    holds = {
+        "require_member(entrypoint)": F.col("entry_ok").isNotNull(),
+        "member_property(entrypoint)": F.coalesce(F.col("entry_ok"), F.lit(True)),
+        "require_member(alias)": F.col("alias_ok"),
+        "require_any_prefix(resources)": F.col("resources_ok"),
+    }
     rules = [
-        Rule(
-            "require_member(entrypoint)", 21, F.col("entry_ok").isNotNull(),
-            F.concat(F.lit("Missing member "), F.lit(contract.entrypoint)), phase=6,
-        ),
-        Rule(
-            "member_property(entrypoint)", 22, F.coalesce(F.col("entry_ok"), F.lit(True)),
-            f"{role} is not executable", phase=6,
-        ),
-        Rule(
-            "require_member(alias)", 23, F.col("alias_ok"),
-            f"Missing {contract.client_name} compatibility entry", phase=6,
-        ),
-        Rule(
-            "require_any_prefix(resources)", 24, F.col("resources_ok"),
-            "Missing resources", phase=6,
-        ),
+        Rule(rule, ord, condition, contract.message(rule), phase=6)
+        for ord, (rule, condition) in enumerate(holds.items(), 21)
     ]
     return violations(listed.join(summary, KEY, "left"), KEY, rules)
 
@@ -309,7 +285,7 @@ def validate_releases(
     archives = assets.where(F.col("name").endswith(ARCHIVE_SUFFIX))
     found = materialise(
         manifest_violations(contract, facts)
-        .unionByName(asset_violations(facts, assets, sidecars))
+        .unionByName(asset_violations(contract, facts, assets, sidecars))
         .unionByName(archive_violations(contract, archives, members))
     )
     return found, verdicts(candidates, found, KEY)
@@ -320,9 +296,10 @@ def validate_folder(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(inventory, violations, verdicts)`` of the release folders below ``path``.
 
-    Files are opened by the name the contract gives them, so no folder is listed, and
-    an unexpected file has no influence. Manifests are judged first, and bytes are read only for releases without a
-    finding there. Each such file is read once; digests and member lists are written
+    ``candidates`` has ``release_id, tag`` with each id once. Files are opened by the
+    name the contract gives them, so no folder is listed, and an unexpected file has no
+    influence. Manifests are judged first, and bytes are read only for releases without
+    a finding there. Each such file is read once; digests and member lists are written
     to the shared folder, so neither a later branch nor a lost executor reads it again.
     """
     root = F.lit(qualified(spark, path))
@@ -356,7 +333,7 @@ def validate_folder(
     archives = assets.where(F.col("name").endswith(ARCHIVE_SUFFIX))
     members = members_of(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
     found = materialise(
-        early.unionByName(asset_violations(sound, assets, sidecars))
+        early.unionByName(asset_violations(contract, sound, assets, sidecars))
         .unionByName(archive_violations(contract, archives, members))
     )
     return inventory, found, verdicts(candidates, found, KEY)

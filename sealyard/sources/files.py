@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealyard.fixed import LISTING_NAME, MANIFEST_NAME, SIDECAR_SUFFIX
 from sealyard.functions.documents import (
     array_items,
     json_document,
@@ -42,7 +43,7 @@ def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     )
 
 
-def scan_manifests(spark: SparkSession, path: str, name: str = "release.json") -> DataFrame:
+def scan_manifests(spark: SparkSession, path: str, name: str = MANIFEST_NAME) -> DataFrame:
     """``release_id, raw``: the manifest text of each release folder."""
     return _whole_files(spark, path, name).select(
         parent_name(F.col("_path")).alias("release_id"), "raw"
@@ -89,7 +90,7 @@ def scan_assets(
     )
 
 
-def scan_sidecars(spark: SparkSession, path: str, suffix: str = ".sha256") -> DataFrame:
+def scan_sidecars(spark: SparkSession, path: str, suffix: str = SIDECAR_SUFFIX) -> DataFrame:
     """``release_id, name, fields``: words of each checksum file, by asset name."""
     file_name = base_name(F.col("_path"))
     return _whole_files(spark, path, "*" + suffix).select(
@@ -100,7 +101,7 @@ def scan_sidecars(spark: SparkSession, path: str, suffix: str = ".sha256") -> Da
 
 
 def scan_uploads(
-    spark: SparkSession, path: str, name: str = "uploaded-assets.json"
+    spark: SparkSession, path: str, name: str = LISTING_NAME
 ) -> DataFrame:
     """``release_id, upload_pos, name, size`` from the listing of each release folder."""
     listings = _whole_files(spark, path, name).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import sealyard as sy
 from sealyard.functions.documents import json_document, whole_number
-from sealyard.plans.contract import COMMIT_PATTERN, VERSION_PATTERN
+from sealyard.fixed import COMMIT_PATTERN, VERSION_PATTERN
 
 
 def evaluate(spark, values, expression):

@@ -130,7 +130,7 @@ def test_reconcile_counts_the_last_observation(spark):
     )
     got = sy.reconcile_inventory(expected, observed, ["name"], "size", ["pos"])
     assert {r.name: r.status for r in got.collect()} == {
-        "a": "ok", "b": "mismatch", "c": "missing", "d": "ok",
+        "a": "ok", "b": "mismatch", "c": "missing", "d": "mismatch",
     }
     more = sy.reconcile_inventory(expected, observed, ["name"], "size", ["pos"], report_extra=True)
     assert {r.name: r.status for r in more.collect()}["x"] == "extra"
