@@ -300,7 +300,9 @@ def document_releases(spark, sf_dir):
         F.when(fault == "swapped_sidecar", F.concat_ws("  ", name, "archive_sha"))
         .otherwise(F.concat_ws("  ", "archive_sha", name)).alias("raw"),
     )
-    image_claim = images.select("release_id", "name", F.concat_ws("\t", "sha256", "name").alias("raw"))
+    image_claim = images.select(
+        "release_id", "name", F.concat_ws("\t", "sha256", "name").alias("raw")
+    )
     sidecars = archive_claim.unionByName(image_claim).select(
         "release_id", "name", split_fields(F.col("raw")).alias("fields")
     )

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from sealyard.functions.text import array_of
 
-# NaN and the infinities are accepted, single-quoted strings are not.
+# NaN, Infinity and -Infinity are accepted, single-quoted strings are not.
 _OPTIONS = {"allowSingleQuotes": "false"}
+# The parser knows more spellings of infinity than that; outside strings they are errors.
+_STRINGS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_OTHER_INFINITIES = r"INF|\+Infinity"
 
 
 def json_document(raw: Column) -> Column:
@@ -24,7 +27,9 @@ def json_document(raw: Column) -> Column:
     as_item = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "variant", _OPTIONS)
     as_value = F.from_json(F.concat(F.lit('{"k":'), raw, F.lit("}")), "variant", _OPTIONS)
     items = F.try_variant_get(as_item, "$", "array<variant>")
-    return F.when(F.is_valid_utf8(raw) & as_value.isNotNull(), F.get(items, 0))
+    suspect = raw.rlike(_OTHER_INFINITIES)
+    plain = ~suspect | ~F.regexp_replace(raw, _STRINGS, "").rlike(_OTHER_INFINITIES)
+    return F.when(F.is_valid_utf8(raw) & plain & as_value.isNotNull(), F.get(items, 0))
 
 
 def object_fields(value: Column) -> Column:

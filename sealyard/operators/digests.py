@@ -31,13 +31,12 @@ def digest_files(
     that would strain a row is streamed in chunks. Either way each byte is read once.
     """
     columns = ["release_id", "name", "path", "length"]
-    in_rows = (
-        scan_assets(spark, path, pattern, extra=["content"])
-        .where(F.col("length") <= limit)
-        .select(*columns, content_digest(F.col("content")).alias("sha256"))
+    files = scan_assets(spark, path, pattern, extra=["content"])
+    in_rows = files.where(F.col("length") <= limit).select(
+        *columns, content_digest(F.col("content")).alias("sha256")
     )
-    long = scan_assets(spark, path, pattern).where(F.col("length") > limit)
-    in_chunks = read_bytes_once(balance_by_bytes(long), columns[:3], archives=False)
+    long = balance_by_bytes(files.where(F.col("length") > limit).select(*columns))
+    in_chunks = read_bytes_once(long, columns[:3], archives=False)
     return in_rows.unionByName(in_chunks.select(*columns, "sha256"))
 
 
@@ -82,7 +81,9 @@ def asset_rules(phase: int = 3) -> list[Rule]:
         Rule(
             "digest_matches_manifest",
             15,
-            ~present | (F.col("kind") != "archive") | (F.col("sha256") == F.col("claimed_sha256")),
+            ~present
+            | (F.col("kind") != "archive")
+            | (F.col("sha256") == F.col("claimed_sha256")),
             MESSAGES["digest_matches_manifest"],
             sub_pos=1,
             **at,

@@ -73,6 +73,8 @@ def test_classify_channel(spark):
 
 
 DOCUMENTS = [
+    '{"a":-INF}', '{"a":+Infinity}', '{"a":"+Infinity \\" INF","b":-Infinity}', '{"INF":"\\\\"}',
+    '{"a":"x","b":INF}',
     '{"a":1}', ' {"a":1}\n', '{"a":1} x', '{"a":1}}', '{"a":1}]', '{"a":1},{"b":2}', "", " ",
     '{"a":1},"b":2', '{"a":1}] [', '{"a":1}} {', "[1]", "[1],[2]", '"x"', "1", "1,2", "1]", "1}",
     "null", "true", "NaN", '{"a":NaN}', '{"a":-Infinity}', "{'a':1}", '{"a":01}', '{"a":1,}',
