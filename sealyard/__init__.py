@@ -59,6 +59,7 @@ from sealyard.plans.publish import (
     publish_release,
     read_upload_listings,
     stage_release,
+    validate_published,
 )
 from sealyard.plans.validate import validate_folder, validate_releases
 from sealyard.session import configure, materialise, shared_folder

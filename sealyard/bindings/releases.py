@@ -241,11 +241,11 @@ def _model_type(key: str) -> str:
     return f"{key}:{'int' if key == 'dimensions' else 'string'}"
 
 
-def document_releases(spark, sf_dir):
-    """The input tables of a validation: candidates, manifests, assets, sidecars, members.
+def document_manifests(spark, sf_dir):
+    """Archives, descriptions, candidates and manifests of one release per document.
 
     Archives are built once and written to the shared folder, as a registry would hold
-    them; from there each is read once for digest and members together.
+    them.
     """
     configure(spark)
     names = F.array(*[F.lit(name) for name, _, _ in FAULTS])
@@ -254,9 +254,33 @@ def document_releases(spark, sf_dir):
     documents = wide_table(spark, sf_dir, "documents", *_PACKED)
     packed = materialise(
         packed_documents(documents, _base(), fault).select(
-            F.col("doc_id").alias("release_id"), "base", "fault", "content"
+            F.col("doc_id").alias("release_id"),
+            "base",
+            "fault",
+            content_digest(F.col("content")).alias("archive_sha"),
+            "content",
         )
     )
+    version = F.concat(F.lit("1.0."), F.col("release_id"))
+    described = packed.drop("content").withColumn("version", version)
+    fault = F.col("fault")
+    tag = F.concat(F.lit("v"), F.col("version"))
+    candidates = described.select(
+        "release_id", F.when(fault == "tag", F.col("version")).otherwise(tag).alias("tag")
+    )
+    manifests = described.where(~(fault == "no_manifest") | fault.isNull()).select(
+        "release_id", _manifest(fault).alias("raw")
+    )
+    return packed, described, candidates, manifests
+
+
+def document_releases(spark, sf_dir):
+    """The input tables of a validation: candidates, manifests, assets, sidecars, members.
+
+    Each archive is read once, for digest and members together.
+    """
+    packed, described, candidates, manifests = document_manifests(spark, sf_dir)
+    fault, number = F.col("fault"), F.expr(_FAULT_NUMBER)
     name = F.concat(F.col("base"), F.lit(".tar.gz"))
     listing = materialise(
         read_bytes_once(
@@ -266,21 +290,6 @@ def document_releases(spark, sf_dir):
     )
     archives = digests_of(listing, ["release_id", "name"])
     members = members_of(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
-    described = packed.select(
-        "release_id",
-        "base",
-        "fault",
-        F.concat(F.lit("1.0."), F.col("release_id")).alias("version"),
-        content_digest(F.col("content")).alias("archive_sha"),
-    )
-    fault = F.col("fault")
-    tag = F.concat(F.lit("v"), F.col("version"))
-    candidates = described.select(
-        "release_id", F.when(fault == "tag", F.col("version")).otherwise(tag).alias("tag")
-    )
-    manifests = described.where(~(fault == "no_manifest") | fault.isNull()).select(
-        "release_id", _manifest(fault).alias("raw")
-    )
     image = F.concat(F.col("base"), F.lit(".dmg"))
     images = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("release_id"),
@@ -348,7 +357,7 @@ def validate_releases(spark, sf_dir):
     WHERE {_FAULT_NUMBER} = 4
 """)
 def manifest_inventory(spark, sf_dir):
-    candidates, manifests, *_ = document_releases(spark, sf_dir)
+    _, _, candidates, manifests = document_manifests(spark, sf_dir)
     return release_inventory(CONTRACT, manifest_facts(CONTRACT, candidates, manifests))
 
 
@@ -399,6 +408,7 @@ def _published(spark, sf_dir):
 
 
 _INDEX = """SELECT doc_id::VARCHAR AS release_id, tag, source AS product,
+           source || ' ' || tag AS title,
            CASE WHEN contains(tag, '-') THEN 'prerelease' ELSE 'stable' END AS channel,
            doc_id AS arrival, '{state}' AS state, 1::BIGINT AS seq"""
 _PUBLISHED_INDEX = f"""
@@ -470,6 +480,7 @@ def _staged_files(spark, sf_dir):
     tag = F.concat_ws("-", F.lit("v"), "release_id", "name")
     releases = digests.select(
         tag.alias("release_id"), tag.alias("tag"), F.col("name").alias("product"),
+        F.concat_ws(" ", "name", tag).alias("title"),
         F.lit("stable").alias("channel"), F.lit(1).cast("bigint").alias("arrival"),
         "name", "length", "sha256",
     )

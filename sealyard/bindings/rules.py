@@ -266,7 +266,7 @@ _BLANKS = (
     )
 """)
 def split_text_fields(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(
+    words = wide_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", split_fields(F.col("text")).alias("words")
     )
     return words.select(

@@ -47,14 +47,16 @@ def manifest_readable(raw: Column) -> Column:
     return json_document(raw).isNotNull()
 
 
-def safe_path(path: Column) -> Column:
-    """Not absolute, and no ``..`` component."""
-    return ~path.startswith("/") & ~F.array_contains(path_parts(path), "..")
+def safe_path(path: Column, parts: Column | None = None) -> Column:
+    """Not absolute, and no ``..`` component. ``parts`` saves splitting the path again."""
+    parts = path_parts(path) if parts is None else parts
+    return ~path.startswith("/") & ~F.array_contains(parts, "..")
 
 
-def path_root(path: Column, root: Column) -> Column:
+def path_root(path: Column, root: Column, parts: Column | None = None) -> Column:
     """The first component is ``root``; an empty path has none and fails."""
-    return F.coalesce(F.get(path_parts(path), F.lit(0)) == root, F.lit(False))
+    parts = path_parts(path) if parts is None else parts
+    return F.coalesce(F.get(parts, F.lit(0)) == root, F.lit(False))
 
 
 def allowed_kind(kind: Column, kinds=(FILE, DIRECTORY, SYMLINK)) -> Column:

@@ -27,7 +27,7 @@ from sealyard.sources.streams import copy_file
 
 _LISTING = "release_id string, tag string, upload_pos bigint, name string, size bigint"
 UPLOADS_SCHEMA = f"{_LISTING}, seq bigint"
-_INDEX = ["release_id", "tag", "product", "channel", "arrival"]
+_INDEX = ["release_id", "tag", "product", "title", "channel", "arrival"]
 
 
 def releases_path(registry: str) -> str:
@@ -142,16 +142,26 @@ def publish_release(releases: DataFrame, faults: DataFrame, registry: str, seq:
 
 
 def index_rows(admitted: DataFrame, product: Column, arrival: Column) -> DataFrame:
-    """Admitted candidates as rows of the index, with the channel their tag implies."""
+    """Admitted candidates as rows of the index, with title and channel from the tag."""
     return admitted.select(
         "release_id",
         "tag",
         product.alias("product"),
+        F.concat_ws(" ", product, "tag").alias("title"),
         classify_channel(F.col("tag")).alias("channel"),
         arrival.cast("bigint").alias("arrival"),
     )
 
 
+def validate_published(
+    spark: SparkSession, contract: ReleaseContract, registry: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``validate_folder`` over what the registry itself holds; release ids are the tags."""
+    published = scan_releases(spark, releases_path(registry)).where("state = 'published'")
+    candidates = published.select(F.col("tag").alias("release_id"), "tag").distinct()
+    return validate_folder(spark, contract, candidates, f"{registry}/files")
+
+
 def publish_folder(
     spark: SparkSession,
     contract: ReleaseContract,

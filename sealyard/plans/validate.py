@@ -45,7 +45,7 @@ from sealyard.functions.predicates import (
     safe_path,
     strict_true,
 )
-from sealyard.functions.text import quoted, split_fields, strip_slashes
+from sealyard.functions.text import path_parts, quoted, split_fields, strip_slashes
 from sealyard.operators.digests import asset_facts, asset_rules
 from sealyard.operators.inventory import expected_inventory
 from sealyard.operators.rules import (
@@ -203,7 +203,8 @@ def archive_violations(
         [Rule("archive_readable", 16, F.col("error").isNull(), F.col("error"), phase=4)],
     )
     based = members.withColumn("base", _without_suffix(F.col("archive")))
-    rows = violations(based, KEY, member_rules(contract))
+    split = based.withColumn("parts", path_parts(F.col("name")))
+    rows = violations(split, KEY, member_rules(contract))
     listed = archives.where(F.col("error").isNull()).select("release_id")
     return unreadable.unionByName(rows).unionByName(
         required_member_violations(contract, listed, based)
@@ -215,11 +216,11 @@ def _without_suffix(archive: Column) -> Column:
 
 
 def member_rules(contract: ReleaseContract) -> list[Rule]:
-    name, kind, base = F.col("name"), F.col("type"), F.col("base")
+    name, kind, base, parts = (F.col(c) for c in ("name", "type", "base", "parts"))
     permitted = [(F.concat(base, F.lit("/" + contract.alias)), F.lit(contract.entrypoint))]
     holds = {
-        "safe_path": safe_path(name),
-        "path_root": path_root(name, base),
+        "safe_path": safe_path(name, parts),
+        "path_root": path_root(name, base, parts),
         "allowed_kind": allowed_kind(kind),
         "link_allowlist": link_allowlist(kind, name, F.col("linkname"), permitted),
     }

@@ -23,8 +23,8 @@ from sealyard.functions.text import base_name, parent_name, split_fields
 from sealyard.session import configure
 
 RELEASES_SCHEMA = (
-    "release_id string, tag string, product string, channel string, arrival bigint, "
-    "state string, seq bigint"
+    "release_id string, tag string, product string, title string, channel string, "
+    "arrival bigint, state string, seq bigint"
 )
 
 

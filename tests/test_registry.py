@@ -113,6 +113,25 @@ def test_resolve_reads_the_release_published_last(spark, published):
     assert {r.tag for r in latest} == {"v0.3.9"} and len(latest) == 5
 
 
+def test_published_releases_are_validated_where_they_lie(spark, published):
+    root, registry, *_ = published
+    damaged = root / "registry/files/v0.5.0-rc.1/acme-tool-0.5.0-rc.1-os-cpu.dmg"
+    damaged.write_bytes(b"something else")
+    _, _, judged = sy.validate_published(spark, CONTRACT, registry)
+    got = {r.release_id: r.rule for r in judged.collect()}
+    assert got == {"v0.4.0": None, "v0.3.9": None, "v0.5.0-rc.1": "sidecar_matches"}
+
+
+def test_index_has_title_and_channel(spark, published):
+    _, registry, *_ = published
+    rows = sy.scan_releases(spark, releases_path(registry)).where("state = 'published'").collect()
+    assert {(r.tag, r.title, r.channel) for r in rows} == {
+        ("v0.4.0", "acme-tool v0.4.0", "stable"),
+        ("v0.3.9", "acme-tool v0.3.9", "stable"),
+        ("v0.5.0-rc.1", "acme-tool v0.5.0-rc.1", "prerelease"),
+    }
+
+
 def test_incomplete_upload_stays_a_draft_and_blocks_its_tag(spark, tmp_path):
     registry = f"file://{tmp_path}/registry"
     sy.create_registry(spark, registry)
