@@ -35,7 +35,7 @@ def test_a_local_session_without_setting_gets_one():
 def test_materialise_keeps_rows_types_and_variants(spark):
     df = spark.sql("select 1 as a, array('x') as b, parse_json('{\"k\":[1]}') as c")
     kept = materialise(df)
-    assert kept.schema == df.schema
+    assert kept.dtypes == df.dtypes
     assert kept.selectExpr("a", "b", "to_json(c)").first() == (1, ["x"], '{"k":[1]}')
     assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
 
