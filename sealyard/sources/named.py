@@ -17,6 +17,7 @@ from sealyard.sources.streams import locate
 
 # Small requests mostly wait for the file system, so a task has several under way.
 _IN_FLIGHT = 16
+_TASKS_PER_CORE = 64
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -30,11 +31,13 @@ def balance(files: DataFrame, weight: Column, per_task: int, by: Sequence[str])
     """Spread rows over tasks by the work behind them, found by one small aggregate.
 
     The rows themselves are tiny, so adaptive coalescing would put all of them, and
-    with them all the work, into one task. An explicit number is left alone.
+    with them all the work, into one task. An explicit number is left alone. Beyond
+    some tasks per core more of them only make more and smaller output files.
     """
     total = files.agg(F.sum(weight)).first()[0] or 0
     cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(max(cores, math.ceil(total / per_task)), *by)
+    tasks = min(max(cores, math.ceil(total / per_task)), cores * _TASKS_PER_CORE)
+    return files.repartition(tasks, *by)
 
 
 def balance_by_bytes(files: DataFrame, bytes_per_task: int = 256 * 1024 * 1024) -> DataFrame:

@@ -53,6 +53,13 @@ def test_digest_files_short_and_chunked_agree(spark, folder, limit):
         assert (row.length, row.sha256) == (len(data), hashlib.sha256(data).hexdigest())
 
 
+def test_long_files_are_not_read_into_rows(spark, folder):
+    plan = digest_files(spark, str(folder), "*.bin", 10_000)._jdf.queryExecution().executedPlan()
+    scans = [line for line in plan.toString().split("\n") if "FileScan binaryFile" in line]
+    assert any("LessThanOrEqual(length,10000)" in line for line in scans)
+    assert [("content" in line.split("ReadSchema")[-1]) for line in scans].count(True) == 1
+
+
 def test_scan_sidecars(spark, folder):
     rows = {r.release_id: (r.name, r.fields) for r in sy.scan_sidecars(spark, str(folder)).collect()}
     assert rows == {k: ("a.bin", ["abc", "a.bin"]) for k in ("r1", "r+2 %20")}
