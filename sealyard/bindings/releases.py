@@ -1,5 +1,4 @@
-"""Whole releases derived from the given tables: one release per document, and one
-release per data file for the operators on files."""
+"""Whole releases derived from the given tables: one release per document."""
 
 from __future__ import annotations
 
@@ -16,13 +15,11 @@ from sealyard import (
     reject_existing,
     resolve_latest as resolve,
     split_fields,
-    stage_release as stage,
     validate_releases as validate,
 )
 from sealyard.bindings import query, table, wide_table
-from sealyard.operators.digests import asset_facts, asset_rules, content_digest
-from sealyard.operators.digests import digest_files as digests_below
 from sealyard.fixed import MODEL_KEYS
+from sealyard.operators.digests import content_digest
 from sealyard.plans.publish import (
     create_registry,
     draft_release,
@@ -33,12 +30,6 @@ from sealyard.plans.publish import (
 from sealyard.plans.validate import manifest_facts, release_inventory
 from sealyard.session import configure, fresh_folder
 from sealyard.sources.archives import digests_of, members_of, read_bytes_once
-from sealyard.sources.files import (
-    scan_assets as assets_below,
-    scan_manifests as manifests_below,
-    scan_sidecars as sidecars_below,
-    scan_uploads as uploads_below,
-)
 
 CONTRACT = ReleaseContract(
     base_prefix="pack-",
@@ -455,87 +446,3 @@ def resolve_latest(spark, sf_dir):
         ["seq", "arrival", "tag"],
     )
     return latest.select("product", "tag", "release_id", "size")
-
-
-@query()
-def scan_assets(spark, sf_dir):
-    """The data files themselves as assets; lists them without reading any content."""
-    return assets_below(spark, sf_dir, "*.parquet").select("name", "length")
-
-
-@query()
-def digest_files(spark, sf_dir):
-    return digests_below(spark, sf_dir, "*.parquet").select("name", "length", "sha256")
-
-
-def _staged_files(spark, sf_dir):
-    """Stage a manifest, a checksum file and a listing for each data file.
-
-    Every data file is a release; its digest goes over all its bytes, and what is
-    staged are the small texts that describe it. Returns folder, releases, uploads.
-    """
-    registry = fresh_folder(spark, "registry")
-    create_registry(spark, registry)
-    digests = materialise(digests_below(spark, sf_dir, "*.parquet"))
-    tag = F.concat_ws("-", F.lit("v"), "release_id", "name")
-    releases = digests.select(
-        tag.alias("release_id"), tag.alias("tag"), F.col("name").alias("product"),
-        F.concat_ws(" ", "name", tag).alias("title"),
-        F.lit("stable").alias("channel"), F.lit(1).cast("bigint").alias("arrival"),
-        "name", "length", "sha256",
-    )
-    model = F.struct(F.col("sha256").alias("id"), F.col("length").alias("size_bytes"))
-    manifest = F.struct(
-        F.lit("1.0.0").alias("version"), "sha256", F.array(model).alias("models")
-    )
-    upload = F.struct("name", F.col("length").alias("size"))
-    texts = F.array(
-        F.struct(F.lit(0).alias("ord"), F.lit("release.json").alias("name"),
-                 F.to_json(manifest).alias("text")),
-        F.struct(F.lit(1).alias("ord"), F.concat("name", F.lit(".sha256")).alias("name"),
-                 F.concat("sha256", F.lit("  "), "name", F.lit("\n")).alias("text")),
-        F.struct(F.lit(2).alias("ord"), F.lit("uploaded-assets.json").alias("name"),
-                 F.to_json(F.struct(F.array(upload).alias("assets"))).alias("text")),
-    )
-    files = (
-        releases.select("release_id", "tag", F.explode(texts).alias("file"))
-        .select("release_id", "tag", "file.*")
-        .withColumn("content", F.encode("text", "utf-8"))
-    )
-    uploads = stage(files, releases, registry, 1, content="content")
-    return registry, releases, uploads
-
-
-@query()
-def stage_release(spark, sf_dir):
-    _, _, uploads = _staged_files(spark, sf_dir)
-    return uploads.select("tag", "name", "size", "upload_pos")
-
-
-@query()
-def scan_manifests(spark, sf_dir):
-    registry, _, _ = _staged_files(spark, sf_dir)
-    return manifests_below(spark, f"{registry}/files").select("release_id", "raw")
-
-
-@query()
-def scan_sidecars(spark, sf_dir):
-    """Checksum files read back and held against the data files they describe."""
-    registry, releases, _ = _staged_files(spark, sf_dir)
-    read_back = sidecars_below(spark, f"{registry}/files")
-    expected = releases.select(
-        "release_id", F.lit(0).alias("item_pos"), F.lit("image").alias("kind"), "name",
-        F.lit(None).cast("string").alias("claimed_sha256"),
-    )
-    facts = asset_facts(expected, releases, read_back, ["release_id"])
-    rule = next(r for r in asset_rules() if r.name == "sidecar_matches")
-    return facts.select(
-        "release_id", "name", F.concat_ws(" ", "fields").alias("fields"),
-        (~rule.broken).alias("ok"),
-    )
-
-
-@query()
-def scan_upload_files(spark, sf_dir):
-    registry, _, _ = _staged_files(spark, sf_dir)
-    return uploads_below(spark, f"{registry}/files")
