@@ -130,7 +130,10 @@ def write_violations(found: DataFrame, path: str) -> DataFrame:
 
 
 def gate(subjects: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``key, n_violations, passed`` per subject. Counts are partial before the shuffle."""
+    """``key, n_violations, passed`` per subject. Counts are partial before the shuffle.
+
+    ``subjects`` has one row per key.
+    """
     counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     n = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
     return (
@@ -173,7 +176,7 @@ def first_broken(rules: Sequence[Rule], label: str = "name") -> Column:
 
 
 def verdicts(subjects: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Gate and first violation of every subject from a single aggregation."""
+    """Gate and first violation of every subject, one row per key, from one aggregation."""
     summary = found.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by(F.struct("rule", "message"), F.struct(*ORDER)).alias("_first"),
