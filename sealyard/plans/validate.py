@@ -191,26 +191,36 @@ def _only(scope: Column, rule: Rule) -> Rule:
 def archive_violations(
     contract: ReleaseContract, archives: DataFrame, members: DataFrame
 ) -> DataFrame:
-    """Phases 4 to 6. ``archives`` has ``release_id, name, error`` of the archives that
-    were read, members ``release_id, archive, member_pos, name, type, mode, linkname``.
+    """Phases 4 to 6. ``archives`` has ``release_id, archive, error`` of the expected
+    archives that were read, members ``release_id, archive, member_pos, name, type,
+    mode, linkname``. Members of other archives have no influence.
 
     The base name comes with each member as its archive's name without suffix, so the
-    rules on members are row-wise; what concerns the archive as a whole is folded into
-    one small row per archive before the shuffle.
+    rules on members are row-wise and only their findings are joined; what concerns the
+    archive as a whole is folded into one small row per archive before the shuffle.
     """
+    key = [*KEY, "archive"]
     unreadable = violations(
         archives, KEY,
         [Rule("archive_readable", 16, F.col("error").isNull(), F.col("error"), phase=4)],
     )
     based = members.withColumn("base", _without_suffix(F.col("archive")))
     split = based.withColumn("parts", path_parts(F.col("name")))
-    rows = violations(split, KEY, member_rules(contract))
-    listed = archives.where(F.col("error").isNull()).select("release_id")
+    rows = violations(split, key, member_rules(contract))
+    rows = rows.join(archives.select(*key), key, "left_semi").drop("archive")
+    listed = archives.where(F.col("error").isNull()).select(*key)
     return unreadable.unionByName(rows).unionByName(
         required_member_violations(contract, listed, based)
     )
 
 
+def expected_archives(facts: DataFrame, assets: DataFrame) -> DataFrame:
+    """``release_id, archive, error`` of those assets that are a release's archive."""
+    named = facts.select("release_id", F.concat("base", F.lit(ARCHIVE_SUFFIX)).alias("archive"))
+    found = assets.select("release_id", F.col("name").alias("archive"), "error")
+    return found.join(named, [*KEY, "archive"], "left_semi")
+
+
 def _without_suffix(archive: Column) -> Column:
     return F.left(archive, F.char_length(archive) - len(ARCHIVE_SUFFIX))
 
@@ -245,10 +255,11 @@ def required_member_violations(
     at_alias = F.when(F.col("within") == contract.alias, F.col("member_pos"))
     below = F.col("within").startswith(contract.resources + "/")
     # Flags and positions only, so the partial aggregation needs no sort.
+    key = [*KEY, "archive"]
     summary = (
         members.withColumn("within", within)
         .where(F.col("within").isin(contract.entrypoint, contract.alias) | below)
-        .groupBy(*KEY)
+        .groupBy(*key)
         .agg(
             F.max_by(F.coalesce(entry_ok, F.lit(False)), at_entry).alias("entry_ok"),
             F.max_by(F.coalesce(alias_ok, F.lit(False)), at_alias).alias("alias_ok"),
@@ -265,7 +276,7 @@ def required_member_violations(
         Rule(rule, ord, condition, contract.message(rule), phase=6)
         for ord, (rule, condition) in enumerate(holds.items(), 21)
     ]
-    return violations(listed.join(summary, KEY, "left"), KEY, rules)
+    return violations(listed.join(summary, key, "left"), KEY, rules)
 
 
 def validate_releases(
@@ -283,7 +294,7 @@ def validate_releases(
     go to the shared folder once, as several branches and the caller read them.
     """
     facts = materialise(manifest_facts(contract, candidates, manifests))
-    archives = assets.where(F.col("name").endswith(ARCHIVE_SUFFIX))
+    archives = materialise(expected_archives(facts, assets))
     found = materialise(
         manifest_violations(contract, facts)
         .unionByName(asset_violations(contract, facts, assets, sidecars))
@@ -331,7 +342,7 @@ def validate_folder(
         F.left("name", F.char_length("name") - len(SIDECAR_SUFFIX)).alias("name"),
         split_fields(F.col("raw")).alias("fields"),
     )
-    archives = assets.where(F.col("name").endswith(ARCHIVE_SUFFIX))
+    archives = materialise(expected_archives(sound, assets))
     members = members_of(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
     found = materialise(
         early.unionByName(asset_violations(contract, sound, assets, sidecars))

@@ -218,3 +218,27 @@ def test_inventory_names_files_in_order(validated):
         "release.json", f"{BASE}.tar.gz", f"{BASE}.tar.gz.sha256", f"{BASE}.dmg",
         f"{BASE}.dmg.sha256",
     ]
+
+
+def test_files_nobody_expects_have_no_influence(spark, tmp_path):
+    """Tables may hold further archives, assets and checksum files of a release."""
+    from pyspark.sql import functions as F
+
+    from sealyard.sources.archives import digests_of, members_of as listed, read_bytes_once
+
+    base = write_release(tmp_path / "r")
+    (tmp_path / "r" / "other.tar.gz").write_bytes(b"no archive")
+    (tmp_path / "r" / "more.tar.gz").write_bytes(archive_bytes([member("/abs"), member("x/y")]))
+    (tmp_path / "r" / "more.tar.gz.sha256").write_text("nothing")
+    root = str(tmp_path)
+    files = sy.scan_assets(spark, root, "*.tar.gz").unionByName(sy.scan_assets(spark, root, "*.dmg"))
+    key = ["release_id", "name"]
+    listing = read_bytes_once(files, key, F.col("name").endswith(".tar.gz"))
+    members = listed(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
+    candidates = spark.createDataFrame([("r", "v0.4.0")], "release_id string, tag string")
+    found, judged = sy.validate_releases(
+        CONTRACT, candidates, sy.scan_manifests(spark, root), digests_of(listing, key),
+        sy.scan_sidecars(spark, root), members,
+    )
+    assert base in files.where("name like 'acme%'").first().name
+    assert judged.first().passed and found.count() == 0
