@@ -8,8 +8,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "quality",
-]
+    "packing", "quality", "bytepairs", "language",
+]
 
 
 def registered() -> tuple[dict, dict]:

@@ -36,22 +36,22 @@ def add_columns(
     new columns, ``rows`` rows at a time. Columns of ``df`` named like a new one are replaced. A batch is
     passed on as it is, so no other column is turned into Python values.
     """
-    added = T.StructType.fromDDL(fields) if hasattr(T.StructType, "fromDDL") else None
+    added = T.StructType.fromDDL(fields)
     kept = without(df, added.names)
     schema = T.StructType([*kept.schema.fields, *added.fields])
     names = list(inputs)
 
     def run(batches: Iterator):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        out = to_arrow_schema(schema, timezone="UTC")
+        kinds = [to_arrow_type(f.dataType) for f in added.fields]
         compute = function()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 found = compute(*[part.column(part.schema.get_field_index(n)).to_pylist() for n in names])
-                new = [pa.array(list(v), out.field(f.name).type) for v, f in zip(found, added.fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=out.names)
+                new = [pa.array(list(v), kind) for v, kind in zip(found, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
     return kept.mapInArrow(run, schema)
