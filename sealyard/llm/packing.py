@@ -107,6 +107,13 @@ class Packer:
             yield spare[::-1]
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(prints)]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
+
+
 def _tokenizer(path: str):
     """A function from texts to their ids, as the tokenizer gives them without added tokens."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -115,16 +122,12 @@ def _tokenizer(path: str):
     library = Tokenizer.from_file(path)
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
 
+    model, letters = library.model, _byte_letters()
+
     def encode_words(words: list[str]) -> list:
-        out: list = [None] * len(words)
-        # One call for many pieces; the ids are told apart by the piece they come from.
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            found = library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            edges = np.searchsorted(np.array(found.word_ids), np.arange(1, len(part)))
-            out[at : at + len(part)] = np.split(ids, edges)
-        return out
+        # A piece is what the library's own cutting would hand to its model, in the model's alphabet.
+        raw = [w.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters) for w in words]
+        return [[token.id for token in model.tokenize(r)] for r in raw]
 
     encoder = Encoder(encode_words)
 
