@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "packing", "quality", "bytepairs", "language",
+    "packing", "quality", "bytepairs", "chat", "sentences", "language",
 ]
 
 
