@@ -8,7 +8,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "packing", "quality", "embeddings", "bytepairs", "jaccard", "chat", "sentences", "language",
+    "packing", "quality", "embeddings", "bytepairs", "jaccard", "chat", "sentences", "language", "suffixes",
 ]
 
 
