@@ -107,7 +107,7 @@ class Packer:
             yield spare[::-1]
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The letter that byte-level vocabularies write for each byte: itself where it prints, else one from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(prints)]
@@ -122,7 +122,7 @@ def _tokenizer(path: str):
     library = Tokenizer.from_file(path)
     special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
 
-    model, letters = library.model, _byte_letters()
+    model, letters = library.model, byte_letters()
 
     def encode_words(words: list[str]) -> list:
         # A piece is what the library's own cutting would hand to its model, in the model's alphabet.
