@@ -8,7 +8,8 @@ from __future__ import annotations
 import importlib
 
 MODULES = [
-    "packing", "quality", "embeddings", "bytepairs", "jaccard", "chat", "sentences", "language", "suffixes",
+    "packing", "quality", "scoring", "embeddings", "bytepairs",
+    "jaccard", "chat", "sentences", "language", "suffixes",
 ]
 
 
