@@ -159,9 +159,10 @@ def _links_of_block(threshold: float):
 
         first = pdf[pdf.side == 0]
         second = pdf[pdf.side == 1]
-        x = np.vstack(first.unit.to_numpy())
-        tree = CoverTree(x)
-        same = not len(second)
+        same = key[1:3] == key[3:5]
+        if not len(first) or not (same or len(second)):
+            return pd.DataFrame({"row_id": [], "vec_id": [], "n": [], "linked": []}, dtype=np.int64)
+        tree = CoverTree(np.vstack(first.unit.to_numpy()))
         other = tree if same else CoverTree(np.vstack(second.unit.to_numpy()))
         counts, _, root = dual_traversal(tree, other, same, threshold)
         ids = np.concatenate([first.vec_id.to_numpy(), [] if same else second.vec_id.to_numpy()]).astype(np.int64)
