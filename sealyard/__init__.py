@@ -39,6 +39,7 @@ from sealyard.operators.inventory import (
 from sealyard.operators.members import require_members
 from sealyard.operators.registry import (
     latest_per_channel,
+    manifest_and_archive,
     reject_existing,
     resolve_latest,
 )
@@ -62,7 +63,7 @@ from sealyard.plans.publish import (
     validate_published,
 )
 from sealyard.plans.validate import validate_folder, validate_releases
-from sealyard.session import configure, materialise, shared_folder
+from sealyard.session import clean_up, configure, materialise, shared_folder
 from sealyard.sources.archives import list_archives
 from sealyard.sources.files import (
     scan_assets,

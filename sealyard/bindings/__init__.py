@@ -11,8 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealyard.session import widen
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -21,11 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The columns of a table, on all cores even where the file is a single split."""
-    return widen(table(spark, sf_dir, name).select(*columns))
-
-
 def query(sql: str | None = None):
     """Register a function under its name, with the SQL that must agree with it."""
 

@@ -1,16 +1,15 @@
 """The operators on files, over files derived from the given tables.
 
-Each query stages what it reads: first as one release per data file, whose digest goes
-over all bytes of the file, then as one release per row of a table, which SQL can follow.
+Each query stages what it reads: one release per row of a table, which SQL can follow.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealyard import materialise, stage_release as stage
+from sealyard import stage_release as stage
 from sealyard.bindings import query, table
-from sealyard.operators.digests import asset_facts, asset_rules, content_digest
+from sealyard.operators.digests import content_digest
 from sealyard.operators.digests import digest_files as digests_below
 from sealyard.plans.publish import create_registry
 from sealyard.session import fresh_folder
@@ -23,90 +22,6 @@ from sealyard.sources.files import (
 from sealyard.sources.named import file_lengths, qualified, read_texts
 
 
-@query()
-def scan_assets(spark, sf_dir):
-    """The data files themselves as assets; lists them without reading any content."""
-    return assets_below(spark, sf_dir, "*.parquet").select("name", "length")
-
-
-@query()
-def digest_files(spark, sf_dir):
-    return digests_below(spark, sf_dir, "*.parquet").select("name", "length", "sha256")
-
-
-def _staged_files(spark, sf_dir):
-    """Stage a manifest, a checksum file and a listing for each data file.
-
-    Every data file is a release; its digest goes over all its bytes, and what is
-    staged are the small texts that describe it. Returns folder, releases, uploads.
-    """
-    registry = fresh_folder(spark, "registry")
-    create_registry(spark, registry)
-    digests = materialise(digests_below(spark, sf_dir, "*.parquet"))
-    tag = F.concat_ws("-", F.lit("v"), "release_id", "name")
-    releases = digests.select(
-        tag.alias("release_id"), tag.alias("tag"), F.col("name").alias("product"),
-        F.concat_ws(" ", "name", tag).alias("title"),
-        F.lit("stable").alias("channel"), F.lit(1).cast("bigint").alias("arrival"),
-        "name", "length", "sha256",
-    )
-    model = F.struct(F.col("sha256").alias("id"), F.col("length").alias("size_bytes"))
-    manifest = F.struct(
-        F.lit("1.0.0").alias("version"), "sha256", F.array(model).alias("models")
-    )
-    upload = F.struct("name", F.col("length").alias("size"))
-    texts = F.array(
-        F.struct(F.lit(0).alias("ord"), F.lit("release.json").alias("name"),
-                 F.to_json(manifest).alias("text")),
-        F.struct(F.lit(1).alias("ord"), F.concat("name", F.lit(".sha256")).alias("name"),
-                 F.concat("sha256", F.lit("  "), "name", F.lit("\n")).alias("text")),
-        F.struct(F.lit(2).alias("ord"), F.lit("uploaded-assets.json").alias("name"),
-                 F.to_json(F.struct(F.array(upload).alias("assets"))).alias("text")),
-    )
-    files = (
-        releases.select("release_id", "tag", F.explode(texts).alias("file"))
-        .select("release_id", "tag", "file.*")
-        .withColumn("content", F.encode("text", "utf-8"))
-    )
-    uploads = stage(files, releases, registry, 1, content="content")
-    return registry, releases, uploads
-
-
-@query()
-def stage_release(spark, sf_dir):
-    _, _, uploads = _staged_files(spark, sf_dir)
-    return uploads.select("tag", "name", "size", "upload_pos")
-
-
-@query()
-def scan_manifests(spark, sf_dir):
-    registry, _, _ = _staged_files(spark, sf_dir)
-    return manifests_below(spark, f"{registry}/files").select("release_id", "raw")
-
-
-@query()
-def scan_sidecars(spark, sf_dir):
-    """Checksum files read back and held against the data files they describe."""
-    registry, releases, _ = _staged_files(spark, sf_dir)
-    read_back = sidecars_below(spark, f"{registry}/files")
-    expected = releases.select(
-        "release_id", F.lit(0).alias("item_pos"), F.lit("image").alias("kind"), "name",
-        F.lit(None).cast("string").alias("claimed_sha256"),
-    )
-    facts = asset_facts(expected, releases, read_back, ["release_id"])
-    rule = next(r for r in asset_rules() if r.name == "sidecar_matches")
-    return facts.select(
-        "release_id", "name", F.concat_ws(" ", "fields").alias("fields"),
-        (~rule.broken).alias("ok"),
-    )
-
-
-@query()
-def scan_upload_files(spark, sf_dir):
-    registry, _, _ = _staged_files(spark, sf_dir)
-    return uploads_below(spark, f"{registry}/files")
-
-
 # One release per benchmark item: its text, a manifest, a checksum file, a listing.
 _ITEMS = """
     SELECT 'v1.0.' || item_id AS tag, text, sha256(text) AS sha FROM benchmark
@@ -122,11 +37,16 @@ _ITEM_FILES = f"""
     UNION ALL
     SELECT tag, 3, 'uploaded-assets.json',
            '{{"assets":[{{"name":"item.txt","size":' || strlen(text) || '}}]}}' FROM ({_ITEMS})
+    UNION ALL
+    SELECT tag, 4, 'empty.bin', '' FROM ({_ITEMS})
 """
 
 
 def _staged_items(spark, sf_dir):
-    """Stage four small files per benchmark item; returns their folder and the listing."""
+    """Stage five small files per benchmark item, one of them without any bytes.
+
+    Returns their folder and the listing, whose ``release_id`` names the releases.
+    """
     registry = fresh_folder(spark, "registry")
     create_registry(spark, registry)
     tag = F.concat(F.lit("v1.0."), F.col("item_id"))
@@ -142,6 +62,7 @@ def _staged_items(spark, sf_dir):
         "item.txt": F.col("text"),
         "item.txt.sha256": F.concat("sha", F.lit("  item.txt\n")),
         "uploaded-assets.json": F.to_json(F.struct(F.array(upload).alias("assets"))),
+        "empty.bin": F.lit(""),
     }
     entries = [
         F.struct(F.lit(ord).alias("ord"), F.lit(name).alias("name"), text.alias("text"))
@@ -162,7 +83,7 @@ def _staged_items(spark, sf_dir):
 
 
 @query(f"SELECT tag, upload_pos, name, strlen(text) AS size FROM ({_ITEM_FILES})")
-def stage_items(spark, sf_dir):
+def stage_release(spark, sf_dir):
     _, uploads = _staged_items(spark, sf_dir)
     return uploads.select("tag", "upload_pos", "name", "size")
 
@@ -170,17 +91,17 @@ def stage_items(spark, sf_dir):
 @query(f"""
     SELECT tag AS release_id, text AS raw FROM ({_ITEM_FILES}) WHERE name = 'release.json'
 """)
-def scan_item_manifests(spark, sf_dir):
-    folder, _ = _staged_items(spark, sf_dir)
-    return manifests_below(spark, folder)
+def scan_manifests(spark, sf_dir):
+    folder, uploads = _staged_items(spark, sf_dir)
+    return manifests_below(uploads, folder)
 
 
 @query(f"""
     SELECT tag AS release_id, 'item.txt' AS name, sha || ' item.txt' AS fields FROM ({_ITEMS})
 """)
-def scan_item_sidecars(spark, sf_dir):
-    folder, _ = _staged_items(spark, sf_dir)
-    return sidecars_below(spark, folder).select(
+def scan_sidecars(spark, sf_dir):
+    folder, uploads = _staged_items(spark, sf_dir)
+    return sidecars_below(uploads, folder).select(
         "release_id", "name", F.concat_ws(" ", "fields").alias("fields")
     )
 
@@ -189,25 +110,24 @@ def scan_item_sidecars(spark, sf_dir):
     SELECT tag AS release_id, 0 AS upload_pos, 'item.txt' AS name, strlen(text) AS size
     FROM ({_ITEMS})
 """)
-def scan_item_uploads(spark, sf_dir):
-    folder, _ = _staged_items(spark, sf_dir)
-    return uploads_below(spark, folder)
+def scan_upload_files(spark, sf_dir):
+    folder, uploads = _staged_items(spark, sf_dir)
+    return uploads_below(uploads, folder)
 
 
 @query(f"SELECT tag AS release_id, name, strlen(text) AS length FROM ({_ITEM_FILES})")
-def scan_item_assets(spark, sf_dir):
-    folder, _ = _staged_items(spark, sf_dir)
-    return assets_below(spark, folder).select("release_id", "name", "length")
+def scan_assets(spark, sf_dir):
+    folder, uploads = _staged_items(spark, sf_dir)
+    return assets_below(uploads, folder).select("release_id", "name", "length")
 
 
 @query(f"""
     SELECT tag AS release_id, name, strlen(text) AS length, sha256(text) AS sha256
     FROM ({_ITEM_FILES})
 """)
-def digest_item_files(spark, sf_dir):
-    """Texts beyond a low limit go the way of long files: streamed in chunks."""
-    folder, _ = _staged_items(spark, sf_dir)
-    return digests_below(spark, folder, limit=200).select(
+def digest_files(spark, sf_dir):
+    folder, uploads = _staged_items(spark, sf_dir)
+    return digests_below(uploads, folder).select(
         "release_id", "name", "length", "sha256"
     )
 

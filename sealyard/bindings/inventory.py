@@ -18,11 +18,11 @@ from sealyard import (
     verify_digests as verify,
     violations,
 )
-from sealyard.bindings import query, table, wide_table
+from sealyard.bindings import query, table
 from sealyard.operators.digests import asset_rules
 from sealyard.operators.digests import sidecar_matches as says
 from sealyard.plans.publish import upload_violations
-from sealyard.session import configure
+from sealyard.session import configure, materialise
 from sealyard.sources.files import parse_uploads, scan_models as models_of
 
 _SUFFIXES = [
@@ -150,7 +150,8 @@ def sidecar_matches(spark, sf_dir):
     )
 """)
 def verify_digests(spark, sf_dir):
-    all_assets = _document_assets(spark, sf_dir)
+    # Hashed once; expected files, assets and checksum files are read from the result.
+    all_assets = materialise(_document_assets(spark, sf_dir))
     claimed = F.when(F.col("source") == "src3", F.upper("sha")).otherwise(F.col("sha"))
     expected = all_assets.select(
         "doc_id",
@@ -180,18 +181,21 @@ def asset_present(spark, sf_dir):
 
 
 @query("""
-    SELECT ok, count(*) AS n FROM (
-      SELECT CASE WHEN source = 'src3' THEN upper(sha256(text)) ELSE sha256(text) END
-             = sha256(text) AS ok
-      FROM documents
-    ) GROUP BY 1
+    SELECT doc_id, 'digest_matches_manifest' AS rule,
+           'Archive checksum differs from manifest' AS message
+    FROM documents WHERE source = 'src3' AND lang <> 'fr'
 """)
 def digest_matches_manifest(spark, sf_dir):
-    assets = _document_assets(spark, sf_dir)
+    """The rule over claims of which one source's are wrong; in one language it is an image."""
     claimed = F.when(F.col("source") == "src3", F.upper("sha")).otherwise(F.col("sha"))
-    return assets.groupBy((claimed == F.col("sha")).alias("ok")).agg(
-        F.count(F.lit(1)).alias("n")
+    kind = F.when(F.col("lang") == "fr", "image").otherwise("archive")
+    facts = _document_assets(spark, sf_dir).select(
+        "doc_id", "name", F.col("sha").alias("sha256"), claimed.alias("claimed_sha256"),
+        kind.alias("kind"), F.lit(True).alias("_present"), F.lit(0).alias("item_pos"),
+        F.array("sha", "name").alias("fields"),
     )
+    rule = next(r for r in asset_rules() if r.name == "digest_matches_manifest")
+    return violations(facts, ["doc_id"], [rule]).select("doc_id", "rule", "message")
 
 
 @query("""
@@ -204,7 +208,7 @@ def scan_models(spark, sf_dir):
     model = F.transform(
         F.split("p_name", " "), lambda w: F.struct(w.alias("id"), F.col("p_size").alias("n"))
     )
-    manifests = wide_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(
+    manifests = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").select(
         "p_partkey", F.to_json(F.struct(model.alias("models"))).alias("raw")
     )
     return models_of(manifests, ["p_partkey"]).select(

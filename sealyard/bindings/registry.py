@@ -46,3 +46,33 @@ def tag_not_published(spark, sf_dir):
     existing = owing.select(F.col("c_custkey").alias("tag"))
     _, rejected = admit(orders, existing, ["tag"], ["o_orderkey"])
     return tag_violations(rejected, ["o_orderkey"])
+
+
+# Tags are NULL in one language and arrivals in another; every document is on one side.
+_NULL_TAGS = """
+    SELECT doc_id, nullif(lang, 'de') || '/' || source AS tag, nullif(lang, 'fr') AS arrival,
+           text FROM documents
+"""
+
+
+@query(f"""
+    WITH candidate AS ({_NULL_TAGS}), first AS (
+      SELECT doc_id FROM candidate WHERE tag IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY tag ORDER BY arrival NULLS FIRST, doc_id) = 1
+    )
+    SELECT c.doc_id, f.doc_id IS NOT NULL AND c.tag NOT LIKE '%/src7' AS admitted
+    FROM candidate c LEFT JOIN first f ON c.doc_id = f.doc_id
+""")
+def reject_existing_null_keys(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    tag = F.concat(F.nullif("lang", F.lit("de")), F.lit("/"), "source")
+    candidates = documents.select(
+        tag.alias("tag"), F.nullif("lang", F.lit("fr")).alias("arrival"), "doc_id"
+    )
+    taken = documents.where("source = 'src7'").select(tag.alias("tag"))
+    admitted, rejected = admit(candidates, taken, ["tag"], ["arrival", "doc_id"])
+
+    def side(df, which):
+        return df.select("doc_id", F.lit(which).alias("admitted"))
+
+    return side(admitted, True).unionByName(side(rejected, False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sealyard import (
     ReleaseContract,
     list_archives as list_of,
+    manifest_and_archive,
     materialise,
     publish_release as publish,
     reject_existing,
@@ -17,7 +18,7 @@ from sealyard import (
     split_fields,
     validate_releases as validate,
 )
-from sealyard.bindings import query, table, wide_table
+from sealyard.bindings import query, table
 from sealyard.fixed import MODEL_KEYS
 from sealyard.operators.digests import content_digest
 from sealyard.plans.publish import (
@@ -65,22 +66,23 @@ FAULTS = [
     ("swapped_sidecar", "sidecar_matches", "Invalid checksum for {base}.tar.gz"),
     ("claim", "digest_matches_manifest", "Archive checksum differs from manifest"),
     ("no_claim", "required_key", "'archive_sha256'"),
-    ("not_gzip", "archive_readable", "ReadError: not a gzip file"),
+    ("not_gzip", "archive_readable", "not a gzip file"),
     ("absolute", "safe_path", "Unsafe archive path"),
     ("upwards", "safe_path", "Unsafe archive path"),
     ("other_root", "path_root", "Unexpected archive root"),
     ("hard_link", "allowed_kind", "Unsupported archive member"),
     ("other_link", "link_allowlist", "Unexpected symlink"),
-    ("no_entrypoint", "require_member(entrypoint)", "Missing member run"),
+    ("no_entrypoint", "require_member(entrypoint)", "'{base}/run'"),
     ("plain_entrypoint", "member_property(entrypoint)", "Entry point is not executable"),
     ("entrypoint_twice", "member_property(entrypoint)", "Entry point is not executable"),
-    ("no_alias", "require_member(alias)", "Missing client compatibility entry"),
+    ("no_alias", "require_member(alias)", "'{base}/compat'"),
+    ("alias_file", "member_property(alias)", "Missing client compatibility entry"),
     ("no_resources", "require_any_prefix(resources)", "Missing resources"),
 ]
 _LANGUAGES = ("en", "fr", "de", "es")
 # The position of a document's fault in the list, counted from 1; same text for both engines.
 _FAULT_NUMBER = (
-    "CAST(substr(source, 4) AS INTEGER) * 4 + CASE lang "
+    "TRY_CAST(substr(source, 4) AS INTEGER) * 4 + CASE lang "
     + " ".join(f"WHEN '{lang}' THEN {i}" for i, lang in enumerate(_LANGUAGES))
     + " ELSE 80 END"
 )
@@ -101,7 +103,9 @@ def pack(text: str, base: str, fault: str | None) -> bytes:
         add(base, tarfile.DIRTYPE, mode=0o755)
         if fault != "no_entrypoint":
             add(f"{base}/run", data=b"#!", mode=0o644 if fault == "plain_entrypoint" else 0o755)
-        if fault != "no_alias":
+        if fault == "alias_file":
+            add(f"{base}/compat")
+        elif fault != "no_alias":
             add(f"{base}/compat", tarfile.SYMTYPE, mode=0o777, link="run")
         add(f"{base}/data.bundle/", tarfile.DIRTYPE, mode=0o755)
         if fault != "no_resources":
@@ -159,27 +163,31 @@ _MEMBERS = """
 
 @query(_MEMBERS)
 def list_archives(spark, sf_dir):
-    documents = wide_table(spark, sf_dir, "documents", *_PACKED)
+    documents = table(spark, sf_dir, "documents").select(*_PACKED)
     packed = packed_documents(documents, _base(), F.lit(None).cast("string"))
-    return list_of(packed, ["doc_id"], content="content")
+    return list_of(packed, ["doc_id"], content="content").where(F.col("error").isNull()).drop("error")
 
 
 @query("SELECT doc_id, lang NOT IN ('de', 'es') AS ok FROM documents")
 def archive_readable(spark, sf_dir):
     damage = F.when(F.col("lang") == "de", "headless").when(F.col("lang") == "es", "cut")
-    documents = wide_table(spark, sf_dir, "documents", *_PACKED)
+    documents = table(spark, sf_dir, "documents").select(*_PACKED)
     damaged = packed_documents(documents, _base(), damage)
     listing = read_bytes_once(damaged, ["doc_id"], True, "content")
     return digests_of(listing, ["doc_id"]).select("doc_id", F.col("error").isNull().alias("ok"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
-def chunked_digest(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select(
-        "doc_id", F.encode("text", "utf-8").alias("content")
-    )
-    listing = read_bytes_once(documents, ["doc_id"], False, "content")
-    return digests_of(listing, ["doc_id"]).select("doc_id", "sha256")
+@query("""
+    SELECT doc_id, CASE lang WHEN 'de' THEN 'not a gzip file'
+        ELSE 'Compressed file ended before the end-of-stream marker was reached' END AS error
+    FROM documents WHERE lang IN ('de', 'es')
+""")
+def damaged_archives(spark, sf_dir):
+    """What the listing says of archives without a head, and of some that end too early."""
+    damage = F.when(F.col("lang") == "de", "headless").when(F.col("lang") == "es", "cut")
+    documents = table(spark, sf_dir, "documents").select(*_PACKED)
+    told = list_of(packed_documents(documents, _base(), damage), ["doc_id"], content="content")
+    return told.where(F.col("error").isNotNull()).select("doc_id", "error")
 
 
 def _manifest(fault):
@@ -232,28 +240,29 @@ def _model_type(key: str) -> str:
     return f"{key}:{'int' if key == 'dimensions' else 'string'}"
 
 
-def document_manifests(spark, sf_dir):
-    """Archives, descriptions, candidates and manifests of one release per document.
-
-    Archives are built once and written to the shared folder, as a registry would hold
-    them.
-    """
-    configure(spark)
+def _faulty(documents):
+    """``fault`` of each document, as its source number and language select it."""
     names = F.array(*[F.lit(name) for name, _, _ in FAULTS])
     number = F.expr(_FAULT_NUMBER)
-    fault = F.when(number.between(1, len(FAULTS)), F.get(names, number - 1))
-    documents = wide_table(spark, sf_dir, "documents", *_PACKED)
-    packed = materialise(
-        packed_documents(documents, _base(), fault).select(
-            F.col("doc_id").alias("release_id"),
-            "base",
-            "fault",
-            content_digest(F.col("content")).alias("archive_sha"),
-            "content",
-        )
+    return F.when(number.between(1, len(FAULTS)), F.get(names, number - 1))
+
+
+def described_releases(documents):
+    """``release_id, base, fault, version, archive_sha`` as manifests need them.
+
+    Without archives, the digest that a manifest claims is that of the text.
+    """
+    return documents.select(
+        F.col("doc_id").alias("release_id"),
+        _base().alias("base"),
+        _faulty(documents).alias("fault"),
+        F.concat(F.lit("1.0."), F.col("doc_id")).alias("version"),
+        content_digest(F.col("text")).alias("archive_sha"),
     )
-    version = F.concat(F.lit("1.0."), F.col("release_id"))
-    described = packed.drop("content").withColumn("version", version)
+
+
+def manifests_of(described):
+    """``(candidates, manifests)`` of described releases."""
     fault = F.col("fault")
     tag = F.concat(F.lit("v"), F.col("version"))
     candidates = described.select(
@@ -262,7 +271,7 @@ def document_manifests(spark, sf_dir):
     manifests = described.where(~(fault == "no_manifest") | fault.isNull()).select(
         "release_id", _manifest(fault).alias("raw")
     )
-    return packed, described, candidates, manifests
+    return candidates, manifests
 
 
 def document_releases(spark, sf_dir):
@@ -270,19 +279,31 @@ def document_releases(spark, sf_dir):
 
     Each archive is read once, for digest and members together.
     """
-    packed, described, candidates, manifests = document_manifests(spark, sf_dir)
-    fault, number = F.col("fault"), F.expr(_FAULT_NUMBER)
+    configure(spark)
+    documents = table(spark, sf_dir, "documents").select(*_PACKED)
+    number = F.expr(_FAULT_NUMBER)
     name = F.concat(F.col("base"), F.lit(".tar.gz"))
+    # Archives are built in the tasks that read the documents and are listed in the same.
+    packed = packed_documents(documents, _base(), _faulty(documents)).withColumnRenamed(
+        "doc_id", "release_id"
+    )
+    keys = ["release_id", "name", "base", "fault"]
     listing = materialise(
-        read_bytes_once(
-            packed.select("release_id", name.alias("name"), "content"),
-            ["release_id", "name"], True, "content",
+        read_bytes_once(packed.withColumn("name", name), keys, True, "content")
+    )
+    described = materialise(
+        listing.where(F.col("member_pos").isNull()).select(
+            "release_id", "base", "fault",
+            F.concat(F.lit("1.0."), F.col("release_id")).alias("version"),
+            F.col("sha256").alias("archive_sha"),
         )
     )
+    candidates, manifests = manifests_of(described)
+    fault = F.col("fault")
     archives = digests_of(listing, ["release_id", "name"])
     members = members_of(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
     image = F.concat(F.col("base"), F.lit(".dmg"))
-    images = table(spark, sf_dir, "documents").select(
+    images = documents.select(
         F.col("doc_id").alias("release_id"),
         _base().alias("base"),
         content_digest(F.col("text")).alias("sha256"),
@@ -348,29 +369,28 @@ def validate_releases(spark, sf_dir):
     WHERE {_FAULT_NUMBER} = 4
 """)
 def manifest_inventory(spark, sf_dir):
-    _, _, candidates, manifests = document_manifests(spark, sf_dir)
+    configure(spark)
+    described = described_releases(table(spark, sf_dir, "documents").select(*_PACKED))
+    candidates, manifests = manifests_of(described)
     return release_inventory(CONTRACT, manifest_facts(CONTRACT, candidates, manifests))
 
 
-# Publishing: the sources are products, tags repeat within a product, and a tag with a
-# hyphen is a prerelease. The first document with a tag is admitted; of these, the ones
+# Publishing: the sources are products, a text's digest is its tag, which copies share, and a
+# tag with a hyphen is a prerelease, as the texts in two languages are. The first document with a tag is admitted; of these, the ones
 # with characters of several bytes count as incompletely uploaded and stay drafts.
 _PUBLISHED = """
     SELECT * FROM (
-      SELECT *, source || '/' || lang || '/' || left(text, 1) ||
-                CASE WHEN n_chars > 4000 THEN '-rc' ELSE '' END AS tag
+      SELECT *, sha256(text) || CASE WHEN lang IN ('de', 'es') THEN '-rc' ELSE '' END AS tag
       FROM documents
     ) QUALIFY row_number() OVER (PARTITION BY tag ORDER BY doc_id) = 1
 """
 
 
 def _tagged_documents(spark, sf_dir):
-    suffix = F.when(F.col("n_chars") > 4000, "-rc").otherwise("")
+    suffix = F.when(F.col("lang").isin("de", "es"), "-rc").otherwise("")
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("release_id"),
-        F.concat(
-            F.concat_ws("/", "source", "lang", F.left("text", F.lit(1))), suffix
-        ).alias("tag"),
+        F.concat(content_digest(F.col("text")), suffix).alias("tag"),
         "source",
         "doc_id",
         F.octet_length("text").cast("bigint").alias("size"),
@@ -435,14 +455,24 @@ def write_upload_listing(spark, sf_dir):
 
 
 @query(f"""
-    SELECT source AS product, tag, doc_id::VARCHAR AS release_id, strlen(text) AS size
+    SELECT source AS product, tag, doc_id::VARCHAR AS release_id,
+           'release.json:' || (n_chars * 2) AS manifest, 'text.tar.gz:' || strlen(text) AS archive
     FROM ({_PUBLISHED}) WHERE strlen(text) = n_chars AND NOT contains(tag, '-')
     QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1
 """)
 def resolve_latest(spark, sf_dir):
+    """Of each product's latest release the manifest and the archive, each with its size."""
     releases, files = _published(spark, sf_dir)
-    latest = resolve(
-        releases, files.select("release_id", "size"), ["release_id"], ["product"],
-        ["seq", "arrival", "tag"],
+    kinds = F.array(
+        F.struct(F.lit("manifest").alias("kind"), F.lit("release.json").alias("name"), (F.col("size") * 2).alias("size")),
+        F.struct(F.lit("archive").alias("kind"), F.lit("text.tar.gz").alias("name"), F.col("size").alias("size")),
+        F.struct(F.lit("image").alias("kind"), F.lit("text.dmg").alias("name"), F.col("size").alias("size")),
     )
-    return latest.select("product", "tag", "release_id", "size")
+    listed = files.select("release_id", F.explode(kinds).alias("file")).select("release_id", "file.*")
+    latest = resolve(releases, listed, ["release_id"], ["product"], ["seq", "arrival", "tag"])
+    pairs = manifest_and_archive(latest, ["product", "tag", "release_id"], ["name", "size"])
+
+    def told(kind):
+        return F.concat_ws(":", f"{kind}.name", F.col(f"{kind}.size").cast("string")).alias(kind)
+
+    return pairs.select("product", "tag", "release_id", told("manifest"), told("archive"))

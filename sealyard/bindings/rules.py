@@ -27,7 +27,7 @@ from sealyard import (
     violations,
     write_violations as store,
 )
-from sealyard.bindings import query, table, wide_table
+from sealyard.bindings import query, table
 from sealyard.functions.documents import json_document
 from sealyard.functions.text import base_name, parent_name, split_fields, strip_slashes
 from sealyard.operators.rules import first_broken as first_broken_of
@@ -101,7 +101,7 @@ def equals_constant(spark, sf_dir):
 """)
 def required_keys(spark, sf_dir):
     configure(spark)
-    events = wide_table(spark, sf_dir, "events", "event_id", "props")
+    events = table(spark, sf_dir, "events").select("event_id", "props")
     return required_keys_of_text(events, ["event_id"], F.col("props"), ["k", "revision"])
 
 
@@ -114,7 +114,7 @@ _FLAG_JSON = """CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN '"true
     FROM (SELECT event_id, {_FLAG_JSON} AS flag FROM events)
 """)
 def strict_true(spark, sf_dir):
-    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_FLAG_JSON)).alias("flag")
     )
     return events.select("event_id", is_true(F.col("flag")).alias("ok"))
@@ -131,7 +131,7 @@ _SERVER_JSON = """CASE event_type WHEN 'click' THEN '{}' WHEN 'view' THEN '[1]'
 """)
 def nonempty_object(spark, sf_dir):
     configure(spark)
-    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_SERVER_JSON)).alias("server")
     )
     return events.select("event_id", filled_object(F.col("server")).alias("ok"))
@@ -143,7 +143,7 @@ def nonempty_object(spark, sf_dir):
 """)
 def nonempty_array(spark, sf_dir):
     configure(spark)
-    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_SERVER_JSON)).alias("items")
     )
     return events.select("event_id", filled_array(F.col("items")).alias("ok"))
@@ -159,7 +159,7 @@ _MANIFEST_TEXT = """CASE event_type WHEN 'click' THEN props || ' x' WHEN 'view'
 """)
 def manifest_readable(spark, sf_dir):
     configure(spark)
-    events = wide_table(spark, sf_dir, "events", "event_id", "event_type", "props").select(
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props").select(
         "event_id", F.expr(_MANIFEST_TEXT).alias("raw")
     )
     return events.select("event_id", readable(F.col("raw")).alias("ok"))
@@ -266,7 +266,7 @@ _BLANKS = (
     )
 """)
 def split_text_fields(spark, sf_dir):
-    words = wide_table(spark, sf_dir, "documents", "doc_id", "text").select(
+    words = table(spark, sf_dir, "documents").select("doc_id", "text").select(
         "doc_id", split_fields(F.col("text")).alias("words")
     )
     return words.select(
@@ -338,3 +338,45 @@ def gate(spark, sf_dir):
 """)
 def gate_rows(spark, sf_dir):
     return gate_rows_by(table(spark, sf_dir, "documents"), ["source", "lang"], document_rules())
+
+
+# The same gates where a key of the subjects may be NULL: one language is taken away.
+@query("""
+    SELECT source, nullif(lang, 'de') AS lang,
+           count(*) FILTER (strlen(text) <> n_chars) AS n_violations,
+           count(*) FILTER (strlen(text) <> n_chars) = 0 AS passed
+    FROM documents GROUP BY 1, 2
+""")
+def gate_null_keys(spark, sf_dir):
+    documents = _without_german(spark, sf_dir)
+    key = ["source", "lang"]
+    found = violations(documents, key, document_rules()[:1])
+    return gate_by(documents.select(*key).distinct(), found, key)
+
+
+@query(r"""
+    WITH found AS (
+      SELECT source, nullif(lang, 'de') AS lang, 1 AS rule_ord, 'size_matches' AS rule
+      FROM documents WHERE strlen(text) <> n_chars
+      UNION ALL
+      SELECT source, nullif(lang, 'de'), 2, 'known_language' FROM documents
+      WHERE nullif(lang, 'de') IS NULL OR lang NOT IN ('en', 'fr')
+    ), summary AS (
+      SELECT source, lang, count(*) AS n_violations, arg_min(rule, rule_ord) AS rule
+      FROM found GROUP BY 1, 2
+    )
+    SELECT s.source, s.lang, f.rule IS NULL AS passed, coalesce(f.n_violations, 0) AS n_violations, f.rule
+    FROM (SELECT DISTINCT source, nullif(lang, 'de') AS lang FROM documents) s
+    LEFT JOIN summary f ON s.source = f.source AND s.lang IS NOT DISTINCT FROM f.lang
+""")
+def verdicts_null_keys(spark, sf_dir):
+    documents = _without_german(spark, sf_dir)
+    key = ["source", "lang"]
+    found = violations(documents, key, document_rules()[:2])
+    judged = verdicts_of(documents.select(*key).distinct(), found, key)
+    return judged.drop("message")
+
+
+def _without_german(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return documents.withColumn("lang", F.nullif("lang", F.lit("de")))

@@ -46,7 +46,6 @@ MESSAGES = {
     "path_root": "Unexpected archive root",
     "allowed_kind": "Unsupported archive member",
     "link_allowlist": "Unexpected symlink",
-    "require_member(entrypoint)": "Missing member {entrypoint}",
     "member_property(entrypoint)": "{entrypoint_role} is not executable",
     "require_member(alias)": "Missing {client_name} compatibility entry",
     "require_any_prefix(resources)": "Missing resources",

@@ -4,40 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealyard.fixed import MESSAGES
 from sealyard.operators.rules import Rule, violations
-from sealyard.sources.archives import read_bytes_once
+from sealyard.sources.archives import digests_of, read_bytes_once
 from sealyard.sources.files import scan_assets
 from sealyard.sources.named import balance_by_bytes
 
-# Files up to this length are hashed from a binary column, longer ones in chunks.
-IN_ROW_LIMIT = 64 * 1024 * 1024
-
-
 def content_digest(content: Column) -> Column:
     """Lower-case hexadecimal SHA-256 of a text or binary column."""
     return F.sha2(content, 256)
 
 
-def digest_files(
-    spark: SparkSession, path: str, pattern: str = "*", limit: int = IN_ROW_LIMIT
-) -> DataFrame:
-    """``release_id, name, path, length, sha256`` of every file below a folder.
+def digest_files(releases: DataFrame, path: str, pattern: str = "*") -> DataFrame:
+    """``release_id, name, path, length, sha256, error`` of every file in the releases' folders.
 
-    Short files come as rows of the binary source and are hashed in the JVM; a file
-    that would strain a row is streamed in chunks. Either way each byte is read once.
+    Files of all lengths are read in chunks, each byte once. One that cannot be opened has
+    no digest, and the reason as ``error``.
     """
-    columns = ["release_id", "name", "path", "length"]
-    files = scan_assets(spark, path, pattern, extra=["content"])
-    in_rows = files.where(F.col("length") <= limit).select(
-        *columns, content_digest(F.col("content")).alias("sha256")
+    files = balance_by_bytes(scan_assets(releases, path, pattern))
+    found = read_bytes_once(files, ["release_id", "name", "path"], archives=False)
+    return digests_of(found, ["release_id", "name", "path"]).select(
+        "release_id", "name", "path", "length", "sha256", "error"
     )
-    long = balance_by_bytes(files.where(F.col("length") > limit).select(*columns))
-    in_chunks = read_bytes_once(long, columns[:3], archives=False)
-    return in_rows.unionByName(in_chunks.select(*columns, "sha256"))
 
 
 def verify_digests(

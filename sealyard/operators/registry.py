@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealyard.operators.aggregates import last_wins
@@ -16,22 +16,24 @@ def reject_existing(
     """``(admitted, rejected)``: a key is admitted once, in whatever state it exists.
 
     Of several candidates for one key the first by ``arrival`` counts; ``arrival``
-    must tell candidates apart. Both sides shrink to one row per key before they
-    meet, and the later arrivals are split off by the full candidate identity, so
-    no join sees a hot key. An outer join with a null test keeps that order of steps;
-    an anti join would be moved below the aggregation, onto all candidates.
+    should tell candidates apart. A key with a NULL in it can't be published and is
+    rejected. Both sides shrink to one row per key before they meet, and what is
+    rejected is the candidates less the admitted, counted row by row, so every row is on
+    one side and no join sees a hot key. An outer join with a null test keeps that order
+    of steps; an anti join would be moved below the aggregation, onto all candidates.
     """
     key, arrival = list(key), list(arrival)
     taken = releases.select(*key).distinct().withColumn("_taken", F.lit(True))
+    whole = candidates
+    for name in key:
+        whole = whole.where(F.col(f"`{name}`").isNotNull())
     admitted = (
-        last_wins(candidates, key, arrival, earliest=True)
+        last_wins(whole, key, arrival, earliest=True)
         .join(taken, key, "left")
         .where(F.col("_taken").isNull())
-        .drop("_taken")
+        .select(*candidates.columns)
     )
-    identity = [*key, *[c for c in arrival if c not in key]]
-    rejected = candidates.join(admitted.select(*identity), identity, "left_anti")
-    return admitted, rejected
+    return admitted, candidates.exceptAll(admitted)
 
 
 def latest_per_channel(
@@ -57,3 +59,16 @@ def resolve_latest(
     published = releases.where(F.col("state") == "published")
     latest = latest_per_channel(published, product, order)
     return latest.join(inventory, list(key), "inner")
+
+
+def manifest_and_archive(resolved: DataFrame, product: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """``product, manifest, archive``: of each resolved release the two files a client reads.
+
+    ``resolved`` has one row per file with its ``kind``; both results are structs of the
+    columns ``carry``. A release that lacks one of the two has NULL there.
+    """
+
+    def of(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.struct(*carry))).alias(kind)
+
+    return resolved.groupBy(*product).agg(of("manifest"), of("archive"))

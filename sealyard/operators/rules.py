@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sealyard.functions.documents import json_document, missing_keys, object_fields
 from sealyard.functions.text import array_of, quoted
+from sealyard.operators.keys import join_on_keys
 from sealyard.session import configure, stored
 
 ORDER = ("phase", "item_pos", "rule_ord", "sub_pos")
@@ -132,14 +133,13 @@ def write_violations(found: DataFrame, path: str) -> DataFrame:
 def gate(subjects: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
     """``key, n_violations, passed`` per subject. Counts are partial before the shuffle.
 
-    ``subjects`` has one row per key.
+    ``subjects`` has one row per key; a NULL in a key is a value like any other, so that
+    a subject without a proper key fails with its violations.
     """
     counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     n = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
-    return (
-        subjects.select(*key)
-        .join(counts, list(key), "left")
-        .select(*key, n.alias("n_violations"), (n == 0).alias("passed"))
+    return join_on_keys(subjects.select(*key), counts, key, "left").select(
+        *key, n.alias("n_violations"), (n == 0).alias("passed")
     )
 
 
@@ -169,8 +169,13 @@ def first_violation(found: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def first_broken(rules: Sequence[Rule], label: str = "name") -> Column:
-    """The first broken rule of a row, in rule order, or NULL; needs no shuffle at all."""
-    ordered = sorted(rules, key=lambda rule: (rule.phase, rule.ord))
+    """The first broken rule of a row, in rule order, or NULL; needs no shuffle at all.
+
+    The order is that of ``first_violation``, and has to be known before any row is.
+    """
+    if any(isinstance(rule.item_pos, Column) for rule in rules):
+        raise ValueError("positions that differ by row have no fixed order of rules")
+    ordered = sorted(rules, key=lambda r: (r.phase, r.item_pos, r.ord, r.sub_pos))
     pick = (lambda r: F.lit(r.name)) if label == "name" else (lambda r: _column(r.message))
     return F.coalesce(*[F.when(rule.broken, pick(rule)) for rule in ordered])
 
@@ -182,14 +187,10 @@ def verdicts(subjects: DataFrame, found: DataFrame, key: Sequence[str]) -> DataF
         F.min_by(F.struct("rule", "message"), F.struct(*ORDER)).alias("_first"),
     )
     n = F.coalesce(F.col("_n"), F.lit(0).cast("bigint"))
-    return (
-        subjects.select(*key)
-        .join(summary, list(key), "left")
-        .select(
-            *key,
-            (n == 0).alias("passed"),
-            n.alias("n_violations"),
-            F.col("_first.rule").alias("rule"),
-            F.col("_first.message").alias("message"),
-        )
+    return join_on_keys(subjects.select(*key), summary, key, "left").select(
+        *key,
+        (n == 0).alias("passed"),
+        n.alias("n_violations"),
+        F.col("_first.rule").alias("rule"),
+        F.col("_first.message").alias("message"),
     )

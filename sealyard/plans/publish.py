@@ -3,7 +3,8 @@
 Layout below the registry folder, written by one publisher at a time:
 ``releases/state=draft|published/seq=N`` the index, ``uploads/seq=N`` the observed
 listings, ``files/TAG/NAME`` the bytes. A release exists for readers once its row
-is in the published part of the index; that append is the commit point.
+is in the published part of the index; that append is the commit point. A batch is one
+file of the index, so readers see all of it or nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealyard.fixed import MESSAGES
-from sealyard.functions.text import classify_channel
+from sealyard.functions.predicates import safe_path
+from sealyard.functions.text import classify_channel, path_parts
 from sealyard.operators.inventory import reconcile_inventory
 from sealyard.operators.registry import reject_existing
 from sealyard.operators.rules import Rule, violations
@@ -22,7 +24,7 @@ from sealyard.plans.contract import ReleaseContract
 from sealyard.plans.validate import validate_folder
 from sealyard.session import materialise
 from sealyard.sources.files import RELEASES_SCHEMA, scan_releases
-from sealyard.sources.named import balance_by_bytes, file_lengths, qualified
+from sealyard.sources.named import IN_FLIGHT, balance_by_bytes, file_lengths, qualified
 from sealyard.sources.streams import copy_file
 
 _LISTING = "release_id string, tag string, upload_pos bigint, name string, size bigint"
@@ -43,7 +45,7 @@ def create_registry(spark: SparkSession, registry: str) -> None:
 
 
 def _append(rows: DataFrame, registry: str, state: str, seq: int) -> None:
-    rows.select(*_INDEX).write.mode("errorifexists").parquet(
+    rows.select(*_INDEX).coalesce(1).write.mode("errorifexists").parquet(
         f"{releases_path(registry)}/state={state}/seq={seq}"
     )
 
@@ -92,7 +94,9 @@ def stage_release(
     ``releases`` has the index columns, ``files`` has ``release_id, tag, ord, name,
     length`` and the bytes as column ``content`` or else at ``path``. Drafts come
     first, so that an interrupted upload leaves a trace that blocks the tag until
-    someone has looked at it. The listing holds the sizes found after the copy.
+    someone has looked at it. The listing holds the sizes found after the copy; a file
+    whose name or tag leads out of its folder, or whose place another file has taken,
+    is not copied and has no size.
     """
     draft_release(releases, registry, seq)
     source = content if content is not None else "path"
@@ -100,23 +104,33 @@ def stage_release(
     names = [column.split()[0] for column in _LISTING.split(", ")]
 
     def upload(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
         import pyarrow as pa
 
-        for batch in batches:
-            sizes = [
-                copy_file(data.as_buffer() if in_row else data.as_py(), f"{root}/{tag}/{name}")
-                for data, tag, name in zip(
-                    batch.column("_source"), batch.column("tag"), batch.column("name")
-                )
-            ]
-            columns = [batch.column(i) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names)
-
-    wanted = files if content is not None else balance_by_bytes(files)
-    columns = ["release_id", "tag", F.col("ord").cast("bigint").alias("ord"), "name"]
-    uploaded = wanted.select(*columns, F.col(source).alias("_source")).mapInArrow(
-        upload, _LISTING
+        def put(data, tag, name, safe):
+            if not safe.as_py():
+                return None
+            return copy_file(data.as_buffer() if in_row else data.as_py(), f"{root}/{tag}/{name}")
+
+        with ThreadPoolExecutor(IN_FLIGHT) as pool:
+            for batch in batches:
+                asked = [batch.column(n) for n in ("_source", "tag", "name", "_safe")]
+                sizes = list(pool.map(put, *asked))
+                columns = [batch.column(i) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names)
+
+    safe = F.lit(True)
+    for part in (F.col("tag"), F.col("name")):
+        named = safe_path(part, path_parts(part)) & (F.size(path_parts(part)) > 0)
+        safe = safe & F.coalesce(named, F.lit(False))
+    wanted = files.select(
+        "release_id", "tag", F.col("ord").cast("bigint").alias("ord"), "name",
+        F.col(source).alias("_source"), safe.alias("_safe"),
+        F.concat_ws("/", "tag", "name").alias("path"),
+        (F.octet_length(source) if in_row else F.col("length")).cast("bigint").alias("length"),
     )
+    uploaded = balance_by_bytes(wanted).drop("path", "length").mapInArrow(upload, _LISTING)
     return write_upload_listing(uploaded, registry, seq)
 
 
@@ -178,10 +192,11 @@ def publish_folder(
     inventory, found, judged = validate_folder(spark, contract, candidates, path)
     sound = candidates.join(judged.where("passed").select("release_id"), ["release_id"])
     taken = scan_releases(spark, releases_path(registry))
-    admitted, rejected = reject_existing(sound, taken, ["tag"], ["arrival", "release_id"])
+    sound = materialise(sound)
+    admitted, _ = reject_existing(sound, taken, ["tag"], ["arrival", "release_id"])
     # Written before the drafts are, as it must not see them.
     admitted = materialise(admitted)
-    refused = materialise(tag_violations(rejected))
+    refused = materialise(tag_violations(sound.exceptAll(admitted)))
     files = inventory.join(admitted.select("release_id", "tag"), ["release_id"])
     lengths = file_lengths(files, ["release_id", "name"])
     files = materialise(files.join(lengths, ["release_id", "name"], "left"))

@@ -189,11 +189,12 @@ def _only(scope: Column, rule: Rule) -> Rule:
 
 
 def archive_violations(
-    contract: ReleaseContract, archives: DataFrame, members: DataFrame
+    contract: ReleaseContract, archives: DataFrame, members: DataFrame, only_expected: bool = False
 ) -> DataFrame:
     """Phases 4 to 6. ``archives`` has ``release_id, archive, error`` of the expected
     archives that were read, members ``release_id, archive, member_pos, name, type,
-    mode, linkname``. Members of other archives have no influence.
+    mode, linkname``. Members of other archives have no influence; with ``only_expected``
+    there are none, and findings need not be compared with the archives.
 
     The base name comes with each member as its archive's name without suffix, so the
     rules on members are row-wise and only their findings are joined; what concerns the
@@ -207,7 +208,9 @@ def archive_violations(
     based = members.withColumn("base", _without_suffix(F.col("archive")))
     split = based.withColumn("parts", path_parts(F.col("name")))
     rows = violations(split, key, member_rules(contract))
-    rows = rows.join(archives.select(*key), key, "left_semi").drop("archive")
+    if not only_expected:
+        rows = rows.join(archives.select(*key), key, "left_semi")
+    rows = rows.drop("archive")
     listed = archives.where(F.col("error").isNull()).select(*key)
     return unreadable.unionByName(rows).unionByName(
         required_member_violations(contract, listed, based)
@@ -249,6 +252,7 @@ def required_member_violations(
         name.startswith(F.concat("base", F.lit("/"))),
         F.substr(name, F.char_length("base") + 2),
     )
+    full = F.concat("base", F.lit("/"))
     entry_ok = (F.col("type") == FILE) & member_property(F.col("mode"), EXECUTE_BITS)
     alias_ok = (F.col("type") == SYMLINK) & (F.col("linkname") == contract.entrypoint)
     at_entry = F.when(F.col("within") == contract.entrypoint, F.col("member_pos"))
@@ -266,17 +270,22 @@ def required_member_violations(
             F.bool_or(below).alias("resources_ok"),
         )
     )
-    holds = {
-        "require_member(entrypoint)": F.col("entry_ok").isNotNull(),
-        "member_property(entrypoint)": F.coalesce(F.col("entry_ok"), F.lit(True)),
-        "require_member(alias)": F.col("alias_ok"),
-        "require_any_prefix(resources)": F.col("resources_ok"),
-    }
+    # A name that is looked up in vain is reported itself, quoted.
+    def absent(member: str) -> Column:
+        return F.concat(F.lit("'"), full, F.lit(f"{member}'"))
+
+    entry, alias = F.col("entry_ok"), F.col("alias_ok")
+    required, linked = "require_member(entrypoint)", "require_member(alias)"
+    proper, resources = "member_property(entrypoint)", "require_any_prefix(resources)"
     rules = [
-        Rule(rule, ord, condition, contract.message(rule), phase=6)
-        for ord, (rule, condition) in enumerate(holds.items(), 21)
+        Rule(required, 21, entry.isNotNull(), absent(contract.entrypoint), phase=6),
+        Rule(proper, 22, F.coalesce(entry, F.lit(True)), contract.message(proper), phase=6),
+        Rule(linked, 23, alias.isNotNull(), absent(contract.alias), phase=6),
+        Rule("member_property(alias)", 23, F.coalesce(alias, F.lit(True)), contract.message(linked), phase=6, sub_pos=1),
+        Rule(resources, 24, F.col("resources_ok"), contract.message(resources), phase=6),
     ]
-    return violations(listed.join(summary, key, "left"), KEY, rules)
+    compared = listed.join(summary, key, "left").withColumn("base", _without_suffix(F.col("archive")))
+    return violations(compared, KEY, rules)
 
 
 def validate_releases(
@@ -308,6 +317,7 @@ def validate_folder(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(inventory, violations, verdicts)`` of the release folders below ``path``.
 
+    The inventory is that of the releases that pass.
     ``candidates`` has ``release_id, tag`` with each id once. Files are opened by the
     name the contract gives them, so no folder is listed, and an unexpected file has no
     influence. Manifests are judged first, and bytes are read only for releases without
@@ -346,6 +356,8 @@ def validate_folder(
     members = members_of(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
     found = materialise(
         early.unionByName(asset_violations(contract, sound, assets, sidecars))
-        .unionByName(archive_violations(contract, archives, members))
+        .unionByName(archive_violations(contract, archives, members, only_expected=True))
     )
-    return inventory, found, verdicts(candidates, found, KEY)
+    judged = materialise(verdicts(candidates, found, KEY))
+    passed = inventory.join(judged.where("passed").select(*KEY), KEY, "left_semi")
+    return passed, found, judged

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +19,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster a machine-local folder would be lost with its executor.
+    A session without that setting keeps such tables in its warehouse folder if all its
+    tasks run in this process; on a cluster that folder may be one machine's own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -29,16 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     already = spark.sparkContext.getCheckpointDir()
     if already:
         return already.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="sealyard-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return spark.conf.get("spark.sql.warehouse.dir", None).rstrip("/") + "/shared-tables"
+
+
+def session_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that holds this session's tables and nothing else."""
+    return f"{shared_folder(spark)}/sealyard-{spark.sparkContext.applicationId}"
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A new, empty path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Delete the tables this session has written to the shared folder.
+
+    To be called when no result that reads them is needed any more.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(system.delete(place, True))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -55,13 +68,3 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` to a path that must be new, and return the table read from it."""
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Give every core work where the input is too small to be split that far.
-
-    For costly work per row on a scan of few files. An input with more splits than
-    cores, which is any large one, stays where it lies and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

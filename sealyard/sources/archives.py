@@ -56,7 +56,7 @@ def _listing_rows(raw, archive: bool) -> Iterator[tuple]:
         except Exception as problem:  # any damage is a finding about this one archive
             if reader.failure is not None:
                 raise reader.failure from problem
-            error = f"{type(problem).__name__}: {problem}"
+            error = str(problem) or type(problem).__name__
     digest = reader.finish()
     yield (digest, reader.digested, error, None, None, None, None, None)
 
@@ -123,8 +123,15 @@ def _open(path: str):
 def list_archives(
     files: DataFrame, key: Sequence[str], content: str | None = None
 ) -> DataFrame:
-    """``key, member_pos, name, type, mode, linkname``: the entries of tar.gz files."""
-    return members_of(read_bytes_once(files, key, True, content), key)
+    """``key, member_pos, name, type, mode, linkname, error``: the entries of tar.gz files.
+
+    A damaged archive has, after the entries before the damage, a row with the error alone.
+    """
+    listing = read_bytes_once(files, key, True, content)
+    told = listing.where(F.col("member_pos").isNotNull() | F.col("error").isNotNull())
+    return told.select(
+        *key, "member_pos", F.col("member").alias("name"), "type", "mode", "linkname", "error"
+    )
 
 
 def members_of(listing: DataFrame, key: Sequence[str]) -> DataFrame:

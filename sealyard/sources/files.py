@@ -1,13 +1,11 @@
 """File sources. A registry folder holds one sub-folder per release.
 
-Folders are listed by Spark's recursive file lookup, which spreads a large
-listing over tasks, and the release id is the name of the file's folder.
+The releases to be read are a table. Tasks list or open the folders of their own rows,
+so nothing grows on the driver, and files without any bytes are seen like others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +17,10 @@ from sealyard.functions.documents import (
     string_value,
     whole_number,
 )
-from sealyard.functions.text import base_name, parent_name, split_fields
+from sealyard.functions.text import split_fields
 from sealyard.session import configure
+from sealyard.sources.named import IN_FLIGHT, balance, qualified, read_texts
+from sealyard.sources.streams import locate
 
 RELEASES_SCHEMA = (
     "release_id string, tag string, product string, title string, channel string, "
@@ -28,26 +28,55 @@ RELEASES_SCHEMA = (
 )
 
 
-def _decoded_path() -> Column:
-    """The path of the file a row came from, without percent escapes."""
-    escaped = F.col("_metadata.file_path")
-    return F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+def list_folders(releases: DataFrame, path: str, pattern: str = "*") -> DataFrame:
+    """``release_id, name, path, length`` of the files in each release's folder below ``path``.
 
+    A release without a folder has no rows. Only files in the folder itself are listed.
+    """
+    root = qualified(releases.sparkSession, path)
 
-def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return (
-        configure(spark).read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .text(path, wholetext=True)
-        .select(_decoded_path().alias("_path"), F.col("value").alias("raw"))
-    )
+    def visit(batches):
+        from concurrent.futures import ThreadPoolExecutor
+        from fnmatch import fnmatchcase
 
+        import pyarrow as pa
+        from pyarrow import fs
 
-def scan_manifests(spark: SparkSession, path: str, name: str = MANIFEST_NAME) -> DataFrame:
-    """``release_id, raw``: the manifest text of each release folder."""
-    return _whole_files(spark, path, name).select(
-        parent_name(F.col("_path")).alias("release_id"), "raw"
-    )
+        def files_of(release):
+            system, place = locate(f"{root}/{release}")
+            inside = fs.FileSelector(place, allow_not_found=True)
+            found = system.get_file_info(inside)
+            return [
+                (release, i.base_name, f"{root}/{release}/{i.base_name}", i.size)
+                for i in found
+                if i.is_file and fnmatchcase(i.base_name, pattern)
+            ]
+
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
+        with ThreadPoolExecutor(IN_FLIGHT) as pool:
+            for batch in batches:
+                names = [n for n in batch.column(0).to_pylist() if n]
+                for at in range(0, len(names), IN_FLIGHT):
+                    rows = [row for rows in pool.map(files_of, names[at : at + IN_FLIGHT]) for row in rows]
+                    if rows:
+                        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                        yield pa.RecordBatch.from_arrays(columns, ["release_id", "name", "path", "length"])
+
+    wanted = balance(releases.select("release_id").distinct(), F.lit(1), 1000, ["release_id"])
+    return wanted.mapInArrow(visit, "release_id string, name string, path string, length bigint")
+
+
+def _texts(releases: DataFrame, path: str, name: str) -> DataFrame:
+    """``release_id, raw`` of the one file of that name in each folder that has it."""
+    root = F.lit(qualified(releases.sparkSession, path))
+    place = F.concat_ws("/", root, "release_id", F.lit(name))
+    files = releases.select("release_id").distinct().withColumn("path", place)
+    return read_texts(files, ["release_id"]).where(F.col("raw").isNotNull())
+
+
+def scan_manifests(releases: DataFrame, path: str, name: str = MANIFEST_NAME) -> DataFrame:
+    """``release_id, raw``: the manifest text of each release that has one in UTF-8."""
+    return _texts(releases, path, name)
 
 
 def scan_models(manifests: DataFrame, key=("release_id",), raw: str = "raw") -> DataFrame:
@@ -67,47 +96,24 @@ def explode_models(df: DataFrame, key, document: Column) -> DataFrame:
     )
 
 
-def scan_assets(
-    spark: SparkSession, path: str, pattern: str = "*", extra: Sequence[str] = ()
-) -> DataFrame:
-    """``release_id, name, path, length`` of every file.
+def scan_assets(releases: DataFrame, path: str, pattern: str = "*") -> DataFrame:
+    """``release_id, name, path, length`` of every file; no content is read."""
+    return list_folders(releases, path, pattern)
 
-    Content is read only where ``extra`` asks for that column. File sources pass over
-    files without any bytes; whoever has to see those opens the names it expects.
-    """
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(path)
-        .select(
-            parent_name(F.col("path")).alias("release_id"),
-            base_name(F.col("path")).alias("name"),
-            "path",
-            "length",
-            *extra,
-        )
-    )
 
-
-def scan_sidecars(spark: SparkSession, path: str, suffix: str = SIDECAR_SUFFIX) -> DataFrame:
+def scan_sidecars(releases: DataFrame, path: str, suffix: str = SIDECAR_SUFFIX) -> DataFrame:
     """``release_id, name, fields``: words of each checksum file, by asset name."""
-    file_name = base_name(F.col("_path"))
-    return _whole_files(spark, path, "*" + suffix).select(
-        parent_name(F.col("_path")).alias("release_id"),
-        F.left(file_name, F.char_length(file_name) - len(suffix)).alias("name"),
+    files = list_folders(releases, path, "*" + suffix)
+    return read_texts(files, ["release_id", "name"]).where(F.col("raw").isNotNull()).select(
+        "release_id",
+        F.left("name", F.char_length("name") - len(suffix)).alias("name"),
         split_fields(F.col("raw")).alias("fields"),
     )
 
 
-def scan_uploads(
-    spark: SparkSession, path: str, name: str = LISTING_NAME
-) -> DataFrame:
+def scan_uploads(releases: DataFrame, path: str, name: str = LISTING_NAME) -> DataFrame:
     """``release_id, upload_pos, name, size`` from the listing of each release folder."""
-    listings = _whole_files(spark, path, name).select(
-        parent_name(F.col("_path")).alias("release_id"), "raw"
-    )
-    return parse_uploads(listings, ("release_id",), F.col("raw"))
+    return parse_uploads(_texts(releases, path, name), ("release_id",), F.col("raw"))
 
 
 def parse_uploads(listings: DataFrame, key, raw: Column) -> DataFrame:

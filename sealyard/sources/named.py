@@ -10,14 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealyard.sources.streams import locate
 
 # Small requests mostly wait for the file system, so a task has several under way.
-_IN_FLIGHT = 16
-_TASKS_PER_CORE = 64
+IN_FLIGHT = 16
+# Texts are handed on when there are so many bytes of them; Arrow counts with 32 bits.
+_BATCH_BYTES = 64 * 1024 * 1024
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -31,18 +32,29 @@ def balance(files: DataFrame, weight: Column, per_task: int, by: Sequence[str])
     """Spread rows over tasks by the work behind them, found by one small aggregate.
 
     The rows themselves are tiny, so adaptive coalescing would put all of them, and
-    with them all the work, into one task. An explicit number is left alone. Beyond
-    some tasks per core more of them only make more and smaller output files.
+    with them all the work, into one task. An explicit number is left alone.
     """
     total = files.agg(F.sum(weight)).first()[0] or 0
     cores = files.sparkSession.sparkContext.defaultParallelism
-    tasks = min(max(cores, math.ceil(total / per_task)), cores * _TASKS_PER_CORE)
-    return files.repartition(tasks, *by)
+    return files.repartition(max(cores, math.ceil(total / per_task)), *by)
 
 
 def balance_by_bytes(files: DataFrame, bytes_per_task: int = 256 * 1024 * 1024) -> DataFrame:
-    """Spread files with a ``length`` so that tasks read about equally many bytes."""
-    return balance(files, F.col("length"), bytes_per_task, ["path"])
+    """Spread files with a ``length`` so that tasks read about equally many bytes.
+
+    Files are dealt by hash into groups of some tasks' worth of bytes. Within a group they
+    are lined up, and each stretch of ``bytes_per_task`` is a task, so a long file has one
+    to itself and short ones share.
+    """
+    total = files.agg(F.sum("length")).first()[0] or 0
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    share = min(bytes_per_task, max(1, math.ceil(total / cores)))
+    tasks = max(cores, math.ceil(total / share))
+    group = F.pmod(F.xxhash64("path"), F.lit(math.ceil(tasks / 16)))
+    line = Window.partitionBy("_group").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("length").over(line), F.lit(0))
+    dealt = files.withColumn("_group", group).withColumn("_slot", F.floor(before / share))
+    return dealt.repartitionByRange(tasks, "_group", "_slot").drop("_group", "_slot")
 
 
 def _per_file(
@@ -60,11 +72,25 @@ def _per_file(
         import pyarrow as pa
 
         kind = pa.string() if of_text else pa.int64()
-        with ThreadPoolExecutor(_IN_FLIGHT) as pool:
+
+        def output(batch, first, seen):
+            keys = [batch.column(i).slice(first, len(seen)) for i in range(len(fields))]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(seen, kind)], names)
+
+        with ThreadPoolExecutor(IN_FLIGHT) as pool:
             for batch in batches:
-                seen = list(pool.map(look, batch.column(len(fields)).to_pylist()))
-                keys = [batch.column(i) for i in range(len(fields))]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(seen, kind)], names)
+                paths = batch.column(len(fields)).to_pylist()
+                first, seen, size = 0, [], 0
+                for at in range(0, len(paths), IN_FLIGHT):
+                    for found in pool.map(look, paths[at : at + IN_FLIGHT]):
+                        grown = len(found) * 4 if of_text and found else 0
+                        if seen and size + grown > _BATCH_BYTES:
+                            yield output(batch, first, seen)
+                            first, seen, size = first + len(seen), [], 0
+                        seen.append(found)
+                        size += grown
+                if seen:
+                    yield output(batch, first, seen)
 
     return wanted.mapInArrow(visit, f"{key_ddl}, {column}")
 

@@ -68,11 +68,26 @@ class HashingReader:
         return self.sha.hexdigest()
 
 
-def copy_file(source, target: str) -> int:
+def _same_bytes(system, one: str, other: str) -> bool:
+    with (
+        system.open_input_stream(one, compression=None) as a,
+        system.open_input_stream(other, compression=None) as b,
+    ):
+        while True:
+            left, right = a.read(CHUNK), b.read(CHUNK)
+            if left != right:
+                return False
+            if not left:
+                return True
+
+
+def copy_file(source, target: str) -> int | None:
     """Copy a file (its path, or its bytes) to ``target`` and return the size found there.
 
     The bytes go to a name of this attempt's own and are moved into place when
-    complete, so a repeated or concurrent attempt never shows a partial file.
+    complete, so a repeated or concurrent attempt never shows a partial file. A target
+    that is there already stays as it is: with the same bytes it is an earlier attempt's
+    and counts as copied, with others nothing is copied and there is no size.
     """
     system, place = locate(target)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
@@ -85,10 +100,14 @@ def copy_file(source, target: str) -> int:
                     sink.write(chunk)
         else:
             sink.write(source)
-    try:
-        system.move(draft, place)
-    except OSError:
-        # Some file systems do not move onto a file an earlier attempt has left.
-        system.delete_file(place)
-        system.move(draft, place)
-    return system.get_file_info(place).size
+    if not system.get_file_info(place).is_file:
+        try:
+            system.move(draft, place)
+            return system.get_file_info(place).size
+        except OSError:
+            # Another attempt may have been first where files are not moved onto others.
+            if not system.get_file_info(place).is_file:
+                raise
+    same = _same_bytes(system, draft, place)
+    system.delete_file(draft)
+    return system.get_file_info(place).size if same else None

@@ -30,6 +30,45 @@ def test_reject_existing_admits_first_arrival_once(spark):
     assert got | {tuple(r) for r in rejected.collect()} == set(rows)
 
 
+def test_admitted_and_rejected_are_the_candidates(spark):
+    rows = [(None, 1), (None, 1), ("u", None), ("u", 3), ("v", 1), ("v", 1), ("taken", None), ("w", None)]
+    candidates = spark.createDataFrame(rows, "tag string, arrival int")
+    releases = spark.createDataFrame([("taken",), (None,)], "tag string")
+    admitted, rejected = sy.reject_existing(candidates, releases, ["tag"], ["arrival"])
+    one, two = ([tuple(r) for r in df.collect()] for df in (admitted, rejected))
+    assert sorted(one, key=repr) == sorted([("u", None), ("v", 1), ("w", None)], key=repr)
+    assert sorted(one + two, key=repr) == sorted(rows, key=repr)
+
+
+def test_staging_neither_overwrites_nor_leaves_its_folder(spark, tmp_path):
+    registry = f"file://{tmp_path}/registry"
+    sy.create_registry(spark, registry)
+    kind = "release_id string, tag string, ord int, name string, content binary"
+
+    def staged(rows, seq):
+        files = spark.createDataFrame([(t, t, 0, n, bytearray(c)) for t, n, c in rows], kind)
+        releases = spark.createDataFrame([(t, t, "p", t, "stable", 1) for t, _, _ in rows], "release_id string, tag string, product string, title string, channel string, arrival bigint")
+        return {(r.tag, r.name): r.size for r in sy.stage_release(files, releases, registry, seq, content="content").collect()}
+
+    assert staged([("v1", "x", b"old"), ("v1", "empty", b"")], 1) == {("v1", "x"): 3, ("v1", "empty"): 0}
+    again = staged([("v1", "x", b"newer"), ("v1", "empty", b""), ("../../esc", "x", b"1"), ("v2", "../x", b"1"), ("v2", "/x", b"1"), ("v2", "", b"1")], 2)
+    assert again == {("v1", "x"): None, ("v1", "empty"): 0, ("../../esc", "x"): None, ("v2", "../x"): None, ("v2", "/x"): None, ("v2", ""): None}
+    assert (tmp_path / "registry/files/v1/x").read_bytes() == b"old"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["registry"]
+    assert sorted(p.name for p in (tmp_path / "registry/files").iterdir()) == ["v1"]
+    assert sorted(p.name for p in (tmp_path / "registry/files/v1").iterdir()) == ["empty", "x"]
+
+
+def test_staged_files_are_written_by_many_tasks(spark, tmp_path):
+    registry = f"file://{tmp_path}/registry"
+    sy.create_registry(spark, registry)
+    kind = "release_id string, tag string, ord int, name string, content binary"
+    files = spark.createDataFrame([(f"v{i}", f"v{i}", 0, "x", bytearray(b"1" * 50)) for i in range(64)], kind).coalesce(1)
+    releases = files.selectExpr("release_id", "tag", "'p' as product", "tag as title", "'stable' as channel", "1L as arrival")
+    sy.stage_release(files, releases, registry, 1, content="content")
+    assert len(list((tmp_path / "registry/uploads/seq=1").glob("part-*"))) > 1
+
+
 def test_latest_is_publish_order_not_version_order(spark):
     releases = spark.createDataFrame(
         [

@@ -77,12 +77,35 @@ def test_gate_rows_agrees_with_gate(df, rows):
 
 
 def test_first_broken_follows_phase_and_order(df, rows):
-    got = {r.i: r.r for r in df.select("i", first_broken(rules()).alias("r")).collect()}
+    fixed = [r for r in rules() if isinstance(r.item_pos, int)]
+    got = {r.i: r.r for r in df.select("i", first_broken(fixed).alias("r")).collect()}
+    names = {r.name for r in fixed}
     for row in rows:
-        order = sorted(broken(row), key=lambda v: (v[0], v[2]))
+        order = sorted((v for v in broken(row) if v[4] in names), key=lambda v: v[:4])
         assert got[row[1]] == (order[0][4] if order else None)
 
 
+def test_first_broken_counts_all_of_the_order(spark):
+    one = spark.range(1)
+    never = F.lit(False)
+    by_sub = [sy.Rule("late", 1, never, sub_pos=1), sy.Rule("early", 1, never, sub_pos=0)]
+    by_item = [sy.Rule("late", 1, never, item_pos=1), sy.Rule("early", 2, never, item_pos=0)]
+    for made in (by_sub, by_item):
+        assert one.select(first_broken(made)).first()[0] == "early"
+        assert sy.first_violation(sy.violations(one, ["id"], made), ["id"]).first().rule == "early"
+    with pytest.raises(ValueError, match="positions"):
+        first_broken([sy.Rule("r", 1, never, item_pos=F.col("id"))])
+
+
+def test_a_null_key_fails_with_its_violations(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 1), ("b", 0)], "k string, n int")
+    made = [sy.Rule("r", 1, F.col("n") == 0, "no")]
+    found = sy.violations(df, ["k"], made)
+    want = {None: (1, False), "a": (1, False), "b": (0, True)}
+    for judged in (sy.gate(df, found, ["k"]), sy.verdicts(df, found, ["k"]), sy.gate_rows(df, ["k"], made)):
+        assert {r.k: (r.n_violations, r.passed) for r in judged.collect()} == want
+
+
 def test_a_subject_without_rows_passes_and_a_null_does_not(spark):
     subjects = spark.createDataFrame([("a",), ("b",)], "k string")
     one = spark.createDataFrame([("a", None)], "k string, n int")

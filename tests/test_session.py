@@ -4,7 +4,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from sealyard.session import materialise, shared_folder, widen
+from sealyard.session import clean_up, fresh_folder, materialise, shared_folder
 
 
 def session(named=None, set_before=None, master="spark://host"):
@@ -12,7 +12,8 @@ def session(named=None, set_before=None, master="spark://host"):
     context = SimpleNamespace(
         master=master, getCheckpointDir=lambda: set_before, setCheckpointDir=chosen.append
     )
-    conf = SimpleNamespace(get=lambda key, default: named or default)
+    warehouse = {"spark.sql.warehouse.dir": "file:/w"}
+    conf = SimpleNamespace(get=lambda key, default: warehouse.get(key) or named or default)
     return SimpleNamespace(conf=conf, sparkContext=context), chosen
 
 
@@ -27,9 +28,15 @@ def test_a_cluster_gets_no_local_folder():
         shared_folder(session()[0])
 
 
-def test_a_local_session_without_setting_gets_one():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,1024]"])
+def test_nor_does_any_session_with_executors(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session(master=master)[0])
+
+
+def test_a_local_session_without_setting_uses_its_warehouse():
     spark, chosen = session(master="local[2]")
-    assert shared_folder(spark) == chosen[0]
+    assert shared_folder(spark) == "file:/w/shared-tables" and not chosen
 
 
 def test_materialise_keeps_rows_types_and_variants(spark):
@@ -40,7 +47,9 @@ def test_materialise_keeps_rows_types_and_variants(spark):
     assert "FileScan parquet" in kept._jdf.queryExecution().executedPlan().toString()
 
 
-def test_widen_leaves_wide_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert widen(wide) is wide
-    assert widen(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
+def test_clean_up_deletes_this_sessions_tables_only(spark):
+    place = fresh_folder(spark, "x")
+    assert place.startswith(shared_folder(spark) + "/") and spark.sparkContext.applicationId in place
+    materialise(spark.range(3))
+    assert clean_up(spark) and not clean_up(spark)
+    assert materialise(spark.range(3)).count() == 3

@@ -33,45 +33,53 @@ def folder(tmp_path_factory):
         (place / "release.json").write_text(json.dumps({"models": [{"id": 1, "x": None}, 5]}))
     (root / "r3").mkdir()
     (root / "r3" / "release.json").write_text('{"models": {"a": 1}}')
+    (root / "r3" / "empty.bin").write_bytes(b"")
+    (root / "r3" / "empty.sha256").write_bytes(b"")
+    (root / "r4").mkdir()
+    (root / "r4" / "release.json").write_bytes(b"")
     return root
 
 
-def test_scan_assets_lists_without_content(spark, folder):
-    listed = sy.scan_assets(spark, str(folder), "*.bin")
-    rows = {(r.release_id, r.name): r.length for r in listed.collect()}
-    assert rows[("r1", "a.bin")] == 2000 and rows[("r+2 %20", "b.bin")] == 256 * 9000
-    plan = listed._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
+@pytest.fixture(scope="module")
+def releases(spark):
+    names = ["r1", "r+2 %20", "r3", "r4", "no such release", None]
+    return spark.createDataFrame([(n,) for n in names], "release_id string")
+
+
+def test_scan_assets_lists_files_of_all_lengths(releases, folder):
+    rows = {(r.release_id, r.name): r.length for r in sy.scan_assets(releases, str(folder), "*.bin").collect()}
+    assert rows == {
+        ("r1", "a.bin"): 2000, ("r1", "b.bin"): 256 * 9000, ("r+2 %20", "a.bin"): 7000,
+        ("r+2 %20", "b.bin"): 256 * 9000, ("r3", "empty.bin"): 0,
+    }
 
 
-@pytest.mark.parametrize("limit", [0, 10_000, 10**9])
-def test_digest_files_short_and_chunked_agree(spark, folder, limit):
-    rows = digest_files(spark, str(folder), "*.bin", limit).collect()
-    assert len(rows) == 4
+def test_digest_files_of_all_lengths(releases, folder):
+    rows = digest_files(releases, str(folder), "*.bin").collect()
+    assert len(rows) == 5
     for row in rows:
         data = (folder / row.release_id / row.name).read_bytes()
         assert (row.length, row.sha256) == (len(data), hashlib.sha256(data).hexdigest())
+        assert row.error is None
 
 
-def test_long_files_are_not_read_into_rows(spark, folder):
-    plan = digest_files(spark, str(folder), "*.bin", 10_000)._jdf.queryExecution().executedPlan()
-    scans = [line for line in plan.toString().split("\n") if "FileScan binaryFile" in line]
-    assert any("LessThanOrEqual(length,10000)" in line for line in scans)
-    assert [("content" in line.split("ReadSchema")[-1]) for line in scans].count(True) == 1
+def test_scan_sidecars(releases, folder):
+    rows = {r.release_id: (r.name, r.fields) for r in sy.scan_sidecars(releases, str(folder)).collect()}
+    assert rows == {k: ("a.bin", ["abc", "a.bin"]) for k in ("r1", "r+2 %20")} | {"r3": ("empty", [])}
 
 
-def test_scan_sidecars(spark, folder):
-    rows = {r.release_id: (r.name, r.fields) for r in sy.scan_sidecars(spark, str(folder)).collect()}
-    assert rows == {k: ("a.bin", ["abc", "a.bin"]) for k in ("r1", "r+2 %20")}
+def test_scan_manifests_sees_empty_files(releases, folder):
+    rows = {r.release_id: r.raw for r in sy.scan_manifests(releases, str(folder)).collect()}
+    assert rows.keys() == {"r1", "r+2 %20", "r3", "r4"} and rows["r4"] == ""
 
 
-def test_scan_uploads_keeps_positions_and_number_types(spark, folder):
-    rows = sy.scan_uploads(spark, str(folder)).where("release_id = 'r1'").orderBy("upload_pos")
+def test_scan_uploads_keeps_positions_and_number_types(releases, folder):
+    rows = sy.scan_uploads(releases, str(folder)).where("release_id = 'r1'").orderBy("upload_pos")
     assert [(r.name, r.size) for r in rows.collect()] == [("a.bin", 5), ("a.bin", 7), ("b.bin", None), (None, None)]
 
 
-def test_scan_models(spark, folder):
-    manifests = sy.scan_manifests(spark, str(folder))
+def test_scan_models(releases, folder):
+    manifests = sy.scan_manifests(releases, str(folder))
     rows = sy.scan_models(manifests).where("release_id <> 'r3'").orderBy("release_id", "model_pos")
     assert [(r.model_pos, r["keys"]) for r in rows.collect()] == [(0, ["id", "x"]), (1, None)] * 2
     assert sy.scan_models(manifests).where("release_id = 'r3'").count() == 0
@@ -82,11 +90,22 @@ def test_absent_registry_is_an_error(spark, tmp_path):
         sy.scan_releases(spark, str(tmp_path / "none")).count()
 
 
-def test_balance_keeps_its_tasks(spark, folder):
-    listed = sy.scan_assets(spark, str(folder), "*.bin")
-    total = sum(r.length for r in listed.collect())
-    spread = balance_by_bytes(listed, bytes_per_task=100_000)
-    assert spread.rdd.getNumPartitions() == -(-total // 100_000) > 8
+def test_balance_by_bytes_parts_the_work(spark):
+    files = spark.range(400).selectExpr("concat('f', id) as path", "if(id % 50 = 0, 1000L, 10L) as length")
+    spread = balance_by_bytes(files, bytes_per_task=500)
+    sizes = [sum(r.length for r in part) for part in spread.rdd.glom().collect()]
+    assert sum(sizes) == 8 * 1000 + 392 * 10 and len(sizes) > 8
+    assert max(sizes) <= 2 * 1000
+
+
+def test_texts_are_handed_on_by_bytes(spark, tmp_path, monkeypatch):
+    import sealyard.sources.named as named
+
+    monkeypatch.setattr(named, "_BATCH_BYTES", 100)
+    for i in range(40):
+        (tmp_path / f"t{i}").write_text("x" * (i * 7))
+    files = spark.createDataFrame([(i, f"{tmp_path}/t{i}") for i in range(40)], "k int, path string")
+    assert {r.k: len(r.raw) for r in read_texts(files, ["k"]).collect()} == {i: i * 7 for i in range(40)}
 
 
 def test_named_files(spark, folder, tmp_path):
@@ -159,6 +178,23 @@ def test_read_failure_is_raised_not_reported():
         list(_listing_rows(Failing(b"x"), True))
 
 
+def test_list_archives_tells_of_damage(spark):
+    whole = wide_archive(300)
+    df = spark.createDataFrame([(1, bytearray(whole)), (2, bytearray(whole[: len(whole) // 2])), (3, bytearray(b"no"))], "k int, c binary")
+    rows = sy.list_archives(df, ["k"], content="c").collect()
+    errors = {r.k: r.error for r in rows if r.error is not None}
+    assert errors.keys() == {2, 3} and errors[3] == "not a gzip file"
+    members = {k: sum(r.k == k and r.member_pos is not None for r in rows) for k in (1, 2, 3)}
+    assert members[1] == 301 and 0 < members[2] < 301 and members[3] == 0
+
+
+def test_copy_file_never_replaces(tmp_path):
+    target = f"file://{tmp_path}/t"
+    assert copy_file(b"one", target) == 3 and copy_file(b"one", target) == 3
+    assert copy_file(b"two!", target) is None and (tmp_path / "t").read_bytes() == b"one"
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_copy_file_is_repeatable(tmp_path):
     source = tmp_path / "s#1 ?.bin"
     source.write_bytes(b"x" * 3_000_000)

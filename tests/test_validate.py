@@ -122,7 +122,7 @@ CASES = {
     },
     "15 claim": ({"manifest": put(archive_sha256="0" * 64)}, "v0.4.0", "digest_matches_manifest",
                  "Archive checksum differs from manifest"),
-    "16 no gzip": ({"archive": b"plain"}, "v0.4.0", "archive_readable", None),
+    "16 no gzip": ({"archive": b"plain"}, "v0.4.0", "archive_readable", "not a gzip file"),
     "16 truncated": ({"archive": archive_bytes(members_of(BASE))[:90]}, "v0.4.0",
                      "archive_readable", None),
     "16 empty": ({"archive": b""}, "v0.4.0", "archive_readable", None),
@@ -147,7 +147,8 @@ CASES = {
                 "link_allowlist", None),
     "20 leading dot": ({"entries": replaced("/tool", ("./{base}/tool", SYM, b"", 0o777, "toold"))},
                        "v0.4.0", "link_allowlist", None),
-    "21 absent": ({"entries": replaced("/toold")}, "v0.4.0", "require_member(entrypoint)", None),
+    "21 absent": ({"entries": replaced("/toold")}, "v0.4.0", "require_member(entrypoint)",
+                  f"'{BASE}/toold'"),
     "21 leading dot": ({"entries": replaced("/toold", ("./{base}/toold", REG, b"", 0o755))},
                        "v0.4.0", "require_member(entrypoint)", None),
     "22 plain": ({"entries": replaced("/toold", ("{base}/toold",))}, "v0.4.0",
@@ -162,9 +163,9 @@ CASES = {
         {"entries": lambda listed, base: [member(f"{base}/toold")] + listed}, "v0.4.0", PASSED,
         None),
     "23 absent": ({"entries": replaced("/tool")}, "v0.4.0", "require_member(alias)",
-                  "Missing Shell compatibility entry"),
+                  f"'{BASE}/tool'"),
     "23 file": ({"entries": replaced("/tool", ("{base}/tool",))}, "v0.4.0",
-                "require_member(alias)", None),
+                "member_property(alias)", "Missing Shell compatibility entry"),
     "24 folder only": ({"entries": replaced("/a.txt")}, "v0.4.0",
                        "require_any_prefix(resources)", "Missing resources"),
     "24 slashes": ({"entries": replaced("/a.txt", ("{base}/Res.bundle//", DIR))}, "v0.4.0",
@@ -220,6 +221,11 @@ def test_inventory_names_files_in_order(validated):
     ]
 
 
+def test_inventory_is_that_of_passed_releases(validated):
+    passed = {name for name, verdict in validated[0].items() if verdict.passed}
+    assert {name for name, _ in validated[2]} == passed
+
+
 def test_files_nobody_expects_have_no_influence(spark, tmp_path):
     """Tables may hold further archives, assets and checksum files of a release."""
     from pyspark.sql import functions as F
@@ -231,14 +237,16 @@ def test_files_nobody_expects_have_no_influence(spark, tmp_path):
     (tmp_path / "r" / "more.tar.gz").write_bytes(archive_bytes([member("/abs"), member("x/y")]))
     (tmp_path / "r" / "more.tar.gz.sha256").write_text("nothing")
     root = str(tmp_path)
-    files = sy.scan_assets(spark, root, "*.tar.gz").unionByName(sy.scan_assets(spark, root, "*.dmg"))
+    candidates = spark.createDataFrame([("r", "v0.4.0")], "release_id string, tag string")
+    files = sy.scan_assets(candidates, root, "*.tar.gz").unionByName(
+        sy.scan_assets(candidates, root, "*.dmg")
+    )
     key = ["release_id", "name"]
     listing = read_bytes_once(files, key, F.col("name").endswith(".tar.gz"))
     members = listed(listing.withColumnRenamed("name", "archive"), ["release_id", "archive"])
-    candidates = spark.createDataFrame([("r", "v0.4.0")], "release_id string, tag string")
     found, judged = sy.validate_releases(
-        CONTRACT, candidates, sy.scan_manifests(spark, root), digests_of(listing, key),
-        sy.scan_sidecars(spark, root), members,
+        CONTRACT, candidates, sy.scan_manifests(candidates, root), digests_of(listing, key),
+        sy.scan_sidecars(candidates, root), members,
     )
     assert base in files.where("name like 'acme%'").first().name
     assert judged.first().passed and found.count() == 0
