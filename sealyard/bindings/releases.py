@@ -133,11 +133,13 @@ def packed_documents(documents, base, fault):
         import pyarrow as pa
 
         names = ["doc_id", "base", "fault", "content"]
-        for batch in batches:
-            fields = [batch.column(name).to_pylist() for name in ("text", "base", "fault")]
-            content = [pack(*values) for values in zip(*fields)]
-            columns = [batch.column(name) for name in names[:3]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                fields = [batch.column(name).to_pylist() for name in ("text", "base", "fault")]
+                content = [pack(*values) for values in zip(*fields)]
+                columns = [batch.column(name) for name in names[:3]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(content, pa.binary())], names)
 
     return documents.select(
         "doc_id", base.alias("base"), fault.alias("fault"), "text"

@@ -114,6 +114,7 @@ _FLAG_JSON = """CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN '"true
     FROM (SELECT event_id, {_FLAG_JSON} AS flag FROM events)
 """)
 def strict_true(spark, sf_dir):
+    configure(spark)
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "props").select(
         "event_id", json_document(F.expr(_FLAG_JSON)).alias("flag")
     )
