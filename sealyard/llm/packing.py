@@ -58,7 +58,7 @@ class Packer:
             yield [(doc_id, at, ids[at : at + self.window], total)]
         if whole == total:
             return
-        rest = (doc_id, whole, ids[whole:], total)
+        rest = (doc_id, whole, ids[whole:].copy(), total)  # not a view that keeps all of a long document
         level = self.level_for(total - whole)
         if level:
             held = self.open[level].pop()
