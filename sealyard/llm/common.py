@@ -27,6 +27,19 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Rows that go to Python at a time. Texts are long rows, and a batch is in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches that fit rows of text."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    given = int(df.sparkSession.conf.get(setting))
+    if given <= 0 or given > BATCH_ROWS:
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def add_columns(
     df: DataFrame, inputs: Sequence[str], fields: str, function: Callable, rows: int = 512
 ) -> DataFrame:
@@ -54,4 +67,4 @@ def add_columns(
                 new = [pa.array(list(v), kind) for v, kind in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return in_batches(kept, run, schema)

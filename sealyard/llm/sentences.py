@@ -1,86 +1,116 @@
 """Substring dedup by sliding sentence spans: repeated runs of sentences stay where they come first.
 
-A text is cut into sentences that together are the text again. Every run of ``SPAN`` neighbouring sentences is
-hashed to 128 bits, the hashes are joined over all documents, and each sentence that a non-first occurrence of
-a repeated run covers is removed. First is the smallest (doc_id, position). A run of fewer than ``LEAST_WORDS``
-words says too little to count as a repeated passage.
+A text is cut into sentences that together are the text again. Every run of neighbouring sentences, ``SPAN`` of
+them or as many more as it takes to have ``LEAST_WORDS`` words, is hashed to 128 bits, the hashes are joined over
+all documents, and each sentence that a non-first occurrence of a repeated run covers is removed. First is the
+smallest (doc_id, position).
 
 NULL text has no sentences and stays NULL. Rows that share doc_id and text are one document and are treated
-alike; rows that share only the doc_id compare by position. A NULL doc_id comes after all others. Texts with
-fewer than ``SPAN`` sentences are left alone. No rows give no rows.
+alike; rows that share only the doc_id compare by position. A NULL doc_id comes after all others. Texts without a
+whole run are left alone. Columns named like a result are replaced by it. No rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealyard.llm.common import add_columns, table
+from sealyard.llm.common import add_columns, in_batches, table
+from sealyard.session import materialise
 
-#: Sentences in a span.
+#: Sentences in a run, at least, and its words, at least.
 SPAN = 3
-#: Words that a span must have to count.
 LEAST_WORDS = 12
 #: A sentence ends after a full stop, exclamation or question mark followed by white space, or at a line end.
-SENTENCE = r"(?s).+?(?:[.!?]+\s+|\n\s*|\z)"
+SENTENCE = re.compile(r"(?s).+?(?:[.!?]+\s+|\n\s*|\Z)")
 _LAST = 9223372036854775807
 
 
-def sentences_of(text: Column) -> Column:
+def sentences_of(text: str | None) -> list[str]:
     """The sentences of a text, with what separates them; together they are the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
-
-
-def spans(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc, text_key, pos, h1, h2``: every run of ``span`` sentences of every text."""
-    keyed = df.select(
-        F.coalesce("doc_id", F.lit(_LAST)).alias("doc"),
-        F.xxhash64("text").alias("text_key"),
-        F.transform(sentences_of(F.col("text")), lambda s: F.btrim(s, F.lit(" \t\r\n"))).alias("s"),
-    ).where(F.size("s") >= span)
-    runs = keyed.select("doc", "text_key", "s", F.posexplode(F.slice("s", 1, F.size("s") - (span - 1))).alias("pos", "_"))
-    text = F.concat_ws("\n", *[F.get("s", F.col("pos") + i) for i in range(span)])
-    return (
-        runs.select("doc", "text_key", "pos", text.alias("run"))
-        .where(F.size(F.split("run", "\\s+")) >= least_words)
-        .select("doc", "text_key", "pos", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(span), "run").alias("h2"))
-    )
-
-
-def repeated(found: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc, text_key, removed``: positions of sentences that a non-first span covers, per document."""
+    return SENTENCE.findall(text or "")
+
+
+def runs_of(sentences: list[str], span: int = SPAN, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """``start, length, digest`` of the run that starts at each sentence; the last ones may have none."""
+    plain = [s.strip() for s in sentences]
+    words = [len(s.split()) for s in plain]
+    end, held = 0, 0
+    for start in range(len(plain)):
+        while end < len(plain) and (end - start < span or held < least_words):
+            held += words[end]
+            end += 1
+        if end - start < span or held < least_words:
+            return
+        run = "\n".join(plain[start:end])
+        yield start, end - start, hashlib.blake2b(run.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        held -= words[start]
+
+
+def runs(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``doc, text_key, pos, size, h1, h2``: every run of every text."""
+
+    def find(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["doc", "text_key", "pos", "size", "h1", "h2"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows, digests = [], []
+                for doc, key, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    for start, size, digest in runs_of(sentences_of(text), span, least_words):
+                        rows.append((doc, key, start, size))
+                        digests.append(digest)
+                if rows:
+                    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
+
+    keyed = df.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    return in_batches(keyed, find, "doc bigint, text_key bigint, pos int, size int, h1 bigint, h2 bigint")
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """``doc, text_key, removed``: positions of sentences that a non-first run covers, per document."""
     firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").drop("n")
-    hits = found.join(firsts, ["h1", "h2"])
+    # Only what is repeated is written; three branches read it.
+    hits = materialise(found.join(firsts, ["h1", "h2"]))
     # Within the first document the smallest position is the first occurrence.
     own = hits.where("doc = first").groupBy("h1", "h2", "doc").agg(F.min("pos").alias("at"))
-    later = hits.where("doc > first").select("doc", "text_key", "pos").unionByName(
-        hits.where("doc = first").join(own, ["h1", "h2", "doc"]).where("pos > at").select("doc", "text_key", "pos")
-    )
-    covered = later.select("doc", "text_key", F.explode(F.array(*[F.col("pos") + i for i in range(span)])).alias("at"))
+    again = hits.where("doc = first").join(own, ["h1", "h2", "doc"]).where("pos > at")
+    columns = ["doc", "text_key", "pos", "size"]
+    later = hits.where("doc > first").select(*columns).unionByName(again.select(*columns))
+    covered = later.select("doc", "text_key", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("at"))
     return covered.groupBy("doc", "text_key").agg(F.collect_set("at").alias("removed"))
 
 
 def remove_repeated_spans(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``df`` with ``text`` freed of repeated spans, and ``n_sentences``, ``n_removed``, ``removed_words``."""
-    found = repeated(spans(df, span, least_words), span)
+    """``df`` with ``text`` freed of repeated runs, and ``n_sentences``, ``n_removed``, ``removed_words``."""
+    found = repeated(runs(df, span, least_words)).toDF("_doc", "_key", "_removed")
     keyed = df.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_key": F.xxhash64("text")})
-    marked = keyed.join(found.toDF("_doc", "_key", "_removed"), ["_doc", "_key"], "left").withColumn(
-        "_sentences", F.when(F.col("_removed").isNotNull(), sentences_of(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    ).withColumn("_n", F.size(sentences_of(F.col("text"))).cast("bigint"))
+    marked = keyed.join(found, ["_doc", "_key"], "left")
 
     def cut():
-        def compute(texts, sentences, removed, n):
-            kept, gone, words = [], [], []
-            for text, parts, out in zip(texts, sentences, removed, strict=True):
-                drop = set(out or ())
+        def compute(texts, removed):
+            kept, n, gone, words = [], [], [], []
+            for text, out in zip(texts, removed, strict=True):
+                parts, drop = sentences_of(text), set(out or ())
                 kept.append("".join(s for i, s in enumerate(parts) if i not in drop) if drop else text)
+                n.append(len(parts))
                 gone.append(len(drop))
                 words.append(sum(len(parts[i].split()) for i in drop))
             return kept, n, gone, words
 
         return compute
 
-    result = add_columns(marked, ["text", "_sentences", "_removed", "_n"], "_text string, n_sentences bigint, n_removed bigint, removed_words bigint", cut)
+    result = add_columns(marked, ["text", "_removed"], "_text string, n_sentences bigint, n_removed bigint, removed_words bigint", cut)
     names = [c for c in df.columns if c not in ("n_sentences", "n_removed", "removed_words")]
     return result.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "n_sentences", "n_removed", "removed_words")
 
