@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealyard.llm.common import table
+from sealyard.llm.common import in_batches, table
 
 
 @dataclasses.dataclass(frozen=True)
@@ -96,7 +96,7 @@ def format_chat(df: DataFrame, template: Template = CHATML) -> DataFrame:
         .sortWithinPartitions("conv_id", "turn", "role", "text")
         .select("conv_id", "role", "text")
     )
-    return turns.mapInArrow(run, "conv_id bigint, turn_pos bigint, segment int, text string, loss boolean, valid boolean")
+    return in_batches(turns, run, "conv_id bigint, turn_pos bigint, segment int, text string, loss boolean, valid boolean")
 
 
 def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -159,7 +159,7 @@ def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
         if reader is not None:
             yield batch_of([reader.row()])
 
-    return segments.select("conv_id", "text", "loss", "valid").mapInArrow(run, fields)
+    return in_batches(segments.select("conv_id", "text", "loss", "valid"), run, fields)
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

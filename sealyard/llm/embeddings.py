@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealyard.llm.common import table
+from sealyard.llm.common import in_batches, table
 from sealyard.llm.components import components
 from sealyard.session import materialise
 
@@ -203,7 +203,7 @@ def _units(df: DataFrame) -> DataFrame:
             )
 
     typed = df.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), F.col("embedding").cast("array<double>"))
-    return typed.mapInArrow(scale, "row_id bigint, vec_id bigint, label bigint, unit array<double>")
+    return in_batches(typed, scale, "row_id bigint, vec_id bigint, label bigint, unit array<double>")
 
 
 def _nearest(cells: DataFrame, centres: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _nearest(cells: DataFrame, centres: DataFrame) -> DataFrame:
             )
 
     joined = cells.join(centres, "label", "left").select("row_id", "vec_id", "label", "unit", "centres")
-    return joined.mapInArrow(run, "row_id bigint, vec_id bigint, label bigint, unit array<double>, cell int, gap double")
+    return in_batches(joined, run, "row_id bigint, vec_id bigint, label bigint, unit array<double>, cell int, gap double")
 
 
 def near_vectors(df: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

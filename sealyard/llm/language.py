@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealyard.llm.common import add_columns, crc_of, table
+from sealyard.llm.common import add_columns, crc_of, in_batches, table
 
 #: Hash bits of the feature space.
 BITS = 14
@@ -133,7 +133,7 @@ def fit_language(df: DataFrame, sample: int = SAMPLE) -> Model:
         )
 
     df_rows = (
-        known.select("text").mapInArrow(frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+        in_batches(known.select("text"), frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     )
     found = {r.feature: r.n for r in df_rows}
     rows = found.pop(-1, 0)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from sealyard.llm.common import table
+from sealyard.llm.common import in_batches, table
 from sealyard.llm.pretokens import Encoder, pieces
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -193,7 +193,7 @@ def pack_documents(df: DataFrame, path: str, window: int = WINDOW, end: int = EN
         if ready:
             yield flush(ready, made)
 
-    return df.select("doc_id", "text").mapInArrow(run, fields)
+    return in_batches(df.select("doc_id", "text"), run, fields)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Characters that are cut and encoded together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Different pieces that are remembered; beyond that the memory starts afresh.
 REMEMBERED = 1 << 20
 #: Longer pieces are told apart as text, not by hash.
