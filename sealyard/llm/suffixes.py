@@ -7,13 +7,16 @@ has are dropped. A task takes whole groups of segments and builds their suffix a
 their successors are sorted directly, the rest follows from them by scans over first-byte buckets, and common
 prefixes of neighbours then tell which strings are equal and which document has them first.
 
-A hash with more than ``HOT`` bytes of segments is not one task's work: its strings are compared one by one by a
-128-bit hash, with minima combined before the shuffle. Equal texts are one text; all but the smallest doc_id of
-them lose everything (from ``LENGTH`` bytes on). Strings are judged on the input, not on what is left.
+Hashes that a sample of the documents has twice or more need no look-up, and the up to ``FREQUENT`` most frequent
+are dealt out by document as well. If a hash may have more than ``HOT`` bytes of segments, they are not one task's
+work: the strings are compared one by one by a 128-bit hash, with minima combined before the shuffle. Equal texts are
+one text; all but the smallest doc_id of them lose everything (from ``LENGTH`` bytes on). Strings are judged on the
+input, not on what is left.
 
 NULL text is empty. Texts shorter than ``LENGTH`` bytes are kept. Rows that share a doc_id are one document, so
-they take nothing from one another. A NULL doc_id comes after all others. What is kept need not be UTF-8. Columns
-other than doc_id and text are not carried along. No rows give no rows.
+they take nothing from one another. A NULL doc_id comes after all others. What is kept need not be UTF-8. Other
+columns come along, but for those named like a result or, with an underscore, like a column of the work. No rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealyard.llm.common import add_columns, table
+from sealyard.llm.common import add_columns, in_batches, table
 from sealyard.session import materialise
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
+#: One document in so many is looked at for hashes that are frequent, and so many of those are known to tasks.
+SAMPLE, FREQUENT = 64, 1 << 16
 #: Bytes of one hash's segments that a task takes; above, strings are compared one by one.
 HOT = 1 << 24
 #: Bytes that a task sorts at a time, besides the last group's.
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 _RUN = 4096
 _CHUNK = 1 << 20
 _LAST = 9223372036854775807
@@ -97,11 +102,19 @@ class Minima:
             first = last
 
 
+#: Symbols that fit into one number; a symbol has nine bits.
+_PACK = 7
+
+
 def _words(symbols: np.ndarray) -> np.ndarray:
-    """The next four symbols at each place as one number, zeros after the end."""
-    padded = np.append(symbols, np.zeros(4, symbols.dtype)).astype(np.uint64)
+    """The next ``_PACK`` symbols at each place as one number, zeros after the end."""
     n = len(symbols)
-    return padded[:n] << np.uint64(48) | padded[1 : n + 1] << np.uint64(32) | padded[2 : n + 2] << np.uint64(16) | padded[3 : n + 3]
+    padded = np.append(symbols, np.zeros(_PACK, symbols.dtype)).astype(np.uint64)
+    out = padded[:n].copy()
+    for i in range(1, _PACK):
+        out <<= np.uint64(9)
+        out |= padded[i : n + i]
+    return out
 
 
 def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -120,11 +133,11 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     smaller = (next_change < n - 1) & (s[np.minimum(next_change + 1, n - 1)] > s[next_change])
     words = _words(symbols)
     direct = np.flatnonzero(smaller)
-    # Sorted by four symbols at a time; only suffixes that are still alike are sorted further.
+    # Sorted by some symbols at a time; only suffixes that are still alike are sorted further.
     direct = direct[np.argsort(words[direct], kind="stable")]
     key = words[direct]
     alike = np.append(False, key[1:] == key[:-1])
-    for step in range(4, depth + 4, 4):
+    for step in range(_PACK, depth + _PACK, _PACK):
         alike_next = np.append(alike[1:], False)
         open_ = np.flatnonzero(alike | alike_next)
         if not len(open_):
@@ -180,29 +193,53 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int = LENGTH)
     return shared
 
 
-def copied(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, int]]:
-    """``segment, start, stop``: stretches of segments covered by strings that a smaller doc has in any of them."""
+def earliest(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``length`` bytes of the segments, one after another, the smallest doc of any segment that
+    has it; and where each segment's strings begin among them."""
     sizes = np.array([len(x) for x in segments])
     ends = np.cumsum(sizes + 1)
-    begins = ends - sizes - 1
     # Segments are closed by a symbol of their own, 0, below all bytes.
     symbols = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     symbols[ends - 1] = 0
     order = suffix_array(symbols, length)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     order = order[order + length < ends[owner[order]]]  # whole strings only
-    if not len(order):
-        return
-    same = common_prefixes(symbols, order, length) >= length
-    starts = np.flatnonzero(~same)
-    doc = docs[owner[order]]
-    earliest = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(order))))
-    places = np.sort(order[doc > earliest])
-    if not len(places):
-        return
-    gap = np.flatnonzero((np.diff(places) > 1) | (np.diff(owner[places]) > 0))
-    for a, b in zip(places[np.append(0, gap + 1)], places[np.append(gap, len(places) - 1)], strict=True):
-        yield int(owner[a]), int(a - begins[owner[a]]), int(b - begins[owner[a]] + length)
+    strings = np.maximum(sizes - length + 1, 0)
+    begins = np.cumsum(strings) - strings
+    found = np.empty(len(order), np.int64)
+    if len(order):
+        starts = np.flatnonzero(common_prefixes(symbols, order, length) < length)
+        doc = np.repeat(np.minimum.reduceat(docs[owner[order]], starts), np.diff(np.append(starts, len(order))))
+        at = owner[order]
+        found[begins[at] + order - (ends[at] - sizes[at] - 1)] = doc
+    return found, begins
+
+
+def copied(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``segment, start, stop``: stretches of segments covered by strings that a smaller doc has in any of them.
+
+    Equal segments are one, with their smallest doc.
+    """
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(s, len(number)) for s in segments), np.int64, len(segments))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, docs)
+    first, begins = earliest(list(number), least, length)
+    sizes = np.fromiter(map(len, number), np.int64, len(number))
+    some = np.flatnonzero(sizes >= length)
+    low, high = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).max)
+    if len(some):
+        low[some], high[some] = np.minimum.reduceat(first, begins[some]), np.maximum.reduceat(first, begins[some])
+    whole = np.flatnonzero(docs > high[kind])
+    at, start, stop = [whole], [np.zeros(len(whole), np.int64)], [sizes[kind[whole]]]
+    for i in np.flatnonzero((docs > low[kind]) & (docs <= high[kind])):
+        k = kind[i]
+        places = np.flatnonzero(first[begins[k] : begins[k] + sizes[k] - length + 1] < docs[i])
+        gap = np.flatnonzero(np.diff(places) > 1)
+        at.append(np.full(len(gap) + 1, i))
+        start.append(places[np.append(0, gap + 1)])
+        stop.append(places[np.append(gap, len(places) - 1)] + length)
+    return np.concatenate(at), np.concatenate(start), np.concatenate(stop)
 
 
 def _binary(column) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +249,15 @@ def _binary(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
 
 
-def _segment_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``h, doc, place, strings`` of all segments of ``doc, data``."""
+_ROW = np.uint64(0xD1B54A32D192ED03)
+
+
+def _hashes(texts: DataFrame, length: int, gram: int, frequent: np.ndarray) -> DataFrame:
+    """``h, doc, salt`` of all segments of ``doc, data``.
+
+    ``salt`` is 0, or a number from 1 on that spreads the rows of a hash among the sorted ``frequent``, which
+    several documents are known to have.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -222,35 +266,55 @@ def _segment_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = _binary(batch.column(1))
-            for h, row, place, strings in minima.segments(data, offsets):
-                columns = [pa.array(h), pa.array(docs[row]), pa.array(place.astype(np.int32)), pa.array(strings.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "place", "strings"])
+            for h, row, _, _ in minima.segments(data, offsets):
+                known = np.isin(h, frequent)
+                doc = docs[row]
+                salt = np.where(known, (doc & 1023) + 1, 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(salt)], names=["h", "doc", "salt"])
 
-    return texts.select("doc", "data").mapInArrow(run, "h bigint, doc bigint, place int, strings int")
+    return in_batches(texts.select("doc", "data"), run, "h bigint, doc bigint, salt int")
 
 
-def _cut(found: DataFrame, length: int) -> DataFrame:
-    """``h, hot, doc, key, place, segment``: the bytes of the wanted segments, from a row for each text."""
+def _frequent(texts: DataFrame, length: int, gram: int, share: int = SAMPLE, most: int = FREQUENT) -> dict[int, int]:
+    """Hashes that several documents of a sample have, at most ``most``, with their counts there."""
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0)
+    counts = _hashes(some, length, gram, np.empty(0, np.int64)).groupBy("h").agg(
+        F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")
+    )
+    rows = counts.where("low < high").orderBy(F.desc("n"), "h").limit(most).select("h", "n").collect()
+    return {r.h: r.n for r in rows}
+
+
+def _cut(found: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
+    """``h, hot, doc, key, place, segment``: the segments of ``_doc, _key, _data`` whose hash is in ``wanted``."""
+    at = {name: found.columns.index(name) for name in ("_doc", "_key", "_data", "wanted")}
 
     def run(batches):
         import pyarrow as pa
 
+        minima = Minima(length, gram)
         for batch in batches:
-            data, offsets = _binary(batch.column(2))
-            docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, wanted in enumerate(batch.column(3).to_pylist()):
-                rows = []
-                text = data[offsets[i] : offsets[i + 1]]
-                for w in wanted:
-                    stop = w["place"] + w["strings"] + length - 1
-                    if stop <= len(text):
-                        rows.append((w["h"], w["hot"], docs[i], keys[i], w["place"], text[w["place"] : stop].tobytes()))
-                if rows:
-                    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["h", "hot", "doc", "key", "place", "segment"])
-
-    return found.mapInArrow(run, "h bigint, hot boolean, doc bigint, key bigint, place int, segment binary")
+            docs, keys = (batch.column(at[n]).to_numpy(zero_copy_only=False) for n in ("_doc", "_key"))
+            data, offsets = _binary(batch.column(at["_data"]))
+            lists = batch.column(at["wanted"])
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                # One number for hash and row; another segment taken along by chance does no harm.
+                rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) * _ROW
+                wanted = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ rows)
+                for h, row, place, strings in minima.segments(data, offsets):
+                    mine = np.flatnonzero(np.isin(h.view(np.uint64) ^ (row.astype(np.uint64) * _ROW), wanted))
+                    for first in range(0, len(mine), 4096):
+                        some = mine[first : first + 4096]
+                        r, size = row[some], strings[some] + length - 1
+                        ends = np.concatenate([[0], np.cumsum(size)])
+                        begin = offsets[r] + place[some]
+                        taken = data[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+                        segment = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
+                        columns = [pa.array(h[some]), pa.array(np.isin(h[some], hot)), pa.array(docs[r]), pa.array(keys[r]), pa.array(place[some].astype(np.int32)), segment]
+                        yield pa.RecordBatch.from_arrays(columns, names=["h", "hot", "doc", "key", "place", "segment"])
+
+    return in_batches(found, run, "h bigint, hot boolean, doc bigint, key bigint, place int, segment binary")
 
 
 def _sorted_groups(segments: DataFrame, length: int) -> DataFrame:
@@ -261,27 +325,33 @@ def _sorted_groups(segments: DataFrame, length: int) -> DataFrame:
 
         names = ["doc", "key", "start", "stop"]
 
-        def solve(rows):
-            found = copied([r[4] for r in rows], np.array([r[1] for r in rows], np.int64), length)
-            out = [(rows[i][1], rows[i][2], rows[i][3] + a, rows[i][3] + b) for i, a, b in found]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        def solve(parts):
+            docs, keys, places = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            at, start, stop = copied([x for p in parts for x in p[3]], docs, length)
+            if len(at):
+                columns = [docs[at], keys[at], places[at] + start, places[at] + stop]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
-        rows, size, last = [], 0, None
+        parts, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= BUFFER and row[0] != last:
-                    yield from solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4])
-                last = row[0]
-        if rows:
-            yield from solve(rows)
+            h, docs, keys, places = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            found = batch.column(4).to_pylist()
+            first = 0
+            for cut in [*(np.flatnonzero(np.diff(h)) + 1).tolist(), len(h)]:
+                # A piece of one hash's rows; what is gathered is solved when another hash begins.
+                if size >= BUFFER and h[first] != last:
+                    yield from solve(parts)
+                    parts, size = [], 0
+                piece = found[first:cut]
+                parts.append((docs[first:cut], keys[first:cut], places[first:cut].astype(np.int64), piece))
+                size += sum(map(len, piece))
+                last = h[first]
+                first = cut
+        if parts:
+            yield from solve(parts)
 
     dealt = segments.select("h", "doc", "key", "place", "segment").repartition("h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "doc bigint, key bigint, start bigint, stop bigint")
+    return in_batches(dealt, run, "doc bigint, key bigint, start bigint, stop bigint")
 
 
 def _one_by_one(segments: DataFrame, length: int) -> DataFrame:
@@ -300,7 +370,7 @@ def _one_by_one(segments: DataFrame, length: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "doc", "key", "start"])
 
-    strings = segments.select("doc", "key", "place", "segment").mapInArrow(run, "w1 bigint, w2 bigint, doc bigint, key bigint, start bigint")
+    strings = in_batches(segments.select("doc", "key", "place", "segment"), run, "w1 bigint, w2 bigint, doc bigint, key bigint, start bigint")
     firsts = strings.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     return (
         strings.join(firsts.select("w1", "w2", "first"), ["w1", "w2"])
@@ -326,23 +396,30 @@ def remove_copied(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     rows = df.withColumns(own).withColumn("_key", F.xxhash64("_data"))
     texts = rows.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col("_data").alias("data"))
     later = materialise(_later_copies(texts.select("doc", "key", F.xxhash64(F.lit(1), "data").alias("key2"))))
-    segments = _segment_rows(texts, length, gram)
-    shared = materialise(
-        segments.groupBy("h")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.sum(F.col("strings") + (length - 1)).alias("bytes"))
-        .where("low < high")
-        .select("h", (F.col("bytes") > hot).alias("hot"))
+    frequent = _frequent(texts, length, gram)
+    very = np.array([h for h, n in frequent.items() if n * SAMPLE * length > hot], np.int64)
+    # Moved once, for the smallest and largest document of each hash and for the documents that share it.
+    # (The joins would ask for rows without NULL on one side only, and so for two shuffles.)
+    hashes = _hashes(texts, length, gram, np.array(sorted(frequent), np.int64))
+    hashes = hashes.where("h is not null and doc is not null and salt is not null").repartition("h", "salt")
+    shared = (
+        hashes.groupBy("h", "salt")
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        .where("salt > 0 or low < high")
+        .select("h", "salt")
     )
-    some_hot = bool(shared.where("hot").take(1))
-    wanted = segments.join(shared, "h").groupBy("doc").agg(F.collect_list(F.struct("h", "hot", "place", "strings")).alias("wanted"))
-    # Both uses of the texts read this one shuffle.
-    placed = rows.drop("text").repartition("_doc")
-    by_doc = placed.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col("_data").alias("data"))
-    first_of_kind = by_doc.join(wanted.hint("shuffle_hash"), "doc").join(later.hint("shuffle_hash"), "doc", "left")
-    first_of_kind = first_of_kind.where(~F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)))
-    cut = _cut(first_of_kind.select("doc", "key", "data", "wanted"), length)
+    wanted = hashes.join(shared.hint("shuffle_hash"), ["h", "salt"]).groupBy("doc").agg(F.collect_list("h").alias("wanted"))
+    wanted = materialise(wanted)
+    # The hashes have done their work; their shuffle files go when the driver's garbage is collected.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    # All columns are asked for wherever the texts are read, so that there is one shuffle of them.
+    placed = rows.drop("text", "doc_id").repartition("_doc")
+    needed = placed.join(wanted.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc")
+    needed = needed.join(later.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left")
+    needed = needed.where(~F.coalesce(F.array_contains("copies", F.col("_key")), F.lit(False)))
+    cut = _cut(needed, length, gram, very)
     found = _sorted_groups(cut.where("not hot"), length)
-    if some_hot:
+    if len(very):
         found = found.unionByName(_one_by_one(cut.where("hot"), length))
     stretches = found.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "stop")).alias("_stretches"))
 
@@ -377,7 +454,9 @@ def remove_copied(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     done = add_columns(
         joined, ["_data", "_key", "_copies", "_stretches"], "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint", remove
     )
-    return done.drop("_doc", "_data", "_key", "_copies", "_stretches")
+    doc_id = F.when(F.col("_doc") != _LAST, F.col("_doc")).alias("doc_id")
+    names = [F.col(f"`{c}`") for c in done.columns if c not in ("_doc", "_data", "_key", "_copies", "_stretches")]
+    return done.select(doc_id, *names)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
