@@ -395,7 +395,6 @@ def remove_copied(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     own = {"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_data": F.coalesce(F.col("text").cast("binary"), F.lit(b""))}
     rows = df.withColumns(own).withColumn("_key", F.xxhash64("_data"))
     texts = rows.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col("_data").alias("data"))
-    later = materialise(_later_copies(texts.select("doc", "key", F.xxhash64(F.lit(1), "data").alias("key2"))))
     frequent = _frequent(texts, length, gram)
     very = np.array([h for h, n in frequent.items() if n * SAMPLE * length > hot], np.int64)
     # Moved once, for the smallest and largest document of each hash and for the documents that share it.
@@ -410,7 +409,9 @@ def remove_copied(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     )
     wanted = hashes.join(shared.hint("shuffle_hash"), ["h", "salt"]).groupBy("doc").agg(F.collect_list("h").alias("wanted"))
     wanted = materialise(wanted)
-    # The hashes have done their work; their shuffle files go when the driver's garbage is collected.
+    later = materialise(_later_copies(texts.select("doc", "key", F.xxhash64(F.lit(1), "data").alias("key2"))))
+    # The hashes have done their work; their shuffle files go when the driver's garbage is collected, and by now
+    # nothing in the driver still looks at the query that made them.
     df.sparkSession.sparkContext._jvm.System.gc()
     # All columns are asked for wherever the texts are read, so that there is one shuffle of them.
     placed = rows.drop("text", "doc_id").repartition("_doc")
