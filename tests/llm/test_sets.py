@@ -210,6 +210,38 @@ def test_sentence_spans_of_odd_rows(spark):
     assert sentences.remove_repeated_spans(cases.frame(spark, [])).count() == 0
 
 
+def test_long_passages_of_few_sentences(spark):
+    one, two, free = cases.words(401, 60), cases.words(402, 30) + ". " + cases.words(403, 30) + ".", cases.words(404, 300)
+    lost = free.split()
+    rows = [
+        (1, one + "."), (2, "Begins here. " + one + ". Ends."), (3, "Quite new. " + two), (4, "Other words. " + two + "\nEnd."),
+        (5, free), (6, free), (7, cases.words(405, 20) + " " + " ".join(lost[100:170]) + " " + cases.words(406, 20)), (8, "round and " * 200), (9, None), (10, "x " * 24),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in sentences.remove_repeated_spans(df, passage=sentences.PASSAGE).collect()}
+    expected = dict(rows) | {2: "Begins here. Ends.", 4: "Other words. End.", 6: ""}
+    assert {i: r.text for i, r in found.items() if i not in (7, 8)} == {i: t for i, t in expected.items() if i not in (7, 8)}
+    left = found[7].text.split()
+    assert left[:20] == rows[6][1].split()[:20] and left[-20:] == rows[6][1].split()[-20:] and len(left) <= 110 - 22 and found[7].removed_words == 110 - len(left)
+    assert 25 <= len(found[8].text.split()) < 100
+
+
+def test_word_runs_are_shared_and_leave_no_gaps(monkeypatch):
+    rng = np.random.default_rng(12)
+    chooser = sentences.WordRuns(25)
+    for vocabulary in (2, 500):
+        shared = [f"w{i}" for i in rng.integers(0, vocabulary, 49)]
+        texts = [[f"{side}{i}" for i in range(40)] + shared + [f"{side}{i}" for i in range(33)] for side in "ab"]
+        found = [{d for _, _, d in chooser.of(" ".join(t))} for t in texts]
+        assert found[0] & found[1]
+    words = [f"w{i}".encode() for i in rng.integers(0, 300, 3000)] + [b"again"] * 500
+    starts = chooser.starts(words)
+    assert starts[0] == 0 and starts[-1] == len(words) - 25 and max(np.diff(starts)) <= 25
+    monkeypatch.setattr(sentences, "_CHUNK", 700)
+    assert chooser.starts(words) == starts
+    assert chooser.starts(words[:24]) == [] and chooser.starts(words[:25]) == [0]
+
+
 # Embeddings
 
 
