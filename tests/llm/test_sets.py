@@ -315,6 +315,19 @@ def test_base_scores_and_counts(spark):
     assert scoring.score_documents(cases.frame(spark, []), public_tokenizers.path(scoring.VOCABULARY)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_listed_words(spark, monkeypatch):
+    import public_tokenizers
+
+    rows = [(i, cases.words(i % 5, 30 + i) + " café" + " unseen" * (i % 10), None, None, 1) for i in range(40)]
+    found = []
+    for hot in (scoring.HOT, 3):
+        monkeypatch.setattr(scoring, "HOT", hot)
+        got = scoring.score_documents(cases.frame(spark, rows, clashing=False), public_tokenizers.path(scoring.VOCABULARY)).collect()
+        found.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in got})
+    for doc, row in found[0].items():
+        assert found[1][doc] == pytest.approx(row, rel=1e-5)
+
+
 def _model():
     return scoring.Attention(300, -(-300 // scoring.CLASSES), seed=2)
 
