@@ -328,6 +328,20 @@ def test_scores_do_not_depend_on_the_listed_words(spark, monkeypatch):
         assert found[1][doc] == pytest.approx(row, rel=1e-5)
 
 
+def test_attention_is_trained_on_all_windows(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path(scoring.VOCABULARY)
+    words, names = scoring.Subwords(path), [b"%d" % i for i in range(50257)]
+    rows = [(i if i % 7 else None, cases.words(i % 11, 3 + i % 60), None, None, 1) for i in range(2500)]
+    vocabulary = scoring.Vocabulary(np.ones(len(names), np.int64), names)
+    df = cases.frame(spark, rows, clashing=False)
+    expected = len(scoring.windows(np.array([len(words.of(scoring.words_of(r[1]))[0]) + 1 for r in rows]))[0])
+    for tasks in (3, 40):
+        model, seen = scoring.train_attention(df.repartition(tasks), path, vocabulary)
+        assert seen == expected and all(np.isfinite(v).all() for v in model.p.values())
+
+
 def _model():
     return scoring.Attention(300, -(-300 // scoring.CLASSES), seed=2)
 
