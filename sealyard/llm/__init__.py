@@ -9,7 +9,7 @@ import importlib
 
 MODULES = [
     "packing", "quality", "scoring", "embeddings", "bytepairs",
-    "jaccard", "chat", "sentences", "language", "suffixes",
+    "jaccard", "chat", "sentences", "language", "suffixes", "webarchives", "infill", "merkle",
 ]
 
 
