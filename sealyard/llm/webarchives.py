@@ -4,8 +4,8 @@ A package is a ZIP file that stores, uncompressed, ``archive/data.warc.gz``, one
 ``indexes/index.cdxj``, a line a record with its offset and length there. A reader parses the central directory at the
 end of the package, the ZIP64 records too where numbers are past 32 bits, finds where the members' bytes begin, reads
 the index, and then the records as ranges of the package's bytes. Members that no index mentions are walked record by
-record. Packages are spread over tasks by the bytes of their records, neighbouring records share a read, and no
-package, member or index is ever held whole.
+record. Records are spread over tasks by their bytes, as the table of places is far smaller than what it
+stands for; neighbouring records share a read, and no package, member or index is ever held whole by a reader.
 
 Of records with equal payloads the one with the largest id holds it (``response``), the others refer to it
 (``revisit``), with the length and SHA-1 of the full payload in their headers. A payload that a third of all rows
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sealyard.llm.common import in_batches, table
 from sealyard.session import fresh_folder, materialise
-from sealyard.sources.named import qualified
+from sealyard.sources.named import balance, qualified
 from sealyard.sources.streams import CHUNK, locate
 
 #: A package is closed when it has so many bytes or records.
@@ -44,8 +44,8 @@ PACKAGE_BYTES, PACKAGE_RECORDS = 1 << 30, 1 << 16
 LEAST_REVISIT = 0
 #: Rows with one payload go to so many tasks at most.
 _SALTS = 256
-#: Bytes of records that a task reads.
-_SPAN = 64 * 1024 * 1024
+#: Packages whose indexes a task reads, and bytes of records that it reads.
+_PACKAGES, _SPAN = 16, 64 * 1024 * 1024
 _DATE, _STAMP = "1970-01-01T00:00:00Z", "19700101000000"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATA, _INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -479,7 +479,8 @@ def list_records(packages: DataFrame) -> DataFrame:
                 if rows:
                     yield output(rows)
 
-    return in_batches(packages.select("path").repartition("path"), visit, PLACES)
+    spread = balance(packages.select("path"), F.lit(1), _PACKAGES, ["path"])
+    return in_batches(spread, visit, PLACES)
 
 
 def _header(head: bytes) -> tuple[str, dict[str, str]]:
@@ -562,8 +563,8 @@ def read_records(listed: DataFrame, payloads: bool = False) -> DataFrame:
             if source is not None:
                 source.close()
 
-    spans = listed.where(F.col("error").isNull()).withColumn("_span", F.expr(f"start div {_SPAN}"))
-    spread = spans.repartition("path", "_span").sortWithinPartitions("path", "start")
+    spans = materialise(listed).where(F.col("error").isNull()).withColumn("_span", F.expr(f"start div {_SPAN}"))
+    spread = balance(spans, F.col("length"), _SPAN, ["path", "_span"]).sortWithinPartitions("path", "start")
     return in_batches(spread.select("path", "start", "length"), visit, schema)
 
 

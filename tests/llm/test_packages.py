@@ -1,0 +1,405 @@
+"""Operators 11 to 13 against plain versions of what they compute, and their edge cases."""
+
+import base64
+import gzip
+import hashlib
+import io
+import json
+import re
+import zipfile
+import zlib
+
+import pytest
+from cases import CLASHES, by_id, documents, frame
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sealyard.llm import infill, merkle, webarchives
+
+PAGES = "page_id bigint, url string, html string"
+HUGE = 9_200_000_000_000_000_000
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ---- 11
+
+
+def pages():
+    return [
+        (1, "https://a.example/x?b=1", "<p>one</p>"),
+        (2, "https://a.example/y", "<p>one</p>"),
+        (2, "https://a.example/y", "<p>one</p>"),  # a repeated row
+        (None, "https://b.example/", "<p>one</p>"),
+        (3, None, None),
+        (4, "", ""),
+        (5, "no uri\r\nWARC-Type: x é", "é" * 100),
+        (HUGE, "http://[broken", "same"),
+        (HUGE + 1, "u", "same"),
+        (-HUGE, "u", "same"),
+        (None, None, None),
+        (7, "u", "\r\n\r\nWARC/1.1\r\n" + "long " * 100_000),
+    ]
+
+
+def plain_warc(rows, least=0):
+    groups = {}
+    for i, (page_id, _, html) in enumerate(rows):
+        groups.setdefault(html or "", []).append((page_id is not None, page_id or 0, i))
+    out = []
+    for i, (page_id, _, html) in enumerate(rows):
+        data = (html or "").encode()
+        known, last, holder = max(groups[html or ""])
+        response = holder == i or len(data) < least
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        refers = None if response or not known else last
+        out.append((page_id, len(data), digest, "response" if response else "revisit", refers))
+    return out
+
+
+def read_back(spark, packages):
+    found = webarchives.read_records(webarchives.list_records(packages))
+    assert found.where("not intact").count() == 0
+    return found.select(
+        webarchives.key_of("record_id"), "payload_bytes", "payload_digest", "record_type", webarchives.key_of("refers_to")
+    )
+
+
+@pytest.mark.parametrize("least, records", [(0, 1 << 16), (0, 2), (11, 3)])
+def test_records_come_back_from_packages(spark, tmp_path, least, records):
+    rows = spark.createDataFrame(pages(), PAGES).withColumns({c: F.lit("given") for c in [*CLASHES, "payload", "uri", "_digest"]})
+    packages = webarchives.write_packages(rows, f"file://{tmp_path}/p", least=least, package_records=records)
+    got = [tuple(r) for r in read_back(spark, packages).collect()]
+    assert by_id(got) == by_id(plain_warc(pages(), least))
+    assert packages.agg(F.sum("records")).first()[0] == len(pages())
+    if records < 5:
+        assert packages.agg(F.max("records")).first()[0] <= records
+
+
+def test_packages_are_readable_by_others(spark, tmp_path):
+    rows = spark.createDataFrame(pages(), PAGES)
+    (path, length, n), *more = webarchives.write_packages(rows.coalesce(1), f"file://{tmp_path}/p").collect()
+    seen = 0
+    for place in [path, *[row.path for row in more]]:
+        with zipfile.ZipFile(place.removeprefix("file:").replace("//", "/")) as package:
+            assert package.testzip() is None
+            assert {i.compress_type for i in package.infolist()} == {zipfile.ZIP_STORED}
+            data = package.read("archive/data.warc.gz")
+            lines = package.read("indexes/index.cdxj").splitlines()
+            assert lines == sorted(lines)
+            whole = b""
+            for about in sorted((json.loads(x[x.index(b"{"):]) for x in lines), key=lambda x: x["offset"]):
+                record = gzip.decompress(data[about["offset"] : about["offset"] + about["length"]])
+                assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+                whole += record
+                seen += 1
+            assert gzip.decompress(data) == whole
+    assert seen == len(pages())
+
+
+def test_no_pages_make_no_packages(spark, tmp_path):
+    packages = webarchives.write_packages(spark.createDataFrame([], PAGES), f"file://{tmp_path}/p")
+    assert packages.count() == 0 and read_back(spark, packages).count() == 0
+
+
+class InMemory:
+    """A file as the reader asks for it, counting what is read."""
+
+    def __init__(self, data):
+        self.data, self.read = data, 0
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        self.read += n
+        return self.data[at : at + n]
+
+
+def record(text):
+    block = text.encode()
+    return (
+        f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x-record:1>\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        + block + b"\r\n\r\n"
+    )
+
+
+def zipped(members, ahead=b"", comment=b"", method=zipfile.ZIP_STORED):
+    target = io.BytesIO(ahead)
+    target.seek(len(ahead))
+    with zipfile.ZipFile(target, "w", method) as package:
+        for name, data in members:
+            package.writestr(name, data)
+        package.comment = comment
+    return target.getvalue()
+
+
+def texts_of(data):
+    source = InMemory(data)
+    return [webarchives.read_record(data[s : s + n])["payload"].decode() for _, s, n in webarchives.places(source, len(data))]
+
+
+RECORDS = ["first", "", "third " * 50_000]
+PLAIN = b"".join(map(record, RECORDS))
+PACKED = b"".join(webarchives.gzip_member(record(t)) for t in RECORDS)
+
+
+@pytest.mark.parametrize("ahead", [b"", b"some bytes before"])
+@pytest.mark.parametrize("comment", [b"", b"PK\5\6 is no end" + b" " * 30])
+@pytest.mark.parametrize("limit", [None, 10])
+def test_members_without_an_index_are_walked(monkeypatch, ahead, comment, limit):
+    if limit:
+        # Every number past the limit, and every count, goes to the ZIP64 records.
+        monkeypatch.setattr(zipfile, "ZIP64_LIMIT", limit)
+        monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+    data = zipped([("archive/a.warc", PLAIN), ("archive/b.warc.gz", PACKED), ("pages/x", b"1")], ahead, comment)
+    if limit:
+        assert b"PK\6\6" in data and b"PK\6\7" in data
+    assert texts_of(data) == RECORDS * 2
+
+
+def index(name, packed=False):
+    at, lines = 0, []
+    for text in RECORDS:
+        n = len(webarchives.gzip_member(record(text)))
+        lines.append(f"com,x)/ 2020 {json.dumps({'offset': str(at), 'length': n, 'filename': name})}".encode())
+        at += n
+    return b"\n".join(reversed(lines))
+
+
+@pytest.mark.parametrize("name, content, method", [
+    ("indexes/index.cdxj", index("b.warc.gz"), zipfile.ZIP_STORED),
+    ("indexes/index.cdx", b" CDX header\n" + index("b.warc.gz") + b"\n", zipfile.ZIP_DEFLATED),
+    ("indexes/index.cdx.gz", gzip.compress(index("b.warc.gz")[:50]) + gzip.compress(index("b.warc.gz")[50:]), zipfile.ZIP_STORED),
+])
+def test_indexes_are_read_stored_or_compressed(name, content, method):
+    target = io.BytesIO()
+    with zipfile.ZipFile(target, "w") as package:
+        package.writestr("archive/b.warc.gz", PACKED)
+        package.writestr(zipfile.ZipInfo(name), content, compress_type=method)
+    assert texts_of(target.getvalue()) == RECORDS[::-1]
+
+
+def test_many_members_and_little_read():
+    members = [(f"fuzz/{i}", b"") for i in range(70_000)] + [("archive/a.warc.gz", PACKED)]
+    data = zipped([("big", bytes(5_000_000)), *members])
+    source = InMemory(data)
+    found = list(webarchives.directory(source, len(data)))
+    assert len(found) == 70_002 and found[-1].name == "archive/a.warc.gz"
+    # The directory and the end, not the members.
+    assert source.read < len(data) - 5_000_000
+    assert texts_of(data) == RECORDS
+
+
+@pytest.mark.parametrize("damage", [
+    lambda d: d[:-30], lambda d: b"", lambda d: b"PK\5\6", lambda d: d[: len(d) // 2], lambda d: d.replace(b"PK\1\2", b"PK\1\3"),
+    lambda d: d.replace(b"PK\3\4", b"PK\3\5"), lambda d: d.replace(b'"filename": "b', b'"filename": "c'),
+    lambda d: d.replace(b'"offset": "0"', b'"offset": "9999999"'),
+])
+def test_a_damaged_package_is_a_finding(spark, tmp_path, damage):
+    sound = zipped([("archive/b.warc.gz", PACKED), ("indexes/index.cdxj", index("b.warc.gz"))])
+    (tmp_path / "a.wacz").write_bytes(sound)
+    (tmp_path / "b.wacz").write_bytes(damage(sound))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{n}.wacz",) for n in "abc"], "path string")
+    listed = webarchives.list_records(paths)
+    told = {(r.path[-6:], r.error is None) for r in listed.collect()}
+    assert {("a.wacz", True), ("b.wacz", False), ("c.wacz", False)} <= told and ("a.wacz", False) not in told
+    sound_rows = webarchives.read_records(listed, payloads=True).where(F.col("path").endswith("a.wacz")).collect()
+    assert sorted(r.payload.decode() for r in sound_rows) == sorted(RECORDS)
+
+
+def test_a_changed_payload_is_not_intact(spark, tmp_path):
+    good = webarchives.warc_record(1, "u", b"payload", None, False)
+    bad = good.replace(b"payload", b"peyload")
+    (tmp_path / "a.wacz").write_bytes(zipped([("archive/a.warc", good + bad + good[:-12] + b"x" * 8 + b"\r\n\r\n")]))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.wacz",)], "path string")
+    found = webarchives.read_records(webarchives.list_records(paths)).collect()
+    assert [r.intact for r in sorted(found, key=lambda r: r.start)][:2] == [True, False]
+
+
+def test_a_hot_payload_is_spread(spark):
+    rows = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("same").alias("html"))
+    held = webarchives.holders(rows, "page_id", "html")
+    assert held.select("_salt").distinct().count() > 200
+    assert [tuple(r) for r in held.select("_holder").distinct().collect()] == [(1999,)]
+
+
+# ---- 12
+
+
+def plain_infill(doc_id, text, seed=42, rate=50, suffix_first=80):
+    text = text or ""
+    digest = sha(f"{seed}:{'' if doc_id is None else doc_id}")
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    n = len(units)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+        return n, "plain", None, None, text
+    if h[3] % 100 < suffix_first:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+ODD = [
+    None, "", " ", "\t\n", "one", " one", "one ", "a  b c d", "x <P> y", "<S>", "a <M", "<P", "S> <", "\x00 \x00",
+    "<<P", "é 日本\U0001f600 \r\n x", "\x1f \x0b", "word " * 50_000, "y" * 300_000,
+]
+
+
+@pytest.mark.parametrize("rate, suffix_first", [(50, 80), (100, 50), (100, 0), (0, 80)])
+def test_infill_equals_a_plain_version(spark, rate, suffix_first):
+    rows = [(i, t) for i, t in enumerate(ODD * 4)] + [(None, "no id here"), (HUGE, "far off"), (-HUGE, "far off"), (5, "one"), (5, "one")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("given") for c in [*CLASHES, "n", "form", "output", "restored"]})
+    found = infill.restore(infill.fill_in_middle(df, rate=rate, suffix_first=suffix_first)).drop("text")
+    assert set(CLASHES) <= set(found.columns)
+    got = found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "restored").collect()
+    want = [(i, *plain_infill(i, t, 42, rate, suffix_first), t or "") for i, t in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_infill_takes_the_rows_all_operators_take(spark):
+    found = infill.restore(infill.fill_in_middle(frame(spark)))
+    want = sorted((i is None, i or 0, t or "") for i, t, *_ in documents())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.restored) for r in found.select("doc_id", "restored").collect()) == want
+    assert infill.restore(infill.fill_in_middle(frame(spark, []))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab <>PSM\t\né \U0001f600\x00")), min_size=1, max_size=8), st.integers(0, 10**9))
+def test_infill_of_any_text(texts, first):
+    import pyarrow as pa
+
+    ids = list(range(first, first + len(texts)))
+    hashes = [[int(sha(f"42:{i}")[8 * k : 8 * k + 8], 16) for i in ids] for k in range(4)]
+    text = pa.array([t.encode() for t in texts], pa.large_binary())
+    found = infill.infill_arrays(text, *[pa.array(h, pa.int64()) for h in hashes], 100, 50)
+    got = [(*r[:4], r[4].decode()) for r in zip(*[c.to_pylist() for c in found], strict=True)]
+    assert got == [plain_infill(i, t, 42, 100, 50) for i, t in zip(ids, texts, strict=True)]
+    assert [b.decode() for b in infill.restore_array(found[4], found[1]).to_pylist()] == texts
+
+
+def test_slices_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": pa.array([None, "", "x" * 9_000_000, *["y" * 1_000_000] * 20])})
+    parts = list(infill._slices(batch, "t"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert len(parts) == 5 and all(p.num_rows == 1 or sum(len(v.as_py() or "") for v in p.column("t")) <= 8 << 20 for p in parts)
+
+
+# ---- 13
+
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def told(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def plain_tree(leaves):
+    """All levels of the tree over a list of digests."""
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        row = levels[-1]
+        levels.append([sha("".join(row[at : at + 8])) for at in range(0, len(row), 8)])
+    return levels
+
+
+def plain_siblings(levels, at):
+    out = []
+    for row in levels[:-1]:
+        run = row[at // 8 * 8 : at // 8 * 8 + 8]
+        out.append(("".join(run[: at % 8]), "".join(run[at % 8 + 1 :])))
+        at //= 8
+    return out
+
+
+def plain_manifest(rows):
+    def leaf(row, text):
+        return sha("".join(told(v) for v in (row[0], row[3], row[2], row[4], text)))
+
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[2], []).append(row)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for lang in order:
+        groups[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[1])))
+    trees = {lang: plain_tree([leaf(r, r[1]) for r in groups[lang]]) for lang in order}
+    top = plain_tree([trees[lang][-1][0] for lang in order])
+    root, out = top[-1][0], []
+    for place, lang in enumerate(order):
+        for at, row in enumerate(groups[lang]):
+            steps = plain_siblings(trees[lang], at) + plain_siblings(top, place)
+            text, digest = row[1], trees[lang][0][at]
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0:
+                text = text and "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+            folded = leaf(row, text)
+            for left, right in steps:
+                folded = sha(left + folded + right)
+            proof = sha("".join(left + right for left, right in steps))
+            out.append((row[0], digest, trees[lang][-1][0], root, proof, folded, folded == root))
+    return out
+
+
+def manifest_rows(spark, rows, clashing=True):
+    df = spark.createDataFrame(rows, DOCS)
+    if clashing:
+        df = df.withColumns({c: F.lit("given") for c in [*CLASHES, "idx", "digest", "root", "leaf", "_block", "altered"]})
+    found = merkle.merkle_manifest(df, "lang", ["doc_id"], LEAF, merkle.tampered_leaf()).drop("lang")
+    return [tuple(r) for r in found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()]
+
+
+def corpus(sizes):
+    """Documents by language, with ids that interleave; every third text has capitals."""
+    rows, i = [], 0
+    for lang, n in sizes.items():
+        for k in range(n):
+            rows.append((i * 7919 % 1_000_003, f"{'Text' if i % 3 else 'text'} {lang} {k}", lang, None if k % 5 == 0 else "s", k))
+            i += 1
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [
+    {"en": 1}, {"en": 8, "de": 9}, {None: 3, "é": 65, "z": 1, "": 64, "a": 513}, {f"l{i}": i % 4 + 1 for i in range(70)},
+])
+def test_manifest_equals_a_plain_version(spark, sizes):
+    rows = corpus(sizes)
+    assert by_id(manifest_rows(spark, rows)) == by_id(plain_manifest(rows))
+
+
+def test_manifest_takes_the_rows_all_operators_take(spark):
+    rows = [*documents(), (HUGE, "Far", "en", None, None), (HUGE + 1, "Far", "en", None, None), (-HUGE, "Far", None, None, 1)]
+    assert by_id(manifest_rows(spark, rows)) == by_id(plain_manifest(rows))
+    assert manifest_rows(spark, []) == []
+
+
+def test_rounds_of_blocks_equal_one_tree(spark, monkeypatch):
+    """With blocks of eight nodes a small table takes several rounds up and down."""
+    monkeypatch.setattr(merkle, "HEIGHT", 1)
+    monkeypatch.setattr(merkle, "BLOCK", 8)
+    rows = corpus({"en": 520, "de": 3, None: 70})
+    assert by_id(manifest_rows(spark, rows, clashing=False)) == by_id(plain_manifest(rows))
+
+
+def test_versions_share_all_nodes_but_the_ancestors():
+    digests = [sha(str(i)) for i in range(500)]
+    block = merkle.Block.of(digests, 3)
+    version = block.changed(321, sha("other"))
+    assert version.top.digest == plain_tree([*digests[:321], sha("other"), *digests[322:]])[-1][0]
+    assert block.top.digest == plain_tree(digests)[-1][0]
+
+    def nodes(node):
+        yield node
+        for below in node.below:
+            yield from nodes(below)
+
+    old = {id(n) for n in nodes(block.top)}
+    assert sum(id(n) not in old for n in nodes(version.top)) == 4
+    again = version.changed(321, digests[321])
+    assert again.top.digest == block.top.digest
