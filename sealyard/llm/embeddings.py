@@ -27,6 +27,8 @@ from sealyard.session import materialise
 THRESHOLD = 0.93
 #: Vectors of a block, about; a centre with more is split over several blocks.
 BLOCK = 2048
+#: Stands for a NULL id in blocks; no smaller id loses to it.
+_NO_ID = 2**63 - 1
 #: Vectors below which a node is compared directly.
 LEAF = 24
 _SLACK = 1e-9
@@ -161,15 +163,17 @@ def _links_of_block(threshold: float):
         second = pdf[pdf.side == 1]
         same = key[1:3] == key[3:5]
         if not len(first) or not (same or len(second)):
-            return pd.DataFrame({"row_id": [], "vec_id": [], "n": [], "linked": []}, dtype=np.int64)
+            none = pd.DataFrame({"row_id": [], "vec_id": [], "n": [], "linked": []}, dtype=np.int64)
+            return none.assign(no_id=np.zeros(0, bool))
         tree = CoverTree(np.vstack(first.unit.to_numpy()))
         other = tree if same else CoverTree(np.vstack(second.unit.to_numpy()))
         counts, _, root = dual_traversal(tree, other, same, threshold)
-        ids = np.concatenate([first.vec_id.to_numpy(), [] if same else second.vec_id.to_numpy()]).astype(np.int64)
-        rows = np.concatenate([first.row_id.to_numpy(), [] if same else second.row_id.to_numpy()]).astype(np.int64)
+        # Both parts are integers: an empty list beside them would make doubles of all, good to 2 ** 53 only.
+        both = [first] if same else [first, second]
+        ids, rows, no_id = (np.concatenate([part[name].to_numpy() for part in both]) for name in ("vec_id", "row_id", "no_id"))
         least = pd.Series(ids).groupby(root).transform("min").to_numpy()
         some = counts > 0
-        return pd.DataFrame({"row_id": rows[some], "vec_id": ids[some], "n": counts[some], "linked": least[some]})
+        return pd.DataFrame({"row_id": rows[some], "vec_id": ids[some], "n": counts[some], "linked": least[some], "no_id": no_id[some]})
 
     return run
 
@@ -287,12 +291,16 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     to_other = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("unit", "at", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)))
     sent = sent.where((F.col("cell_1") == F.col("cell_2")) | (to_other <= F.col("reach") + limit))
     found = materialise(
-        sent.select(*name, "side", "row_id", "vec_id", "unit")
+        sent.select(
+            *name, "side", "row_id", F.col("vec_id").isNull().alias("no_id"),
+            # A column with a NULL would reach pandas as doubles.
+            F.coalesce("vec_id", F.lit(_NO_ID)).alias("vec_id"), "unit",
+        )
         .groupBy(*name)
-        .applyInPandas(_links_of_block(threshold), "row_id bigint, vec_id bigint, n bigint, linked bigint")
+        .applyInPandas(_links_of_block(threshold), "row_id bigint, vec_id bigint, n bigint, linked bigint, no_id boolean")
     )
     counts = found.groupBy("row_id").agg(F.sum("n").alias("n_links"))
-    joined = components(found.where("vec_id is not null").select(F.col("vec_id").alias("a"), F.col("linked").alias("b")))
+    joined = components(found.where("not no_id").select(F.col("vec_id").alias("a"), F.col("linked").alias("b")))
     return (
         rows.select("row_id", "vec_id")
         .join(counts, "row_id", "left")

@@ -41,6 +41,33 @@ def test_components_of_a_path_a_star_and_pairs(spark):
     assert components.components(df.limit(0)).count() == 0
 
 
+HUGE = 9_200_000_000_000_000_000
+
+
+def test_components_of_ids_of_any_size(spark):
+    edges = [(HUGE + i, HUGE + i + 1) for i in range(10)] + [(-HUGE, -HUGE + 1), (HUGE + 100, 5)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {HUGE + i: HUGE for i in range(11)} | {-HUGE: -HUGE, -HUGE + 1: -HUGE, HUGE + 100: 5, 5: 5}
+    assert found == want
+
+
+def test_operators_on_ids_of_any_size(spark):
+    ids = [HUGE + i for i in range(6)] + [-HUGE - i for i in range(6)] + [2**53 + i for i in range(4)] + [None]
+    rng = np.random.default_rng(3)
+    bases = rng.standard_normal((len(ids), 8))
+    rows = [(v, bases[i // 2].tolist(), 1) for i, v in enumerate(ids)]
+    root = grouped(len(rows), links(rows))
+    least = [min((rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None), default=None) for i in range(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    for block in (2, 5000):
+        found = sorted(((r.vec_id is None, r.vec_id or 0, r.component_id, r.kept) for r in embeddings.near_vectors(df, block=block).collect()), key=repr)
+        assert found == sorted(((v is None, v or 0, least[i], v == least[i]) for i, (v, _, _) in enumerate(rows)), key=repr)
+    texts = [(v, f"w{i // 2}a w{i // 2}b w{i // 2}c w{i // 2}d w{i // 2}e w{i // 2}f") for i, v in enumerate(ids)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = cases.by_id([(r.doc_id, r.n_links, r.class_id, r.kept) for r in jaccard.similar_documents(df).collect()])
+    assert found == similar(texts)
+
+
 # Jaccard
 
 
