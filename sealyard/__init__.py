@@ -36,6 +36,7 @@ from sealyard.operators.inventory import (
     inventory_order,
     reconcile_inventory,
 )
+from sealyard.operators.lookup import open_key_index, reject_indexed, taken_keys, write_key_index
 from sealyard.operators.members import require_members
 from sealyard.operators.registry import (
     latest_per_channel,
@@ -56,16 +57,20 @@ from sealyard.operators.rules import (
 from sealyard.plans.contract import ReleaseContract
 from sealyard.plans.publish import (
     create_registry,
+    index_tags,
     publish_folder,
     publish_release,
     read_upload_listings,
     stage_release,
     validate_published,
+    withdraw_draft,
 )
 from sealyard.plans.validate import validate_folder, validate_releases
 from sealyard.session import clean_up, configure, materialise, shared_folder
 from sealyard.sources.archives import list_archives
+from sealyard.sources.commits import AlreadyCommitted
 from sealyard.sources.files import (
+    compact_releases,
     scan_assets,
     scan_manifests,
     scan_models,

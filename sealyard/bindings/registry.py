@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealyard import latest_per_channel as latest_of, reject_existing as admit
+from sealyard import (
+    latest_per_channel as latest_of,
+    reject_existing as admit,
+    reject_indexed as admit_indexed,
+    write_key_index,
+)
 from sealyard.bindings import query, table
 from sealyard.plans.publish import tag_violations
+from sealyard.session import fresh_folder
 
 
 @query("""
@@ -76,3 +82,21 @@ def reject_existing_null_keys(spark, sf_dir):
         return df.select("doc_id", F.lit(which).alias("admitted"))
 
     return side(admitted, True).unionByName(side(rejected, False))
+
+
+@query("""
+    SELECT o_orderkey, o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) AND row_number()
+      OVER (PARTITION BY o_orderkey ORDER BY o_custkey) = 1 AS admitted
+    FROM orders
+""")
+def reject_indexed(spark, sf_dir):
+    """All orders, with whether each is admitted, against an index of the keys that have line items."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    index = write_key_index(lines, fresh_folder(spark, "keys"), ["o_orderkey"])
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    admitted, rejected = admit_indexed(orders, index, ["o_custkey"])
+
+    def side(df, which):
+        return df.select("o_orderkey", F.lit(which).alias("admitted"))
+
+    return side(admitted, True).unionByName(side(rejected, False))

@@ -15,6 +15,7 @@ from sealyard import (
     publish_release as publish,
     reject_existing,
     resolve_latest as resolve,
+    scan_releases as scan_index,
     split_fields,
     validate_releases as validate,
 )
@@ -25,6 +26,7 @@ from sealyard.plans.publish import (
     create_registry,
     draft_release,
     index_rows,
+    releases_path,
     upload_violations,
     write_upload_listing as keep_listing,
 )
@@ -405,7 +407,7 @@ def _published(spark, sf_dir):
     registry = fresh_folder(spark, "registry")
     create_registry(spark, registry)
     candidates = _tagged_documents(spark, sf_dir)
-    index = spark.read.schema("tag string").parquet(f"{registry}/releases")
+    index = scan_index(spark, releases_path(registry))
     admitted, _ = reject_existing(candidates, index, ["tag"], ["doc_id"])
     admitted = materialise(admitted)
     files = admitted.select("release_id", F.lit("text").alias("name"), "size")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealyard.operators.aggregates import last_wins
+from sealyard.session import materialise
 
 
 def reject_existing(
@@ -17,23 +18,27 @@ def reject_existing(
 
     Of several candidates for one key the first by ``arrival`` counts; ``arrival``
     should tell candidates apart. A key with a NULL in it can't be published and is
-    rejected. Both sides shrink to one row per key before they meet, and what is
-    rejected is the candidates less the admitted, counted row by row, so every row is on
-    one side and no join sees a hot key. An outer join with a null test keeps that order
-    of steps; an anti join would be moved below the aggregation, onto all candidates.
+    rejected. Candidates are written once, with a number each; the rejected are those
+    whose number is not among the admitted, so every row is on one side, whatever its
+    types, and no join sees a hot key. Both sides shrink to one row per key before they
+    meet: an outer join with a null test keeps that order of steps, while an anti join
+    would be moved below the aggregation, onto all candidates.
     """
     key, arrival = list(key), list(arrival)
     taken = releases.select(*key).distinct().withColumn("_taken", F.lit(True))
-    whole = candidates
+    numbered = materialise(candidates.withColumn("_row", F.monotonically_increasing_id()))
+    whole = numbered
     for name in key:
         whole = whole.where(F.col(f"`{name}`").isNotNull())
-    admitted = (
-        last_wins(whole, key, arrival, earliest=True)
-        .join(taken, key, "left")
-        .where(F.col("_taken").isNull())
-        .select(*candidates.columns)
-    )
-    return admitted, candidates.exceptAll(admitted)
+
+    def first(rows: DataFrame) -> DataFrame:
+        found = last_wins(rows, key, arrival, earliest=True).join(taken, key, "left")
+        return found.where(F.col("_taken").isNull())
+
+    columns = [F.col(f"`{name}`") for name in candidates.columns]
+    in_order = whole.select(*dict.fromkeys([*key, *arrival, "_row"]))
+    rejected = numbered.join(first(in_order).select("_row"), "_row", "left_anti")
+    return first(whole).select(*columns), rejected.select(*columns)
 
 
 def latest_per_channel(

@@ -1,14 +1,18 @@
 """Staging and publishing admitted releases into an append-only registry.
 
-Layout below the registry folder, written by one publisher at a time:
-``releases/state=draft|published/seq=N`` the index, ``uploads/seq=N`` the observed
-listings, ``files/TAG/NAME`` the bytes. A release exists for readers once its row
-is in the published part of the index; that append is the commit point. A batch is one
-file of the index, so readers see all of it or nothing.
+Layout below the registry folder: ``releases`` the index, a log of batches
+(``sources.commits``), ``uploads/seq=N`` the observed listings, ``files/TAG/NAME`` the
+bytes. A publisher's number ``seq`` is taken by the batch of its drafts and closed by that
+of the releases it publishes. Both are written by many tasks and become visible by a marker
+that is created only if there is none, so of two publishers with one number one fails, and
+readers see all of a batch or nothing. A release exists for readers once its row is
+published. Rows are never changed; a draft that nobody will finish is withdrawn by a row of
+its own, which frees the tag.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +22,23 @@ from sealyard.fixed import MESSAGES
 from sealyard.functions.predicates import safe_path
 from sealyard.functions.text import classify_channel, path_parts
 from sealyard.operators.inventory import reconcile_inventory
+from sealyard.operators.lookup import KeyIndex, open_key_index, taken_keys, write_key_index
 from sealyard.operators.registry import reject_existing
 from sealyard.operators.rules import Rule, violations
 from sealyard.plans.contract import ReleaseContract
 from sealyard.plans.validate import validate_folder
 from sealyard.session import materialise
+from sealyard.sources.commits import (
+    AlreadyCommitted,
+    commit,
+    committed_names,
+    marker_name,
+    read_log,
+    read_markers,
+)
 from sealyard.sources.files import RELEASES_SCHEMA, scan_releases
-from sealyard.sources.named import IN_FLIGHT, balance_by_bytes, file_lengths, qualified
-from sealyard.sources.streams import copy_file
+from sealyard.sources.named import IN_FLIGHT, balance, balance_by_bytes, file_lengths, qualified
+from sealyard.sources.streams import copy_file, locate
 
 _LISTING = "release_id string, tag string, upload_pos bigint, name string, size bigint"
 UPLOADS_SCHEMA = f"{_LISTING}, seq bigint"
@@ -39,22 +52,143 @@ def releases_path(registry: str) -> str:
 def create_registry(spark: SparkSession, registry: str) -> None:
     """An empty index. Needed once: a missing index is an error for every reader."""
     empty = spark.createDataFrame([], RELEASES_SCHEMA)
-    empty.drop("state", "seq").write.mode("errorifexists").parquet(
-        f"{releases_path(registry)}/state=draft/seq=0"
-    )
+    commit(empty, releases_path(registry), 0, "draft")
 
 
 def _append(rows: DataFrame, registry: str, state: str, seq: int) -> None:
-    rows.select(*_INDEX).coalesce(1).write.mode("errorifexists").parquet(
-        f"{releases_path(registry)}/state={state}/seq={seq}"
-    )
+    kept = rows.select(*_INDEX, F.lit(state).alias("state"), F.lit(seq).cast("bigint").alias("seq"))
+    commit(kept, releases_path(registry), seq, state)
 
 
 def draft_release(releases: DataFrame, registry: str, seq: int) -> None:
-    """Enter releases as drafts: no reader resolves them, but their tags are taken."""
+    """Enter releases as drafts: no reader resolves them, but their tags are taken.
+
+    Takes the number ``seq``; raises ``AlreadyCommitted`` if another publisher has it.
+    """
     _append(releases, registry, "draft", seq)
 
 
+def withdraw_draft(
+    tags: DataFrame, registry: str, seq: int, abandon: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """``(withdrawn, refused)``: remove left-over drafts, so that their tags can be tried again.
+
+    ``tags`` has ``tag``; ``withdrawn`` is the index rows that end the drafts, ``refused``
+    ``tag, reason``: ``published`` releases are never removed, ``no draft`` has the tag,
+    ``open`` drafts belong to a publisher that has not closed its number, ``later`` ones are
+    not older than ``seq``. With ``abandon`` such publishers are shut out first: their number is closed
+    with nothing published, and whoever closes it first wins. The staged files go before
+    the tag is free, so that a retry finds its folder empty; a run that ends in between is repeated.
+    """
+    spark = tags.sparkSession
+    log = releases_path(registry)
+    wanted = tags.select("tag").where(F.col("tag").isNotNull()).distinct()
+    wanted = materialise(wanted)
+
+    def drafts() -> DataFrame:
+        return scan_releases(spark, log).join(wanted, ["tag"], "left_semi")
+
+    if abandon:
+        done = committed_names(read_markers(spark, log))
+        for row in drafts().where("state = 'draft'").select("seq").distinct().collect():
+            if row.seq < seq and marker_name(row.seq, "published") not in done:
+                _close(spark, registry, row.seq)
+    done = committed_names(read_markers(spark, log))
+    index = materialise(drafts())
+    # One number per batch that holds such a draft.
+    held = [r.seq for r in index.where("state = 'draft'").select("seq").distinct().collect()]
+    unfinished = [n for n in held if marker_name(n, "published") not in done]
+    draft = F.when(F.col("state") == "draft", F.col("seq"))
+    known = index.groupBy("tag").agg(
+        F.bool_or(F.col("state") == "published").alias("published"), F.max(draft).alias("at")
+    )
+    reason = (
+        F.when(F.col("published"), "published")
+        .when(F.col("at").isNull(), "no draft")
+        .when(F.col("at") >= seq, "later")
+        .when(F.col("at").isin(*unfinished) if unfinished else F.lit(False), "open")
+    )
+    judged = materialise(wanted.join(known, ["tag"], "left").select("tag", reason.alias("reason")))
+    ended = index.where("state = 'draft'").join(judged.where("reason IS NULL").select("tag"), ["tag"], "left_semi")
+    ended = materialise(ended)
+    materialise(_remove_files(ended.select("tag").distinct(), registry))
+    _append(ended, registry, "withdrawn", seq)
+    withdrawn = ended.withColumns({"state": F.lit("withdrawn"), "seq": F.lit(seq).cast("bigint")})
+    return withdrawn, judged.where("reason IS NOT NULL")
+
+
+def _close(spark: SparkSession, registry: str, seq: int) -> None:
+    """Close a publisher's number with nothing published, unless it has just been closed."""
+    try:
+        _append(spark.createDataFrame([], RELEASES_SCHEMA), registry, "published", seq)
+    except AlreadyCommitted:
+        pass
+
+
+def _is_within(part: Column) -> Column:
+    """A name that stays in its folder and is not the folder itself."""
+    named = safe_path(part, path_parts(part)) & (F.size(path_parts(part)) > 0)
+    return F.coalesce(named, F.lit(False))
+
+
+def _remove_files(tags: DataFrame, registry: str) -> DataFrame:
+    """``tag, files``: how many staged files of each tag have been deleted."""
+    root = qualified(tags.sparkSession, f"{registry}/files")
+
+    def remove(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            counts = []
+            for tag in batch.column(0).to_pylist():
+                system, place = locate(f"{root}/{tag}")
+                there = fs.FileSelector(place, allow_not_found=True, recursive=True)
+                files = [i.path for i in system.get_file_info(there) if i.is_file]
+                for path in files:
+                    system.delete_file(path)
+                counts.append(len(files))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["tag", "files"])
+
+    wanted = balance(tags.where(_is_within(F.col("tag"))), F.lit(1), 1000, ["tag"])
+    return wanted.mapInArrow(remove, "tag string, files bigint")
+
+
+def index_tags(spark: SparkSession, registry: str) -> KeyIndex:
+    """Index the tags that are taken now, so that later batches are checked without reading the registry.
+
+    Best done after a compaction, and again when many batches have come since.
+    """
+    log = releases_path(registry)
+    names = sorted(committed_names(read_markers(spark, log)))
+    # Batches committed since the names were read may be in the index too, and are read again: that is no fault.
+    live = scan_releases(spark, log).select("tag")
+    return write_key_index(live, f"{registry}/tags/{len(names):020d}-{uuid.uuid4().hex}", ["tag"], note=names)
+
+
+def _latest_tag_index(spark: SparkSession, registry: str) -> KeyIndex | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{qualified(spark, registry)}/tags/*/about.json")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(str(status.getPath().getParent()) for status in system.globStatus(place) or [])
+    return open_key_index(spark, found[-1]) if found else None
+
+
+def taken_tags(candidates: DataFrame, registry: str) -> DataFrame:
+    """Of the candidates' tags those that are taken, and others that are; only ``tag``.
+
+    With an index of tags, only what it lets pass and the batches since it was made are read.
+    """
+    spark, log = candidates.sparkSession, releases_path(registry)
+    index = _latest_tag_index(spark, registry)
+    if index is None:
+        return scan_releases(spark, log).select("tag")
+    recent = scan_releases(spark, log, beyond=index.note)
+    ended = read_log(spark, log, RELEASES_SCHEMA, beyond=index.note).where("state = 'withdrawn'").select("tag")
+    # A tag that was withdrawn since is free, unless a batch since has taken it again.
+    held = taken_keys(candidates.select("tag"), index).join(ended.distinct(), "tag", "left_anti")
+    return held.unionByName(recent.select("tag"))
+
+
 def tag_violations(rejected: DataFrame, key: Sequence[str] = ("release_id",)) -> DataFrame:
     """Rule 26 for candidates whose tag exists already, in the registry or the batch."""
     taken = Rule(
@@ -120,10 +254,7 @@ def stage_release(
                 columns = [batch.column(i) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64())], names)
 
-    safe = F.lit(True)
-    for part in (F.col("tag"), F.col("name")):
-        named = safe_path(part, path_parts(part)) & (F.size(path_parts(part)) > 0)
-        safe = safe & F.coalesce(named, F.lit(False))
+    safe = _is_within(F.col("tag")) & _is_within(F.col("name"))
     wanted = files.select(
         "release_id", "tag", F.col("ord").cast("bigint").alias("ord"), "name",
         F.col(source).alias("_source"), safe.alias("_safe"),
@@ -148,7 +279,8 @@ def publish_release(releases: DataFrame, faults: DataFrame, registry: str, seq:
     """Append the releases without faults to the published index and return it.
 
     ``releases`` are the staged ones, ``faults`` their violations. A faulty one
-    stays a draft. Published rows are never changed; "latest" follows from ``seq``.
+    stays a draft. Published rows are never changed; "latest" follows from ``seq``. Raises
+    ``AlreadyCommitted`` if the number is closed, by another publisher or by a withdrawal.
     """
     sound = releases.join(faults.select("release_id").distinct(), ["release_id"], "left_anti")
     _append(sound, registry, "published", seq)
@@ -191,12 +323,12 @@ def publish_folder(
     """
     inventory, found, judged = validate_folder(spark, contract, candidates, path)
     sound = candidates.join(judged.where("passed").select("release_id"), ["release_id"])
-    taken = scan_releases(spark, releases_path(registry))
     sound = materialise(sound)
-    admitted, _ = reject_existing(sound, taken, ["tag"], ["arrival", "release_id"])
-    # Written before the drafts are, as it must not see them.
+    taken = materialise(taken_tags(sound, registry))
+    admitted, rejected = reject_existing(sound, taken, ["tag"], ["arrival", "release_id"])
+    # Written before the drafts are, as they must not see them.
     admitted = materialise(admitted)
-    refused = materialise(tag_violations(sound.exceptAll(admitted)))
+    refused = materialise(tag_violations(rejected))
     files = inventory.join(admitted.select("release_id", "tag"), ["release_id"])
     lengths = file_lengths(files, ["release_id", "name"])
     files = materialise(files.join(lengths, ["release_id", "name"], "left"))

@@ -6,6 +6,8 @@ so nothing grows on the driver, and files without any bytes are seen like others
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from sealyard.functions.documents import (
 )
 from sealyard.functions.text import split_fields
 from sealyard.session import configure
+from sealyard.sources.commits import FILE_BYTES, committed_names, compact, read_log, read_markers
 from sealyard.sources.named import IN_FLIGHT, balance, qualified, read_texts
 from sealyard.sources.streams import locate
 
@@ -142,6 +145,25 @@ def parse_uploads(listings: DataFrame, key, raw: Column) -> DataFrame:
     )
 
 
-def scan_releases(spark: SparkSession, path: str) -> DataFrame:
-    """The registry index. An absent or unreadable index is an error, never "empty"."""
-    return spark.read.schema(RELEASES_SCHEMA).parquet(path)
+def scan_releases(
+    spark: SparkSession, path: str, as_of: int | None = None, beyond: Iterable[str] = ()
+) -> DataFrame:
+    """The registry index, as it was after the batches with a ``seq`` up to ``as_of`` if that is given.
+
+    Batches named in ``beyond`` are left out where they lie by themselves. Drafts that were
+    withdrawn later are not in it, and neither is what no batch has committed. An absent or
+    unreadable index is an error, never "empty".
+    """
+    markers = read_markers(spark, path)
+    rows = read_log(spark, path, RELEASES_SCHEMA, as_of, markers, beyond)
+    if not any(".withdrawn" in name for name in committed_names(markers)):
+        return rows
+    until = F.max("seq").alias("_until")
+    ended = rows.where("state = 'withdrawn'").groupBy("tag").agg(until)
+    live = (F.col("state") != "draft") | F.col("_until").isNull() | (F.col("seq") > F.col("_until"))
+    return rows.where("state <> 'withdrawn'").join(ended, ["tag"], "left").where(live).select(*rows.columns)
+
+
+def compact_releases(spark: SparkSession, path: str, file_bytes: int = FILE_BYTES) -> bool:
+    """Fold the index's batches into files of about ``file_bytes``, ordered by tag; every snapshot stays as it is."""
+    return compact(spark, path, RELEASES_SCHEMA, "tag", file_bytes) is not None

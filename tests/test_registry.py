@@ -217,5 +217,5 @@ def test_seq_is_never_reused(spark, tmp_path):
         spark.createDataFrame([], "release_id string, name string, upload_pos int, size bigint"),
     )
     publish_release(releases, none, registry, 1)
-    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+    with pytest.raises(sy.AlreadyCommitted, match="ALREADY_EXISTS"):
         publish_release(releases, none, registry, 1)
