@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealyard import stage_release as stage
+from sealyard import read_release_files as files_source, stage_release as stage
 from sealyard.bindings import query, table
 from sealyard.operators.digests import content_digest
 from sealyard.operators.digests import digest_files as digests_below
@@ -148,3 +148,11 @@ def open_named_files(spark, sf_dir):
     files = files.withColumn("path", F.concat_ws("/", root, *key))
     texts = read_texts(files, key).select(*key, content_digest(F.col("raw")).alias("sha256"))
     return file_lengths(files, key).join(texts, key)
+
+
+@query(f"SELECT tag AS release_id, name, strlen(text) AS length FROM ({_ITEM_FILES}) WHERE name <> 'empty.bin'")
+def read_release_files(spark, sf_dir):
+    """The staged files as a data source, which lists them when the query runs."""
+    folder, _ = _staged_items(spark, sf_dir)
+    found = files_source(spark, folder, names=["*.json", "item*"])
+    return found.select("release_id", "name", "length")

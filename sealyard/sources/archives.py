@@ -45,7 +45,7 @@ def _text(value: str) -> str:
     return value.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
-def _listing_rows(raw, archive: bool) -> Iterator[tuple]:
+def listing_rows(raw, archive: bool) -> Iterator[tuple]:
     """Member rows of one open file, then its digest row with the error, if any."""
     reader = HashingReader(raw)
     error = None
@@ -103,7 +103,7 @@ def read_bytes_once(
                     rows.append((None, None, str(gone), *[None] * 5))
                     continue
                 with raw:
-                    for row in _listing_rows(raw, batch.column(n_keys + 1)[i].as_py()):
+                    for row in listing_rows(raw, batch.column(n_keys + 1)[i].as_py()):
                         picks.append(i)
                         rows.append(row)
                         if len(rows) >= _ROWS_PER_BATCH:
