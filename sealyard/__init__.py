@@ -68,6 +68,7 @@ from sealyard.plans.publish import (
 from sealyard.plans.validate import validate_folder, validate_releases
 from sealyard.session import clean_up, configure, materialise, shared_folder
 from sealyard.sources.archives import list_archives
+from sealyard.sources.bucketed import read_bucketed, write_bucketed
 from sealyard.sources.commits import AlreadyCommitted
 from sealyard.sources.datasource import read_release_files, register_sources
 from sealyard.sources.files import (

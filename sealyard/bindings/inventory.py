@@ -22,7 +22,8 @@ from sealyard.bindings import query, table
 from sealyard.operators.digests import asset_rules
 from sealyard.operators.digests import sidecar_matches as says
 from sealyard.plans.publish import upload_violations
-from sealyard.session import configure, materialise
+from sealyard.session import configure, fresh_folder, materialise
+from sealyard.sources.bucketed import write_bucketed
 from sealyard.sources.files import parse_uploads, scan_models as models_of
 
 _SUFFIXES = [
@@ -134,7 +135,7 @@ def sidecar_matches(spark, sf_dir):
 
 # Documents of one source have no asset; two languages have a faulty checksum file, and
 # for another source the manifest claims the digest in upper case.
-@query(f"""
+_DIGEST_FINDINGS = f"""
     WITH asset AS ({_ASSETS})
     SELECT * FROM (
       SELECT doc_id, 3 AS phase, 0::BIGINT AS item_pos, 13 AS rule_ord, 0 AS sub_pos,
@@ -148,9 +149,11 @@ def sidecar_matches(spark, sf_dir):
              'Archive checksum differs from manifest'
       FROM asset WHERE source = 'src3'
     )
-""")
-def verify_digests(spark, sf_dir):
-    # Hashed once; expected files, assets and checksum files are read from the result.
+"""
+
+
+def _digest_tables(spark, sf_dir):
+    """Expected files, assets and checksum files of the documents, hashed once."""
     all_assets = materialise(_document_assets(spark, sf_dir))
     claimed = F.when(F.col("source") == "src3", F.upper("sha")).otherwise(F.col("sha"))
     expected = all_assets.select(
@@ -164,7 +167,26 @@ def verify_digests(spark, sf_dir):
     sidecars = all_assets.select(
         "doc_id", "name", split_fields(F.expr(_SIDECAR_TEXT)).alias("fields")
     )
-    return verify(expected, assets, sidecars, ["doc_id"])
+    return expected, assets, sidecars
+
+
+@query(_DIGEST_FINDINGS)
+def verify_digests(spark, sf_dir):
+    return verify(*_digest_tables(spark, sf_dir), ["doc_id"])
+
+
+def bucketed_digest_tables(spark, sf_dir, buckets=16):
+    """The same three tables, in buckets by release and file name."""
+    return [
+        write_bucketed(rows, fresh_folder(spark, "bucketed"), ["doc_id", "name"], buckets)
+        for rows in _digest_tables(spark, sf_dir)
+    ]
+
+
+@query(_DIGEST_FINDINGS)
+def verify_digests_bucketed(spark, sf_dir):
+    """As ``verify_digests``, over tables kept in buckets: the joins move no row."""
+    return verify(*bucketed_digest_tables(spark, sf_dir), ["doc_id"])
 
 
 @query("""

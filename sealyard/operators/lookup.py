@@ -11,7 +11,6 @@ one key in a hundred that is not in the index passes.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
@@ -22,9 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealyard.functions.text import quoted
 from sealyard.operators.registry import reject_existing
 from sealyard.session import materialise
+from sealyard.sources.bucketed import column_name, open_buckets, write_buckets
 from sealyard.sources.commits import put_if_absent
 from sealyard.sources.named import qualified
 
@@ -52,15 +51,7 @@ class KeyIndex:
 
     def keys(self, spark: SparkSession) -> DataFrame:
         """All keys, as a table whose buckets joins on the key make use of."""
-        name = f"sealyard_keys_{hashlib.md5(self.path.encode()).hexdigest()}"
-        if not spark.catalog.tableExists(name):
-            columns = ", ".join(f"{_name(f.name)} {f.dataType.simpleString()}" for f in self.schema)
-            by = ", ".join(map(_name, self.key))
-            spark.sql(
-                f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS "
-                f"LOCATION {quoted(self.path + '/keys')}"
-            )
-        return spark.table(name)
+        return open_buckets(spark, f"{self.path}/keys", self.schema, self.key, self.buckets)
 
     def keys_of(self, spark: SparkSession, buckets: Sequence[int]) -> DataFrame:
         """The keys of some buckets; no other file is opened."""
@@ -76,12 +67,8 @@ class KeyIndex:
         return spark.read.schema("bucket int, segment int, bits binary").parquet(f"{self.path}/filters")
 
 
-def _name(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
 def _columns(names: Sequence[str]) -> list[Column]:
-    return [F.col(_name(name)) for name in names]
+    return [F.col(column_name(name)) for name in names]
 
 
 def _whole_keys(rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -116,10 +103,7 @@ def write_key_index(
     n = distinct.count()
     buckets = max(8, math.ceil(n / BUCKET_KEYS)) if buckets is None else buckets
     index = KeyIndex(root, distinct.schema, buckets, max(1, math.ceil(n / buckets / _KEYS)), note)
-    name = f"sealyard_written_{hashlib.md5(root.encode()).hexdigest()}"
-    writer = distinct.repartition(buckets, *_columns(key)).write.format("parquet").bucketBy(buckets, *key).sortBy(*key)
-    writer.mode("errorifexists").option("path", f"{root}/keys").saveAsTable(name)
-    spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
+    write_buckets(distinct, f"{root}/keys", key, buckets)
     bits = distinct.select(
         _bucket(key, buckets).alias("bucket"), _segment(key, index.segments).alias("segment"),
         F.explode(F.array(*_places(key))).alias("place"),
