@@ -34,6 +34,7 @@ from sealyard.operators.digests import content_digest, digest_files, verify_dige
 from sealyard.operators.inventory import (
     expected_inventory,
     inventory_order,
+    reconcile_by_fingerprint,
     reconcile_inventory,
 )
 from sealyard.operators.lookup import open_key_index, reject_indexed, taken_keys, write_key_index

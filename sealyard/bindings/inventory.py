@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sealyard import (
+    reconcile_by_fingerprint as reconcile_grouped,
     all_rows as all_of,
     any_row as any_of,
     content_digest as digest_of,
@@ -324,3 +325,20 @@ def require_members(spark, sf_dir):
 def last_wins(spark, sf_dir):
     events = table(spark, sf_dir, "events").drop("props")
     return last_of(events, ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""
+    SELECT source, doc_id, CASE
+        WHEN source IS NULL OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'missing'
+        WHEN strlen(text) = n_chars THEN 'ok' ELSE 'mismatch' END AS status
+    FROM documents
+""")
+def reconcile_by_fingerprint(spark, sf_dir):
+    """Documents by source, expected with their characters and found with their bytes, the toxic ones not at all."""
+    documents = table(spark, sf_dir, "documents")
+    expected = documents.select("source", "doc_id", F.col("n_chars").alias("size"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    found = documents.join(toxic, "doc_id", "left_anti").select(
+        "source", "doc_id", F.octet_length("text").cast("bigint").alias("size")
+    )
+    return reconcile_grouped(expected, found, ["source"], ["doc_id"], "size")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sealyard.fixed import MESSAGES
 from sealyard.functions.predicates import safe_path
 from sealyard.functions.text import classify_channel, path_parts
-from sealyard.operators.inventory import reconcile_inventory
+from sealyard.operators.inventory import reconcile_by_fingerprint
 from sealyard.operators.lookup import KeyIndex, open_key_index, taken_keys, write_key_index
 from sealyard.operators.registry import reject_existing
 from sealyard.operators.rules import Rule, violations
@@ -210,8 +210,8 @@ def upload_violations(
         "upload_listing_readable", 25, F.col("name").isNotNull(),
         "Upload without name or size", phase=8, item_pos=-1,
     )
-    status = reconcile_inventory(
-        expected.select(*key, "name", "size"), uploads, [*key, "name"], "size", ["upload_pos"]
+    status = reconcile_by_fingerprint(
+        expected.select(*key, "name", "size"), uploads, key, ["name"], "size", ["upload_pos"], only_faults=True
     )
     complete = Rule(
         "upload_size_matches", 25, F.col("status") == "ok",
