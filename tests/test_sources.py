@@ -172,10 +172,10 @@ def test_read_failure_is_raised_not_reported():
         def read(self, size=-1):
             raise OSError("disk")
 
-    from sealyard.sources.archives import _listing_rows
+    from sealyard.sources.archives import listing_rows
 
     with pytest.raises(OSError, match="disk"):
-        list(_listing_rows(Failing(b"x"), True))
+        list(listing_rows(Failing(b"x"), True))
 
 
 def test_list_archives_tells_of_damage(spark):
