@@ -63,6 +63,7 @@ from sealyard.plans.publish import (
     publish_release,
     read_upload_listings,
     stage_release,
+    sweep_parts,
     validate_published,
     withdraw_draft,
 )

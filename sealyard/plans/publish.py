@@ -1,8 +1,8 @@
 """Staging and publishing admitted releases into an append-only registry.
 
 Layout below the registry folder: ``releases`` the index, a log of batches
-(``sources.commits``), ``uploads/seq=N`` the observed listings, ``files/TAG/NAME`` the
-bytes. A publisher's number ``seq`` is taken by the batch of its drafts and closed by that
+(``sources.commits``), ``uploads`` the observed listings, another such log,
+``files/TAG/NAME`` the bytes. A publisher's number ``seq`` is taken by the batch of its drafts and closed by that
 of the releases it publishes. Both are written by many tasks and become visible by a marker
 that is created only if there is none, so of two publishers with one number one fails, and
 readers see all of a batch or nothing. A release exists for readers once its row is
@@ -32,6 +32,7 @@ from sealyard.sources.commits import (
     AlreadyCommitted,
     commit,
     committed_names,
+    is_committed,
     marker_name,
     read_log,
     read_markers,
@@ -111,7 +112,8 @@ def withdraw_draft(
     judged = materialise(wanted.join(known, ["tag"], "left").select("tag", reason.alias("reason")))
     ended = index.where("state = 'draft'").join(judged.where("reason IS NULL").select("tag"), ["tag"], "left_semi")
     ended = materialise(ended)
-    materialise(_remove_files(ended.select("tag").distinct(), registry))
+    every = ended.select("tag", F.lit("*").alias("pattern")).distinct()
+    materialise(_remove_files(every, registry))
     _append(ended, registry, "withdrawn", seq)
     withdrawn = ended.withColumns({"state": F.lit("withdrawn"), "seq": F.lit(seq).cast("bigint")})
     return withdrawn, judged.where("reason IS NOT NULL")
@@ -132,28 +134,64 @@ def _is_within(part: Column) -> Column:
 
 
 def _remove_files(tags: DataFrame, registry: str) -> DataFrame:
-    """``tag, files``: how many staged files of each tag have been deleted."""
+    """``tag, files``: how many files of each ``tag`` with names like its ``pattern`` have been deleted."""
     root = qualified(tags.sparkSession, f"{registry}/files")
 
     def remove(batches):
+        from fnmatch import fnmatchcase
+
         import pyarrow as pa
         from pyarrow import fs
 
         for batch in batches:
             counts = []
-            for tag in batch.column(0).to_pylist():
+            for tag, pattern in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, place = locate(f"{root}/{tag}")
                 there = fs.FileSelector(place, allow_not_found=True, recursive=True)
-                files = [i.path for i in system.get_file_info(there) if i.is_file]
+                found = system.get_file_info(there)
+                files = [i.path for i in found if i.is_file and fnmatchcase(i.base_name, pattern)]
                 for path in files:
                     system.delete_file(path)
                 counts.append(len(files))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["tag", "files"])
 
-    wanted = balance(tags.where(_is_within(F.col("tag"))), F.lit(1), 1000, ["tag"])
+    wanted = balance(tags.where(_is_within(F.col("tag"))).select("tag", "pattern"), F.lit(1), 1000, ["tag"])
     return wanted.mapInArrow(remove, "tag string, files bigint")
 
 
+def _parts_of(seq: Column) -> Column:
+    """Names that half-copied files of a publisher have."""
+    return F.concat(F.lit("*."), seq.cast("string"), F.lit("-*.part"))
+
+
+def sweep_parts(spark: SparkSession, registry: str) -> int:
+    """Delete what interrupted copies have left, and return how many files that were.
+
+    Only files of publishers whose number is closed go: the others may be at work, or be resumed.
+    """
+    log = releases_path(registry)
+    done = committed_names(read_markers(spark, log))
+    drafts = scan_releases(spark, log).where("state = 'draft'")
+    held = [r.seq for r in drafts.select("seq").distinct().collect()]
+    unfinished = [n for n in held if marker_name(n, "published") not in done]
+    ended = drafts.where(~F.col("seq").isin(*unfinished)) if unfinished else drafts
+    parts = ended.select("tag", _parts_of(F.col("seq")).alias("pattern")).distinct()
+    return materialise(_remove_files(parts, registry)).agg(F.sum("files")).first()[0] or 0
+
+
+def _resume_drafts(releases: DataFrame, registry: str, seq: int) -> None:
+    """Take up a number that an attempt of one's own has left open; the releases must be the drafted ones."""
+    spark, log = releases.sparkSession, releases_path(registry)
+    if marker_name(seq, "published") in committed_names(read_markers(spark, log)):
+        raise AlreadyCommitted(f"[BATCH_ALREADY_EXISTS] number {seq} of {registry} is closed")
+    drafted = scan_releases(spark, log).where((F.col("state") == "draft") & (F.col("seq") == seq))
+    key = ["release_id", "tag"]
+    one, two = drafted.select(*key), releases.select(*key)
+    if not (one.join(two, key, "left_anti").isEmpty() and two.join(one, key, "left_anti").isEmpty()):
+        raise ValueError(f"the drafts of number {seq} are not the releases to be staged")
+    materialise(_remove_files(two.select("tag", _parts_of(F.lit(seq)).alias("pattern")).distinct(), registry))
+
+
 def index_tags(spark: SparkSession, registry: str) -> KeyIndex:
     """Index the tags that are taken now, so that later batches are checked without reading the registry.
 
@@ -221,7 +259,12 @@ def upload_violations(
 
 
 def stage_release(
-    files: DataFrame, releases: DataFrame, registry: str, seq: int, content: str | None = None
+    files: DataFrame,
+    releases: DataFrame,
+    registry: str,
+    seq: int,
+    content: str | None = None,
+    resume: bool = False,
 ) -> DataFrame:
     """Draft the releases, copy their files, and return the observed upload listing.
 
@@ -231,8 +274,20 @@ def stage_release(
     someone has looked at it. The listing holds the sizes found after the copy; a file
     whose name or tag leads out of its folder, or whose place another file has taken,
     is not copied and has no size.
+
+    With ``resume`` a number that an interrupted attempt has left open is taken up, with the
+    same releases: what it has half copied is deleted, files that are there are kept, and a
+    listing that it finished is returned. That attempt must have ended.
     """
-    draft_release(releases, registry, seq)
+    try:
+        draft_release(releases, registry, seq)
+    except AlreadyCommitted:
+        if not resume:
+            raise
+        _resume_drafts(releases, registry, seq)
+        listed = _upload_listing(files.sparkSession, registry, seq)
+        if listed is not None:
+            return listed
     source = content if content is not None else "path"
     root, in_row = qualified(files.sparkSession, f"{registry}/files"), content is not None
     names = [column.split()[0] for column in _LISTING.split(", ")]
@@ -245,7 +300,7 @@ def stage_release(
         def put(data, tag, name, safe):
             if not safe.as_py():
                 return None
-            return copy_file(data.as_buffer() if in_row else data.as_py(), f"{root}/{tag}/{name}")
+            return copy_file(data.as_buffer() if in_row else data.as_py(), f"{root}/{tag}/{name}", str(seq))
 
         with ThreadPoolExecutor(IN_FLIGHT) as pool:
             for batch in batches:
@@ -267,12 +322,22 @@ def stage_release(
 
 def write_upload_listing(uploads: DataFrame, registry: str, seq: int) -> DataFrame:
     """Keep the observed listing for audit and go on from the stored rows."""
-    uploads.write.mode("errorifexists").parquet(f"{registry}/uploads/seq={seq}")
-    return read_upload_listings(uploads.sparkSession, registry).where(F.col("seq") == seq)
+    kept = uploads.select(*[c.split()[0] for c in _LISTING.split(", ")], F.lit(seq).cast("bigint").alias("seq"))
+    commit(kept, f"{registry}/uploads", seq, "uploads")
+    return _upload_listing(uploads.sparkSession, registry, seq)
+
+
+def _upload_listing(spark: SparkSession, registry: str, seq: int) -> DataFrame | None:
+    """The listing of one number, if it has been written in whole."""
+    log = f"{registry}/uploads"
+    if not is_committed(spark, log, marker_name(seq, "uploads")):
+        return None
+    own = [m for m in read_markers(spark, log) if m.name == marker_name(seq, "uploads")]
+    return read_log(spark, log, UPLOADS_SCHEMA, markers=own)
 
 
 def read_upload_listings(spark: SparkSession, registry: str) -> DataFrame:
-    return spark.read.schema(UPLOADS_SCHEMA).parquet(f"{registry}/uploads")
+    return read_log(spark, f"{registry}/uploads", UPLOADS_SCHEMA)
 
 
 def publish_release(releases: DataFrame, faults: DataFrame, registry: str, seq: int) -> DataFrame:
@@ -315,16 +380,24 @@ def publish_folder(
     path: str,
     registry: str,
     seq: int,
+    resume: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``(index, violations)``: validate, admit, stage, reconcile and publish a batch.
 
     ``candidates`` has ``release_id, tag, arrival``; ``path`` holds a folder per
-    release id. What fails a step goes no further and is among the violations.
+    release id. What fails a step goes no further and is among the violations. With
+    ``resume`` an interrupted run with this number is carried on.
     """
     inventory, found, judged = validate_folder(spark, contract, candidates, path)
     sound = candidates.join(judged.where("passed").select("release_id"), ["release_id"])
     sound = materialise(sound)
-    taken = materialise(taken_tags(sound, registry))
+    if resume:
+        # The drafts of this number are this batch's own.
+        index = scan_releases(spark, releases_path(registry))
+        taken = index.where(~((F.col("state") == "draft") & (F.col("seq") == seq))).select("tag")
+    else:
+        taken = taken_tags(sound, registry)
+    taken = materialise(taken)
     admitted, rejected = reject_existing(sound, taken, ["tag"], ["arrival", "release_id"])
     # Written before the drafts are, as they must not see them.
     admitted = materialise(admitted)
@@ -333,7 +406,7 @@ def publish_folder(
     lengths = file_lengths(files, ["release_id", "name"])
     files = materialise(files.join(lengths, ["release_id", "name"], "left"))
     rows = index_rows(admitted, F.lit(contract.product), F.col("arrival"))
-    uploads = stage_release(files, rows, registry, seq)
+    uploads = stage_release(files, rows, registry, seq, resume=resume)
     faults = materialise(upload_violations(files.withColumnRenamed("length", "size"), uploads))
     index = publish_release(rows, faults, registry, seq)
     return index, found.unionByName(refused).unionByName(faults)

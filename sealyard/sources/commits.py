@@ -114,8 +114,7 @@ def commit(
     name = marker_name(seq, kind) if name is None else name
     place = f"{root}/commits/{name}.json"
     taken = AlreadyCommitted(f"[BATCH_ALREADY_EXISTS] {name} of {log} is committed")
-    system, path = _system(spark, place)
-    if system.exists(path):
+    if is_committed(spark, log, name):
         raise taken
     folder = f"batches/{name}-{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").parquet(f"{root}/{folder}")
@@ -125,6 +124,12 @@ def commit(
     return found
 
 
+def is_committed(spark: SparkSession, log: str, name: str) -> bool:
+    """Whether a marker of that name is there now."""
+    system, place = _system(spark, f"{qualified(spark, log)}/commits/{name}.json")
+    return system.exists(place)
+
+
 def read_markers(spark: SparkSession, log: str) -> list[Marker]:
     """All markers. A log without any is an error, never an empty log."""
     rows = spark.read.schema(_MARKER).json(f"{qualified(spark, log)}/commits").collect()

@@ -81,17 +81,17 @@ def _same_bytes(system, one: str, other: str) -> bool:
                 return True
 
 
-def copy_file(source, target: str) -> int | None:
+def copy_file(source, target: str, owner: str = "any") -> int | None:
     """Copy a file (its path, or its bytes) to ``target`` and return the size found there.
 
-    The bytes go to a name of this attempt's own and are moved into place when
+    The bytes go to a name of this attempt's own, with its ``owner``, and are moved into place when
     complete, so a repeated or concurrent attempt never shows a partial file. A target
     that is there already stays as it is: with the same bytes it is an earlier attempt's
     and counts as copied, with others nothing is copied and there is no size.
     """
     system, place = locate(target)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    draft = f"{place}.{uuid.uuid4().hex}.part"
+    draft = f"{place}.{owner}-{uuid.uuid4().hex}.part"
     with system.open_output_stream(draft, compression=None) as sink:
         if isinstance(source, str):
             from_system, from_place = locate(source)

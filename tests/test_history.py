@@ -245,3 +245,70 @@ def test_two_compactions_at_once_lose_nothing(spark, registry):
     with ThreadPoolExecutor(2) as pool:
         assert any(pool.map(compaction, range(2)))
     assert index(spark, registry) == want
+
+
+# ---- interrupted staging
+
+
+def test_an_interrupted_batch_is_resumed_and_leaves_no_stray_file(spark, registry, tmp_path):
+    source, place = tmp_path / "source", tmp_path / "registry/files"
+    source.mkdir()
+    for name in ("a", "b"):
+        (source / name).write_bytes(name.encode() * 100)
+    files = spark.createDataFrame(
+        [(t, t, 0, n, f"file:{source}/{n}", 100) for t, n in (("v1", "a"), ("v2", "b"), ("v2", "c"))],
+        "release_id string, tag string, ord int, name string, path string, length bigint",
+    )
+    rows = rows_of(spark, ["v1", "v2"])
+    # The copy of a file that is not there yet fails, and with it the batch.
+    with pytest.raises(Exception, match="c"):
+        sy.stage_release(files, rows, registry, 1)
+    assert list(place.rglob("*.1-*.part")) and index(spark, registry) == [("v1", "draft", 1), ("v2", "draft", 1)]
+    (place / "v1").mkdir(exist_ok=True)
+    (place / "v1" / "x.2-other.part").write_text("of another publisher")
+    (source / "c").write_bytes(b"c" * 100)
+    with pytest.raises(sy.AlreadyCommitted):
+        sy.stage_release(files, rows, registry, 1)
+    with pytest.raises(ValueError, match="not the releases"):
+        sy.stage_release(files, rows_of(spark, ["v1"]), registry, 1, resume=True)
+    uploads = sy.stage_release(files, rows, registry, 1, resume=True)
+    assert {(r.tag, r.name, r.size) for r in uploads.collect()} == {("v1", "a", 100), ("v2", "b", 100), ("v2", "c", 100)}
+    assert [p.name for p in place.rglob("*.part")] == ["x.2-other.part"]
+    # Once more after the listing was written: it is taken as it is.
+    assert sy.stage_release(files, rows, registry, 1, resume=True).count() == 3
+    publish_release(rows, spark.createDataFrame([], NO_FAULTS), registry, 1)
+    with pytest.raises(sy.AlreadyCommitted):
+        sy.stage_release(files, rows, registry, 1, resume=True)
+    assert [(t, s) for t, s, _ in index(spark, registry)] == [(t, s) for t in ("v1", "v2") for s in ("draft", "published")]
+
+
+def test_parts_of_closed_numbers_are_swept(spark, registry, tmp_path):
+    published(spark, registry, 1, ["a", "b"], failed=["b"])
+    draft_release(rows_of(spark, ["c"]), registry, 2)
+    for tag, name in (("a", "x.1-dead.part"), ("b", "x.1-dead.part"), ("a", "x"), ("c", "y.2-live.part"), ("a", "z.part")):
+        (tmp_path / "registry/files" / tag).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "registry/files" / tag / name).write_text("x")
+    assert sy.sweep_parts(spark, registry) == 2
+    left = sorted(p.name for p in (tmp_path / "registry/files").rglob("*") if p.is_file())
+    assert left == ["x", "y.2-live.part", "z.part"]
+
+
+def test_a_folder_is_published_after_an_interruption(spark, registry, tmp_path, monkeypatch):
+    from builder import CONTRACT, write_release
+
+    from sealyard.plans import publish
+
+    write_release(tmp_path / "dist/a", "0.4.0")
+    candidates = spark.createDataFrame([("a", "v0.4.0", 1)], SCHEMA)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(publish, "write_upload_listing", killed)
+    with pytest.raises(KeyboardInterrupt):
+        sy.publish_folder(spark, CONTRACT, candidates, str(tmp_path / "dist"), registry, 1)
+    monkeypatch.undo()
+    assert index(spark, registry) == [("v0.4.0", "draft", 1)]
+    released, found = sy.publish_folder(spark, CONTRACT, candidates, str(tmp_path / "dist"), registry, 1, resume=True)
+    assert found.count() == 0 and index(spark, registry) == [("v0.4.0", "draft", 1), ("v0.4.0", "published", 1)]
+    assert len(list((tmp_path / "registry/files/v0.4.0").iterdir())) == 5

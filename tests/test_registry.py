@@ -66,7 +66,7 @@ def test_staged_files_are_written_by_many_tasks(spark, tmp_path):
     files = spark.createDataFrame([(f"v{i}", f"v{i}", 0, "x", bytearray(b"1" * 50)) for i in range(64)], kind).coalesce(1)
     releases = files.selectExpr("release_id", "tag", "'p' as product", "tag as title", "'stable' as channel", "1L as arrival")
     sy.stage_release(files, releases, registry, 1, content="content")
-    assert len(list((tmp_path / "registry/uploads/seq=1").glob("part-*"))) > 1
+    assert len(list((tmp_path / "registry/uploads/batches").glob("*/part-*"))) > 1
 
 
 def test_latest_is_publish_order_not_version_order(spark):
