@@ -1,9 +1,9 @@
 """Similarity join of documents: word n-gram sets with Jaccard similarity at or above a threshold.
 
-MinHash LSH forest: a text's signature is ``TREES`` sequences of ``DEPTH`` minima, each the path of the text in
-one prefix trie. Two texts are candidates when they share a prefix in any trie; prefixes start at full depth and
-are shortened until pairs at the threshold are found with the target recall. Candidates that hang together are
-verified exactly: the sets themselves are compared, in blocks of bounded size.
+MinHash in bands: a text's signature is ``TREES`` sequences of minima, and two texts are candidates when they share one
+of them. How many minima a band has follows from the threshold and the target recall by a formula, 6 at present; no
+tries are built and no prefixes are shortened from what is found, so this is not yet the forest it is meant to be.
+Candidates that hang together are verified exactly: the sets themselves are compared, in blocks of bounded size.
 
 Texts with equal sets are one class and take part once. A candidate group of any size is split into blocks, and
 each pair of blocks is one unit of work that sends back a count per class and one link per class and local
@@ -37,7 +37,7 @@ _LAST = 9223372036854775807
 
 
 def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix that finds pairs at the threshold with the recall, tried from the full depth down."""
+    """The most minima of a band that still find pairs at the threshold with the recall, by formula."""
     for length in range(depth, 1, -1):
         if 1 - (1 - threshold**length) ** trees >= recall:
             return length
@@ -45,7 +45,7 @@ def prefix_length(trees: int = TREES, depth: int = DEPTH, threshold: float = THR
 
 
 class Forest:
-    """Prefix keys of sets: for each trie a hash of its first ``length`` minima."""
+    """Keys of sets: for each of the ``trees`` bands a hash of its ``length`` minima."""
 
     def __init__(self, trees: int, length: int):
         rng = np.random.default_rng(977)
