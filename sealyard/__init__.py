@@ -67,6 +67,13 @@ from sealyard.plans.publish import (
     validate_published,
     withdraw_draft,
 )
+from sealyard.plans.rejudge import (
+    compact_results,
+    create_results,
+    judge_changed,
+    validate_changed_folders,
+    validate_changed_releases,
+)
 from sealyard.plans.validate import validate_folder, validate_releases
 from sealyard.session import clean_up, configure, materialise, shared_folder
 from sealyard.sources.archives import list_archives

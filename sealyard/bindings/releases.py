@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sealyard import (
     ReleaseContract,
+    create_results,
     list_archives as list_of,
     manifest_and_archive,
     materialise,
@@ -17,6 +18,7 @@ from sealyard import (
     resolve_latest as resolve,
     scan_releases as scan_index,
     split_fields,
+    validate_changed_releases as validate_changed,
     validate_releases as validate,
 )
 from sealyard.bindings import query, table
@@ -355,6 +357,81 @@ def validate_releases(spark, sf_dir):
     return judged.select("release_id", "passed", "rule", "message")
 
 
+# Every finding of each kind of release by the number of its fault: where, which rule, and what it says.
+_ALL_FOUND = f"""
+    SELECT d.doc_id AS release_id, k.phase, k.item_pos::BIGINT AS item_pos, k.rule_ord, k.sub_pos, k.rule,
+           replace(k.message, '{{base}}', 'pack-1.0.' || d.doc_id || CASE WHEN k.fault = 4 THEN '-' ELSE '' END
+                   || '-any-x64') AS message
+    FROM documents d JOIN (VALUES
+      (1, 1, 0, 1, 0, 'manifest_readable', 'Manifest missing or not one JSON value'),
+      (2, 1, 0, 1, 0, 'manifest_readable', 'Manifest missing or not one JSON value'),
+      (3, 1, 0, 3, 0, 'required_key', '''version'''),
+      (4, 1, 0, 3, 1, 'full_match(version)', 'Invalid version'),
+      (4, 1, 0, 4, 0, 'columns_equal(tag)', 'Tag and manifest version differ'),
+      (4, 3, 0, 12, 1, 'columns_equal(archive)', 'Unexpected archive'),
+      (4, 3, 0, 13, 0, 'asset_present', 'No such file: {{base}}.tar.gz'),
+      (4, 3, 1, 12, 1, 'columns_equal(disk_image)', 'Unexpected disk_image'),
+      (4, 3, 1, 13, 0, 'asset_present', 'No such file: {{base}}.dmg'),
+      (5, 1, 0, 4, 0, 'columns_equal(tag)', 'Tag and manifest version differ'),
+      (6, 1, 0, 5, 1, 'equals_constant(architecture)', 'Expected x64'),
+      (7, 1, 0, 5, 1, 'equals_constant(architecture)', 'Expected x64'),
+      (7, 1, 0, 10, 0, 'required_key', '''models'''),
+      (8, 1, 0, 6, 1, 'equals_constant(team_identifier)', 'Expected the signing team'),
+      (9, 1, 0, 7, 1, 'strict_true(notarized)', 'Only notarized builds may be published'),
+      (10, 1, 0, 8, 1, 'full_match(source_commit)', 'Missing source commit'),
+      (11, 1, 0, 9, 1, 'nonempty_object(server)', 'Missing server description'),
+      (12, 1, 0, 10, 0, 'required_key', '''models'''),
+      (13, 1, 0, 10, 1, 'nonempty_array(models)', 'Missing model catalog'),
+      (14, 2, 0, 11, 5, 'required_keys(models[])', 'Model missing dimensions'),
+      (15, 3, 0, 12, 1, 'columns_equal(archive)', 'Unexpected archive'),
+      (16, 3, 1, 12, 1, 'columns_equal(disk_image)', 'Unexpected disk_image'),
+      (17, 3, 1, 13, 0, 'asset_present', 'No such file: {{base}}.dmg'),
+      (18, 3, 0, 14, 0, 'sidecar_matches', 'Invalid checksum for {{base}}.tar.gz'),
+      (19, 3, 0, 14, 0, 'sidecar_matches', 'Invalid checksum for {{base}}.tar.gz'),
+      (20, 3, 0, 15, 1, 'digest_matches_manifest', 'Archive checksum differs from manifest'),
+      (21, 3, 0, 15, 0, 'required_key', '''archive_sha256'''),
+      (21, 3, 0, 15, 1, 'digest_matches_manifest', 'Archive checksum differs from manifest'),
+      (22, 4, 0, 16, 0, 'archive_readable', 'not a gzip file'),
+      (23, 5, 5, 17, 0, 'safe_path', 'Unsafe archive path'),
+      (24, 5, 5, 17, 0, 'safe_path', 'Unsafe archive path'),
+      (25, 5, 5, 18, 0, 'path_root', 'Unexpected archive root'),
+      (26, 5, 5, 19, 0, 'allowed_kind', 'Unsupported archive member'),
+      (27, 5, 5, 20, 0, 'link_allowlist', 'Unexpected symlink'),
+      (28, 6, 0, 21, 0, 'require_member(entrypoint)', '''{{base}}/run'''),
+      (29, 6, 0, 22, 0, 'member_property(entrypoint)', 'Entry point is not executable'),
+      (30, 6, 0, 22, 0, 'member_property(entrypoint)', 'Entry point is not executable'),
+      (31, 6, 0, 23, 0, 'require_member(alias)', '''{{base}}/compat'''),
+      (32, 6, 0, 23, 1, 'member_property(alias)', 'Missing client compatibility entry'),
+      (33, 6, 0, 24, 0, 'require_any_prefix(resources)', 'Missing resources')
+    ) AS k(fault, phase, item_pos, rule_ord, sub_pos, rule, message) ON k.fault = {_FAULT_NUMBER}
+"""
+
+
+@query(_ALL_FOUND)
+def release_violations(spark, sf_dir):
+    """All violations of all releases."""
+    return validate(CONTRACT, *document_releases(spark, sf_dir))[0]
+
+
+@query(f"""
+    SELECT v.*, d.lang IS NOT DISTINCT FROM 'fr' AS judged
+    FROM ({_VERDICTS}) v JOIN documents d ON d.doc_id = v.release_id
+""")
+def validate_changed_releases(spark, sf_dir):
+    """The second of two runs that keep results: tags of one language were others in the first."""
+    candidates, *tables = document_releases(spark, sf_dir)
+    log = fresh_folder(spark, "results")
+    create_results(candidates, log)
+    french = table(spark, sf_dir, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("release_id"), F.lit(True).alias("other"))
+    before = candidates.join(french, "release_id", "left").select(
+        "release_id", F.when(F.col("other"), F.concat("tag", F.lit("+"))).otherwise(F.col("tag")).alias("tag")
+    )
+    validate_changed(CONTRACT, before, *tables, log, 1)
+    _, verdicts, judged = validate_changed(CONTRACT, candidates, *tables, log, 2)
+    again = verdicts.join(judged.withColumn("judged", F.lit(True)), "release_id", "left")
+    return again.select("release_id", "passed", "rule", "message", F.coalesce("judged", F.lit(False)).alias("judged"))
+
+
 @query(f"""
     SELECT d.doc_id AS release_id, k.ord, k.kind,
            CASE k.ord WHEN 0 THEN 'release.json'

@@ -110,6 +110,12 @@ def _length_of(path: str) -> int | None:
     return info.size if info.is_file else None
 
 
+def _state_of(path: str) -> str | None:
+    system, place = locate(path)
+    info = system.get_file_info(place)
+    return f"{info.size}:{info.mtime_ns}" if info.is_file else None
+
+
 def read_texts(files: DataFrame, key: Sequence[str], files_per_task: int = 1000) -> DataFrame:
     """``key, raw``: the text at each ``path``, NULL where there is none in UTF-8."""
     return _per_file(files, key, _text_of, "raw string", files_per_task)
@@ -118,3 +124,8 @@ def read_texts(files: DataFrame, key: Sequence[str], files_per_task: int = 1000)
 def file_lengths(files: DataFrame, key: Sequence[str], files_per_task: int = 5000) -> DataFrame:
     """``key, length``: bytes of the file at each ``path``, NULL where there is none."""
     return _per_file(files, key, _length_of, "length bigint", files_per_task)
+
+
+def file_states(files: DataFrame, key: Sequence[str], files_per_task: int = 5000) -> DataFrame:
+    """``key, state``: length and time of the last change of the file at each ``path``, NULL where there is none."""
+    return _per_file(files, key, _state_of, "state string", files_per_task)
