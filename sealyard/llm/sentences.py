@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans: repeated runs of sentences stay where they come first.
 
 A text is cut into sentences that together are the text again. Every run of neighbouring sentences, ``SPAN`` of
-them or as many more as it takes to have ``LEAST_WORDS`` words, is hashed to 128 bits, the hashes are joined over
-all documents, and each sentence that a non-first occurrence of a repeated run covers is removed. First is the
+them or as many more as it takes to have ``LEAST_WORDS`` words, is hashed to 128 bits, equal hashes of all documents
+are brought together, and each sentence that a non-first occurrence of a repeated run covers is removed. First is the
 smallest (doc_id, position).
 
 With ``passage``, as in the query, two more kinds of runs count. Fewer than ``SPAN`` sentences count from ``passage``
@@ -22,10 +22,10 @@ import hashlib
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealyard.llm.common import add_columns, in_batches, table
@@ -42,6 +42,8 @@ _LAST = 9223372036854775807
 #: Words whose runs are hashed at a time, and bits of a place among them.
 _CHUNK, _PLACE = 1 << 20, np.uint64(24)
 _ODD = 0x9E3779B97F4A7C15
+#: Runs found this often in one text of so many are dealt out over so many groups; at most so many runs are.
+_OFTEN, _ONE_IN, _SALTS, _COMMON = 32, 64, 64, 4096
 
 
 def sentences_of(text: str | None) -> list[str]:
@@ -137,14 +139,20 @@ class WordRuns:
             yield start, -self.size, hashlib.blake2b(run, digest_size=16, person=b"words").digest()
 
 
-def runs(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
-    """``doc, text_key, pos, size, h1, h2``: every run of every text; a negative size counts words."""
+def runs(
+    df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, passage: int | None = None, common: Sequence[tuple[int, int]] = ()
+) -> DataFrame:
+    """``doc, text_key, pos, size, h1, h2, salt``: every run of every text; a negative size counts words.
+
+    ``salt`` is 0 but for the runs in ``common``, which it deals out by their text.
+    """
+    common = frozenset(common)
 
     def find(batches):
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        names = ["doc", "text_key", "pos", "size", "h1", "h2"]
+        names = ["doc", "text_key", "pos", "size", "h1", "h2", "salt"]
         word_runs = WordRuns(passage) if passage else None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -162,22 +170,47 @@ def runs(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, passag
                 if rows:
                     halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=names)
+                    salts = np.zeros(len(rows), np.int32)
+                    if common:
+                        keys = np.fromiter((r[1] for r in rows), np.int64, len(rows))
+                        often = np.fromiter(map(common.__contains__, zip(*halves.T.tolist(), strict=True)), bool, len(rows))
+                        salts[often] = 1 + keys[often] % _SALTS
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(salts)], names=names)
 
     keyed = df.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
-    return in_batches(keyed, find, "doc bigint, text_key bigint, pos int, size int, h1 bigint, h2 bigint")
+    return in_batches(keyed, find, "doc bigint, text_key bigint, pos int, size int, h1 bigint, h2 bigint, salt int")
+
+
+def common_runs(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, passage: int | None = None) -> list[tuple[int, int]]:
+    """Runs that one text in ``_ONE_IN`` has often, at most ``_COMMON`` of them: what is worth dealing out.
+
+    They decide where rows go and nothing else; a common run that is not among them is one group of the window.
+    """
+    some = df.where(F.pmod(F.xxhash64(F.lit("common"), "doc_id", "text"), F.lit(_ONE_IN)) == 0)
+    counts = runs(some, span, least_words, passage).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    return [(r.h1, r.h2) for r in counts.where(F.col("n") >= _OFTEN).orderBy(F.desc("n"), "h1", "h2").limit(_COMMON).collect()]
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """``doc, text_key, removed``: positions and sizes of non-first runs, per document."""
-    firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1").drop("n")
-    # Only what is repeated is written; three branches read it.
-    hits = materialise(found.join(firsts, ["h1", "h2"]))
-    # Within the first document the smallest position is the first occurrence.
-    own = hits.where("doc = first").groupBy("h1", "h2", "doc").agg(F.min("pos").alias("at"))
-    again = hits.where("doc = first").join(own, ["h1", "h2", "doc"]).where("pos > at and pos >= at - size")
+    """``doc, text_key, removed``: positions and sizes of non-first runs, per document.
+
+    Runs meet in one shuffle, in which each group is in order, the first one first. Groups of common runs are dealt
+    out; their rows all go on, and meet the first of all parts in a second step, whose sums combine before it.
+    """
+    group = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
+
+    def is_later(first, at):
+        own = (F.col("doc") == first) & (F.col("pos") > at) & (F.col("pos") >= at - F.col("size"))
+        return (F.col("doc") > first) | own
+
+    ordered = found.withColumns({"first": F.first("doc").over(group), "at": F.first("pos").over(group)})
+    hits = materialise(ordered.where((F.col("salt") > 0) | is_later(F.col("first"), F.col("at"))))
     columns = ["doc", "text_key", "pos", "size"]
-    later = hits.where("doc > first").select(*columns).unionByName(again.select(*columns))
+    dealt = hits.where("salt > 0")
+    firsts = dealt.groupBy("h1", "h2").agg(F.min(F.struct("first", "at")).alias("least"))
+    # Not more than _COMMON rows.
+    again = dealt.join(F.broadcast(firsts), ["h1", "h2"]).where(is_later(F.col("least.first"), F.col("least.at")))
+    later = hits.where("salt = 0").select(*columns).unionByName(again.select(*columns))
     return later.groupBy("doc", "text_key").agg(F.collect_set(F.struct("pos", "size")).alias("removed"))
 
 
@@ -208,7 +241,8 @@ def without_runs(text: str | None, removed: list[tuple[int, int]]) -> tuple[str
 
 def remove_repeated_spans(df: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, passage: int | None = None) -> DataFrame:
     """``df`` with ``text`` freed of repeated runs, and ``n_sentences``, ``n_removed``, ``removed_words``."""
-    found = repeated(runs(df, span, least_words, passage)).toDF("_doc", "_key", "_removed")
+    common = common_runs(df, span, least_words, passage)
+    found = repeated(runs(df, span, least_words, passage, common)).toDF("_doc", "_key", "_removed")
     keyed = df.withColumns({"_doc": F.coalesce("doc_id", F.lit(_LAST)), "_key": F.xxhash64("text")})
     marked = keyed.join(found, ["_doc", "_key"], "left")
 

@@ -253,6 +253,51 @@ def test_long_passages_of_few_sentences(spark):
     assert 25 <= len(found[8].text.split()) < 100
 
 
+def without_repeats(rows, passage):
+    """The texts left, by a table of where each run is first, and a search through it."""
+    chooser, runs_of, first = sentences.WordRuns(passage), [], {}
+    for doc, text in rows:
+        parts = sentences.sentences_of(text)
+        words = sentences.lengths_of(parts)
+        found = [*sentences.runs_of(parts, words=words), *sentences.short_runs_of(parts, words, passage), *chooser.of(text)]
+        runs_of.append(found)
+        for start, _, digest in found:
+            place = (_LAST if doc is None else doc, start)
+            first[digest] = min(first.get(digest, place), place)
+    texts = []
+    gone = {}
+    for (doc, text), found in zip(rows, runs_of, strict=True):
+        place = _LAST if doc is None else doc
+        for start, size, digest in found:
+            at = first[digest]
+            if at[0] < place or (at[0] == place and at[1] < start and at[1] <= start + min(size, 0)):
+                gone.setdefault((place, text), set()).add((start, size))
+    for doc, text in rows:
+        removed = gone.get((_LAST if doc is None else doc, text), ())
+        texts.append((doc, sentences.without_runs(text, sorted(removed))[0]))
+    return cases.by_id(texts)
+
+
+@pytest.mark.parametrize("often", [None, 2, 5])
+def test_passages_against_brute_force(spark, often, monkeypatch):
+    if often:
+        monkeypatch.setattr(sentences, "_ONE_IN", 1)
+        monkeypatch.setattr(sentences, "_OFTEN", often)
+    rnd = random.Random(8)
+    shared = [cases.words(500 + i, 45) for i in range(4)] + [cases.sentences(520 + i, 5) for i in range(4)] + [cases.words(530, 9) + "."] * 2
+    rows = [(d, t) for d, t, *_ in cases.documents()]
+    for i in range(60):
+        parts = [cases.words(600 + i, 20) + ". "] + [rnd.choice(shared) + rnd.choice([" ", ". ", "\n"]) for _ in range(rnd.randint(0, 4))]
+        rnd.shuffle(parts)
+        rows.append((rnd.choice([i + 100, i + 100, -i - 100, None, 120]), "".join(parts)))
+    rows += [(HUGE, shared[0]), (-HUGE, shared[1])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    # With "often" everything that is repeated so often is dealt out.
+    assert bool(sentences.common_runs(df, passage=25)) == bool(often)
+    found = sentences.remove_repeated_spans(df, passage=25).select("doc_id", "text").collect()
+    assert cases.by_id(map(tuple, found)) == without_repeats(rows, 25)
+
+
 def test_word_runs_are_shared_and_leave_no_gaps(monkeypatch):
     rng = np.random.default_rng(12)
     chooser = sentences.WordRuns(25)
