@@ -17,15 +17,16 @@ import dataclasses
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealyard.llm.common import add_columns, crc_of, in_batches, table
 
 #: Hash bits of the feature space.
 BITS = 14
-#: Labelled rows the classifier is fitted on, at most. Document frequencies come from all training rows.
-SAMPLE = 2000
+#: Labelled rows of each language that the classifier is fitted on, at most. Document frequencies come from all
+#: training rows.
+SAMPLE = 500
 #: Score below which the pipeline does not trust a language.
 LEAST_SCORE = 0.4
 UNKNOWN = "und"
@@ -113,8 +114,9 @@ def is_training(key: Column) -> Column:
 def fit_language(df: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of ``doc_id``, ``text``, ``lang``, from training documents with a language.
 
-    Document frequencies cover all of them, summed over tasks. The classifier sees at most ``sample`` rows, those
-    with the smallest hash of the id; only their features, bounded by the hash space, reach the driver.
+    Document frequencies cover all of them, summed over tasks. The classifier sees at most ``sample`` rows of each
+    language, whatever its share, those with the smallest hash of id and text, equal rows once; only their features,
+    bounded by the hash space, reach the driver.
     """
     known = df.select("doc_id", "text", "lang").where(
         is_training(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull()
@@ -141,7 +143,14 @@ def fit_language(df: DataFrame, sample: int = SAMPLE) -> Model:
     present[list(found)] = list(found.values())
     idf = np.log((1.0 + rows) / (1.0 + present)) + 1.0
 
-    ids = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # A language's rows below a bound of the hash are a few more than wanted, so none is sorted as a whole.
+    marked = known.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    wanted = F.lit(float(2 * sample + 64)) / F.approx_count_distinct("_hash", 0.02)
+    low = F.lit(float(-(2**63)))
+    bounds = marked.groupBy("lang").agg((low + F.least(wanted, F.lit(1.0)) * F.lit(2.0**64)).alias("_bound"))
+    few = marked.join(bounds, "lang").where(F.col("_hash") <= F.col("_bound"))
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    chosen = few.dropDuplicates(["lang", "doc_id", "_hash"]).withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= sample)
 
     def sparse():
         def compute(texts):
@@ -151,7 +160,6 @@ def fit_language(df: DataFrame, sample: int = SAMPLE) -> Model:
 
         return compute
 
-    chosen = known.join(F.broadcast(ids), "doc_id", "left_semi")
     picked = add_columns(chosen, ["text"], "at binary, n binary", sparse).select("doc_id", "lang", "at", "n").collect()
     picked.sort(key=lambda r: (hash_order(r.doc_id), r.lang, bytes(r.at)))
     languages = sorted({r.lang for r in picked})

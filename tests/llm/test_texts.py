@@ -143,6 +143,73 @@ def test_regularised_leader_zeroes_weights():
     assert (w[10:1000] == 0).mean() > 0.9 and w[0, 0] > 0 > w[0, 1] and w[1, 1] > 0
 
 
+def test_every_language_is_learned_from_bounded_rows(spark, monkeypatch):
+    import random
+    import zlib
+
+    rnd = random.Random(4)
+
+    def text(letters):
+        return " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(30))
+
+    def learned(ids):
+        return [i for i in ids if zlib.crc32(str(i).encode()) % 4 != 2]
+
+    often = [(i, text("abcdef"), "aa") for i in learned(range(8000))]
+    again = [(1, text("ghijkl"), "bb") for _ in range(3000)] + [(1, "ggg hhh", "bb")] * 500
+    rare = [(i, text("uvwxyz"), "zz") for i in learned(range(9000, 9002))]
+    assert learned([1]) and rare
+    df = spark.createDataFrame(often + again + rare, "doc_id bigint, text string, lang string")
+    fitted = []
+    train = language.train
+    monkeypatch.setattr(language, "train", lambda rows, classes: fitted.append(rows) or train(rows, classes))
+    model = language.fit_language(df, sample=2)
+    assert model.languages == ["aa", "bb", "zz"]
+    assert sorted(label for *_, label in fitted[-1]) == [0, 0, 1, 1] + [2] * len(rare)
+    model = language.fit_language(df, sample=100)
+    assert [sum(label == i for *_, label in fitted[-1]) for i in range(3)] == [100, 100, len(rare)]
+    asked = spark.createDataFrame([(i, text(letters)) for i, letters in enumerate(["abcdef", "ghijkl", "uvwxyz"])], "doc_id bigint, text string")
+    assert [r.lang_pred for r in language.predict_language(asked, model).orderBy("doc_id").collect()] == model.languages
+
+
+def test_training_and_temperature_against_plain_loops():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(50, 6, replace=False)), rng.random(6), int(rng.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.7, 1.2, 0.1, 0.3
+    bias_at = 1 << language.BITS
+    z, n = {}, {}
+
+    def weight(i, c):
+        total = z.get((i, c), 0.0)
+        if abs(total) <= l1:
+            return 0.0
+        return -(total - (l1 if total > 0 else -l1)) / ((beta + n.get((i, c), 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for at, x, label in rows:
+            pairs = [*zip(at.tolist(), x.tolist(), strict=True), (bias_at, 1.0)]
+            logits = [sum(v * weight(i, c) for i, v in pairs) for c in range(3)]
+            total = sum(np.exp(v) for v in logits)
+            errors = [np.exp(v) / total - (c == label) for c, v in enumerate(logits)]
+            old = {(i, c): weight(i, c) for i, _ in pairs for c in range(3)}
+            for i, v in pairs:
+                for c in range(3):
+                    g, before = v * errors[c], n.get((i, c), 0.0)
+                    sigma = ((before + g * g) ** 0.5 - before**0.5) / alpha
+                    z[i, c] = z.get((i, c), 0.0) + g - sigma * old[i, c]
+                    n[i, c] = before + g * g
+    w, bias = language.train(rows, 3, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(w[:50], [[weight(i, c) for c in range(3)] for i in range(50)], atol=1e-5)
+    assert np.allclose(bias, [weight(bias_at, c) for c in range(3)])
+    logits, labels = rng.standard_normal((60, 3)) * 4, rng.integers(0, 3, 60)
+
+    def loss(t):
+        return -np.mean([logits[i, labels[i]] / t - np.log(np.exp(logits[i] / t).sum()) for i in range(60)])
+
+    found = language.calibrate(logits, labels)
+    assert all(loss(found) <= loss(t) + 1e-9 for t in np.exp(np.linspace(np.log(0.02), np.log(10.0), 120)) if t > 0.1)
+
+
 # Byte pairs
 
 
