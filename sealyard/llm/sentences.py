@@ -195,7 +195,8 @@ def repeated(found: DataFrame) -> DataFrame:
     """``doc, text_key, removed``: positions and sizes of non-first runs, per document.
 
     Runs meet in one shuffle, in which each group is in order, the first one first. Groups of common runs are dealt
-    out; their rows all go on, and meet the first of all parts in a second step, whose sums combine before it.
+    out, a document's to one part. What comes later within a part does so among all; only a part's first ones go on,
+    a document's runs for each part, and meet the first of all parts.
     """
     group = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
 
@@ -204,13 +205,13 @@ def repeated(found: DataFrame) -> DataFrame:
         return (F.col("doc") > first) | own
 
     ordered = found.withColumns({"first": F.first("doc").over(group), "at": F.first("pos").over(group)})
-    hits = materialise(ordered.where((F.col("salt") > 0) | is_later(F.col("first"), F.col("at"))))
+    hits = materialise(ordered.withColumn("later", is_later(F.col("first"), F.col("at"))).where("later OR salt > 0"))
     columns = ["doc", "text_key", "pos", "size"]
-    dealt = hits.where("salt > 0")
-    firsts = dealt.groupBy("h1", "h2").agg(F.min(F.struct("first", "at")).alias("least"))
+    open_ones = hits.where("NOT later")
+    firsts = open_ones.groupBy("h1", "h2").agg(F.min(F.struct("first", "at")).alias("least"))
     # Not more than _COMMON rows.
-    again = dealt.join(F.broadcast(firsts), ["h1", "h2"]).where(is_later(F.col("least.first"), F.col("least.at")))
-    later = hits.where("salt = 0").select(*columns).unionByName(again.select(*columns))
+    again = open_ones.join(F.broadcast(firsts), ["h1", "h2"]).where(is_later(F.col("least.first"), F.col("least.at")))
+    later = hits.where("later").select(*columns).unionByName(again.select(*columns))
     return later.groupBy("doc", "text_key").agg(F.collect_set(F.struct("pos", "size")).alias("removed"))
 
 
