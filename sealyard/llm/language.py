@@ -148,7 +148,8 @@ def fit_language(df: DataFrame, sample: int = SAMPLE) -> Model:
     wanted = F.lit(float(2 * sample + 64)) / F.approx_count_distinct("_hash", 0.02)
     low = F.lit(float(-(2**63)))
     bounds = marked.groupBy("lang").agg((low + F.least(wanted, F.lit(1.0)) * F.lit(2.0**64)).alias("_bound"))
-    few = marked.join(bounds, "lang").where(F.col("_hash") <= F.col("_bound"))
+    # A row a language: what the model has a column of weights for.
+    few = marked.join(F.broadcast(bounds), "lang").where(F.col("_hash") <= F.col("_bound"))
     order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
     chosen = few.dropDuplicates(["lang", "doc_id", "_hash"]).withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= sample)
 
