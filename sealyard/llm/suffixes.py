@@ -134,7 +134,7 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     words = _words(symbols)
     direct = np.flatnonzero(smaller)
     # Sorted by some symbols at a time; only suffixes that are still alike are sorted further.
-    direct = direct[np.argsort(words[direct], kind="stable")]
+    direct = direct[np.argsort(words[direct])]
     key = words[direct]
     alike = np.append(False, key[1:] == key[:-1])
     for step in range(_PACK, depth + _PACK, _PACK):
@@ -146,9 +146,15 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         rows = direct[open_]
         at = rows + step
         key = np.where(at < n, words[np.minimum(at, n - 1)], np.uint64(0))
-        order = np.lexsort((key, group))
-        direct[open_] = rows[order]
-        key, group = key[order], group[order]
+        # Most groups are copies, whose next symbols are the same throughout and need no sorting.
+        differ = np.flatnonzero((group[1:] == group[:-1]) & (key[1:] != key[:-1]))
+        if len(differ):
+            mixed = np.zeros(int(group[-1]) + 1, bool)
+            mixed[group[differ]] = True
+            some = np.flatnonzero(mixed[group])
+            order = some[np.lexsort((key[some], group[some]))]
+            rows[some], key[some] = rows[order], key[order]
+            direct[open_] = rows
         alike = np.zeros(len(direct), bool)
         alike[open_[1:]] = (group[1:] == group[:-1]) & (key[1:] == key[:-1])
     first = s[direct]
@@ -180,17 +186,27 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """How many symbols each suffix of ``order`` shares with the one before, up to ``most``."""
     n = len(symbols)
+    words = np.append(_words(symbols), np.uint64(0))
     shared = np.zeros(len(order), np.int64)
     open_ = np.arange(1, len(order))
-    for step in range(most):
-        one, two = order[open_] + step, order[open_ - 1] + step
-        inside = (one < n) & (two < n)
-        open_, one, two = open_[inside], one[inside], two[inside]
-        open_ = open_[symbols[one] == symbols[two]]
-        shared[open_] = step + 1
+    one, two = order[1:], order[:-1]
+    for step in range(0, most, _PACK):
+        differ = words[np.minimum(one + step, n)] ^ words[np.minimum(two + step, n)]
+        ended = np.flatnonzero(differ)
+        # Symbols of the first words that differ; the first of them is in the highest bits.
+        at, bits = open_[ended], differ[ended]
+        for i in range(1, _PACK):
+            shared[at] += bits >> np.uint64(9 * (_PACK - i)) == 0
+        going = np.flatnonzero(differ == 0)
+        open_, one, two = open_[going], one[going], two[going]
+        shared[open_] += _PACK
         if not len(open_):
             break
-    return shared
+    # What follows the end was taken for zeros.
+    if len(order):
+        left = n - order
+        shared[1:] = np.minimum(shared[1:], np.minimum(left[1:], left[:-1]))
+    return np.minimum(shared, most)
 
 
 def earliest(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
