@@ -8,10 +8,10 @@ their successors are sorted directly, the rest follows from them by scans over f
 prefixes of neighbours then tell which strings are equal and which document has them first.
 
 Hashes that a sample of the documents has twice or more need no look-up, and the up to ``FREQUENT`` most frequent
-are dealt out by document as well. If a hash may have more than ``HOT`` bytes of segments, they are not one task's
-work: the strings are compared one by one by a 128-bit hash, with minima combined before the shuffle. Equal texts are
-one text; all but the smallest doc_id of them lose everything (from ``LENGTH`` bytes on). Strings are judged on the
-input, not on what is left.
+are dealt out by document as well. If a hash may have more than ``HOT`` bytes of segments, counted over all documents,
+they are not one task's work: the strings are compared one by one by a 128-bit hash, with minima combined before the
+shuffle. Equal texts are one text; all but the smallest doc_id of them lose everything (from ``LENGTH`` bytes on).
+Strings are judged on the input, not on what is left.
 
 NULL text is empty. Texts shorter than ``LENGTH`` bytes are kept. Rows that share a doc_id are one document, so
 they take nothing from one another. A NULL doc_id comes after all others. What is kept need not be UTF-8. Other
@@ -269,11 +269,13 @@ _ROW = np.uint64(0xD1B54A32D192ED03)
 
 
 def _hashes(texts: DataFrame, length: int, gram: int, frequent: np.ndarray) -> DataFrame:
-    """``h, doc, salt`` of all segments of ``doc, data``.
+    """``h, doc, salt`` of all segments of ``doc, data``: a row per ``length`` - ``gram`` + 1 strings of a segment.
 
-    ``salt`` is 0, or a number from 1 on that spreads the rows of a hash among the sorted ``frequent``, which
-    several documents are known to have.
+    Only text that repeats itself has segments of more strings, so no row stands for more than
+    ``_row_bytes`` bytes. ``salt`` is 0, or a number from 1 on that spreads the rows of a hash among the sorted
+    ``frequent``, which several documents are known to have.
     """
+    width = length - gram + 1
 
     def run(batches):
         import pyarrow as pa
@@ -282,7 +284,9 @@ def _hashes(texts: DataFrame, length: int, gram: int, frequent: np.ndarray) -> D
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = _binary(batch.column(1))
-            for h, row, _, _ in minima.segments(data, offsets):
+            for h, row, _, strings in minima.segments(data, offsets):
+                if (strings > width).any():
+                    h, row = np.repeat(h, -(-strings // width)), np.repeat(row, -(-strings // width))
                 known = np.isin(h, frequent)
                 doc = docs[row]
                 salt = np.where(known, (doc & 1023) + 1, 0).astype(np.int32)
@@ -291,19 +295,26 @@ def _hashes(texts: DataFrame, length: int, gram: int, frequent: np.ndarray) -> D
     return in_batches(texts.select("doc", "data"), run, "h bigint, doc bigint, salt int")
 
 
-def _frequent(texts: DataFrame, length: int, gram: int, share: int = SAMPLE, most: int = FREQUENT) -> dict[int, int]:
-    """Hashes that several documents of a sample have, at most ``most``, with their counts there."""
+def _row_bytes(length: int, gram: int) -> int:
+    """Bytes of a segment of as many strings as one row of ``_hashes`` stands for."""
+    return 2 * length - gram
+
+
+def _frequent(texts: DataFrame, length: int, gram: int, share: int = SAMPLE, most: int = FREQUENT) -> list[int]:
+    """Hashes that several documents of a sample have, at most ``most``."""
     some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0)
     counts = _hashes(some, length, gram, np.empty(0, np.int64)).groupBy("h").agg(
         F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")
     )
-    rows = counts.where("low < high").orderBy(F.desc("n"), "h").limit(most).select("h", "n").collect()
-    return {r.h: r.n for r in rows}
+    rows = counts.where("low < high").orderBy(F.desc("n"), "h").limit(most).select("h").collect()
+    return [r.h for r in rows]
 
 
 def _cut(found: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame:
-    """``h, hot, doc, key, place, segment``: the segments of ``_doc, _key, _data`` whose hash is in ``wanted``."""
-    at = {name: found.columns.index(name) for name in ("_doc", "_key", "_data", "wanted")}
+    """``h, hot, doc, key, place, segment``: the segments of ``_doc, _key, _data`` whose hash is in ``wanted``.
+
+    Hot hashes are those of ``hot`` and of the documents' lists ``heavy``."""
+    at = {name: found.columns.index(name) for name in ("_doc", "_key", "_data", "wanted", "heavy")}
 
     def run(batches):
         import pyarrow as pa
@@ -314,6 +325,7 @@ def _cut(found: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame
             data, offsets = _binary(batch.column(at["_data"]))
             lists = batch.column(at["wanted"])
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            apart = np.union1d(hot, batch.column(at["heavy"]).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
             with np.errstate(over="ignore"):
                 # One number for hash and row; another segment taken along by chance does no harm.
                 rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) * _ROW
@@ -327,7 +339,7 @@ def _cut(found: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame
                         begin = offsets[r] + place[some]
                         taken = data[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
                         segment = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(taken)])
-                        columns = [pa.array(h[some]), pa.array(np.isin(h[some], hot)), pa.array(docs[r]), pa.array(keys[r]), pa.array(place[some].astype(np.int32)), segment]
+                        columns = [pa.array(h[some]), pa.array(np.isin(h[some], apart)), pa.array(docs[r]), pa.array(keys[r]), pa.array(place[some].astype(np.int32)), segment]
                         yield pa.RecordBatch.from_arrays(columns, names=["h", "hot", "doc", "key", "place", "segment"])
 
     return in_batches(found, run, "h bigint, hot boolean, doc bigint, key bigint, place int, segment binary")
@@ -371,27 +383,38 @@ def _sorted_groups(segments: DataFrame, length: int) -> DataFrame:
 
 
 def _one_by_one(segments: DataFrame, length: int) -> DataFrame:
-    """The same stretches for hashes of very many segments: strings are rows, minima combine before the shuffle."""
+    """The same stretches for hashes of very many segments: strings are rows, minima combine before the shuffle.
+
+    Places of one string in a segment that overlap or touch are one row, so text that repeats itself has few.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for doc, key, place, segment in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                digests = [np.frombuffer(hashlib.blake2b(segment[i : i + length], digest_size=16).digest(), np.int64) for i in range(len(segment) - length + 1)]
-                columns = [
-                    pa.array([int(d[0]) for d in digests], pa.int64()), pa.array([int(d[1]) for d in digests], pa.int64()),
-                    pa.array([doc] * len(digests), pa.int64()), pa.array([key] * len(digests), pa.int64()),
-                    pa.array(range(place, place + len(digests)), pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["w1", "w2", "doc", "key", "start"])
-
-    strings = in_batches(segments.select("doc", "key", "place", "segment"), run, "w1 bigint, w2 bigint, doc bigint, key bigint, start bigint")
+                stretches: dict[bytes, list[list[int]]] = {}
+                for i in range(len(segment) - length + 1):
+                    parts = stretches.setdefault(hashlib.blake2b(segment[i : i + length], digest_size=16).digest(), [])
+                    if parts and i <= parts[-1][1]:
+                        parts[-1][1] = i + length
+                    else:
+                        parts.append([i, i + length])
+                digests = np.frombuffer(b"".join(d * len(p) for d, p in stretches.items()), np.int64).reshape(-1, 2)
+                spans = place + np.array([p for parts in stretches.values() for p in parts], np.int64).reshape(-1, 2)
+                columns = [*digests.T, np.full(len(spans), doc), np.full(len(spans), key), *spans.T]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(c), pa.int64()) for c in columns], names=["w1", "w2", "doc", "key", "start", "stop"]
+                )
+
+    strings = in_batches(
+        segments.select("doc", "key", "place", "segment"), run, "w1 bigint, w2 bigint, doc bigint, key bigint, start bigint, stop bigint"
+    )
     firsts = strings.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     return (
         strings.join(firsts.select("w1", "w2", "first"), ["w1", "w2"])
         .where("doc > first")
-        .select("doc", "key", "start", (F.col("start") + length).alias("stop"))
+        .select("doc", "key", "start", "stop")
     )
 
 
@@ -412,19 +435,29 @@ def remove_copied(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     rows = df.withColumns(own).withColumn("_key", F.xxhash64("_data"))
     texts = rows.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col("_data").alias("data"))
     frequent = _frequent(texts, length, gram)
-    very = np.array([h for h, n in frequent.items() if n * SAMPLE * length > hot], np.int64)
+    most = hot // _row_bytes(length, gram)
     # Moved once, for the smallest and largest document of each hash and for the documents that share it.
     # (The joins would ask for rows without NULL on one side only, and so for two shuffles.)
     hashes = _hashes(texts, length, gram, np.array(sorted(frequent), np.int64))
     hashes = hashes.where("h is not null and doc is not null and salt is not null").repartition("h", "salt")
     shared = (
         hashes.groupBy("h", "salt")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
         .where("salt > 0 or low < high")
-        .select("h", "salt")
+        .select("h", "salt", "n")
+    )
+    # Of a hash that is dealt out, the rows are counted once all is together; any other one is counted by now.
+    wanted = hashes.join(shared.hint("shuffle_hash"), ["h", "salt"]).groupBy("doc").agg(
+        F.collect_list("h").alias("wanted"),
+        F.collect_list(F.when(F.col("salt") > 0, F.col("h"))).alias("dealt"),
+        F.collect_set(F.when((F.col("salt") == 0) & (F.col("n") > most), F.col("h"))).alias("heavy"),
     )
-    wanted = hashes.join(shared.hint("shuffle_hash"), ["h", "salt"]).groupBy("doc").agg(F.collect_list("h").alias("wanted"))
     wanted = materialise(wanted)
+    # At most FREQUENT of them.
+    counts = wanted.select(F.explode("dealt").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    very = np.array([r.h for r in counts.where(F.col("n") > most).collect()], np.int64)
+    heavy = len(very) > 0 or not wanted.where(F.size("heavy") > 0).isEmpty()
+    wanted = wanted.drop("dealt")
     later = materialise(_later_copies(texts.select("doc", "key", F.xxhash64(F.lit(1), "data").alias("key2"))))
     # The hashes have done their work; their shuffle files go when the driver's garbage is collected, and by now
     # nothing in the driver still looks at the query that made them.
@@ -436,7 +469,7 @@ def remove_copied(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     needed = needed.where(~F.coalesce(F.array_contains("copies", F.col("_key")), F.lit(False)))
     cut = _cut(needed, length, gram, very)
     found = _sorted_groups(cut.where("not hot"), length)
-    if len(very):
+    if heavy:
         found = found.unionByName(_one_by_one(cut.where("hot"), length))
     stretches = found.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "stop")).alias("_stretches"))
 

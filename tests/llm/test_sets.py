@@ -190,6 +190,27 @@ def test_suffix_dedup_of_passages(spark, hot, monkeypatch):
     assert cleaned(cases.frame(spark, rows, clashing=False), hot=hot) == removed(rows)
 
 
+def test_hot_hashes_are_known_by_their_bytes(spark, monkeypatch):
+    """Long texts of one character are a hash of few rows and many bytes, whether the sample has seen it or not."""
+    taken = []
+    one_by_one = suffixes._one_by_one
+
+    def watched(segments, length):
+        taken.append({r.doc for r in segments.select("doc").distinct().collect()})
+        return one_by_one(segments, length)
+
+    monkeypatch.setattr(suffixes, "_one_by_one", watched)
+    rows = [(i, cases.words(i, 60), None, None, 1) for i in range(20)]
+    rows += [(31, "x" * 30_000 + " end", None, None, 1), (30, "y" + "x" * 20_000, None, None, 1), (32, "ab" * 9000, None, None, 1)]
+    rows += [(33, "ab" * 400, None, None, 1), (34, "q " + "x" * 70, None, None, 1)]
+    df = cases.frame(spark, rows, clashing=False)
+    for share in (1 << 30, 1):
+        monkeypatch.setattr(suffixes._frequent, "__defaults__", (share, 1 << 16))
+        assert cleaned(df, hot=100_000) == removed(rows)
+    # A row is taken for 76 bytes: the 1,855 rows of one letter are too many for a task, the 694 of two are not.
+    assert taken == [{30, 31, 34}] * 2
+
+
 def test_segments_do_not_depend_on_chunks(monkeypatch):
     data = np.frombuffer((cases.words(8, 3000) + "q" * 9000).encode(), np.uint8)
     offsets = np.array([0, 100, 120, 7000, len(data)])
