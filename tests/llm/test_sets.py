@@ -480,6 +480,87 @@ def test_every_id_is_scored_once():
         assert sorted(target.tolist()) == sorted([*range(2, n + 2), *range(n + 3, n + 6)])
 
 
+def _small_model():
+    """A model that has learned some words, among them ones that other words begin with; and how often each is there."""
+    from collections import Counter
+
+    import public_tokenizers
+    from sealyard.llm.bytepairs import load_ranks
+
+    path = public_tokenizers.path(scoring.VOCABULARY)
+    subwords, ranks = scoring.Subwords(path), load_ranks(path)
+    names = [token for token, _ in sorted(ranks.items(), key=lambda r: r[1])]
+    rnd = random.Random(4)
+    known = [b"a", b"an", b"anker", b"ankers", b"the", b"then", b"thenxyzzy", b"qqq", b"qqqq", "caf\u00e9s".encode(), "\u732b\u732b".encode(), b"sun", b"sunlit"]
+    texts = [[rnd.choice(known) for _ in range(rnd.randint(0, 60))] for _ in range(150)]
+    counts = np.zeros(len(names), np.int64)
+    for words in texts:
+        np.add.at(counts, subwords.of(words)[0], 1)
+    vocabulary = scoring.Vocabulary(counts, names)
+    model = scoring.Attention(vocabulary.total, vocabulary.per_class, unused=vocabulary.unused)
+    model.train(40 * [scoring.sequence(subwords.of(words)[0], vocabulary) for words in texts])
+    tokens = Counter(w for words in texts for w in [*words, b""])
+    return model, vocabulary, subwords, texts, tokens
+
+
+def test_words_and_the_end_share_at_most_one():
+    """After any words, the probabilities of all known words and of the end, mixed and not, do not exceed one."""
+    model, vocabulary, subwords, texts, tokens = _small_model()
+    words = [w for w in tokens if w]
+    near = []
+    for before in [[], *(t[:n] for t in texts[:6] for n in (1, 2, 9, 30))]:
+        found = [*([*before, w] for w in words), before]
+        ids = [subwords.of(t) for t in found]
+        unknown = [np.full(len(t) + 1, np.nan) for t in found]
+        logs = scoring.score_texts(model, vocabulary, ids, unknown)[1]
+        # Of the last text, the end; of the others, the word after those before.
+        alone = 10 ** np.array([log[len(before)] for log in logs])
+        assert alone.sum() < 1 + 1e-4
+        shares = np.array([tokens[w] for w in [*words, b""]]) / tokens.total()
+        assert (alone * (1 - scoring.MIX) + shares * scoring.MIX).sum() < 1 + 1e-4
+        near.append(alone.sum())
+    assert np.mean(near) > 0.9  # most of it, as the model has seen nothing else
+
+
+def test_scores_are_those_of_a_plain_forward_pass():
+    """The score of a text, place by place in plain loops."""
+    model, vocabulary, subwords, texts, tokens = _small_model()
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def at_place(numbers, place):
+        """Probabilities of all numbers after ``numbers[: place + 1]``."""
+        begin = place // scoring.HALF * scoring.HALF - scoring.HALF
+        h = [p["embed"][numbers[i] if i >= 0 else 0] + p["place"][i - begin] for i in range(begin, place + 1)]
+        query = h[-1] @ p["query"] / scoring.WIDTH**0.5
+        weights = softmax(np.array([query @ (x @ p["key"]) for x in h]))
+        state = h[-1] + sum(w * (x @ p["value"]) for w, x in zip(weights, h, strict=True)) @ p["out"]
+        classes = softmax(state @ p["classes"] + p["class_bias"])
+        inside = [softmax(state @ p["within"][c] + p["within_bias"][c]) for c in range(scoring.CLASSES)]
+        return np.concatenate([c * i for c, i in zip(classes, inside, strict=True)]), classes[: vocabulary.heads].sum()
+
+    for words in [[], [b"the"], texts[3], [b"unheard", "\u00fcber".encode(), *texts[5], *texts[6]], [b"x" * 70, b"a"]]:
+        public, sizes = subwords.of(words)
+        numbers = scoring.sequence(public, vocabulary)
+        places = [at_place(numbers, i) for i in range(len(numbers) - 1)]
+        total, at = 0.0, 0
+        for word, size in [*zip(words, sizes.tolist(), strict=True), (b"", 1)]:
+            share = 1 / places[at][1]
+            for i in range(at, at + size):
+                share *= places[i][0][numbers[i + 1]] * (10.0 ** vocabulary.rest_log[public[i]] if word else 1.0)
+            at += size
+            if word:
+                share *= places[at][1]
+            total += np.log10((1 - scoring.MIX) * share + scoring.MIX * tokens[word] / tokens.total())
+        with np.errstate(divide="ignore"):
+            own = np.log10(np.array([tokens[w] for w in [*words, b""]]) / tokens.total())
+        got, waiting = scoring.score_texts(model, vocabulary, [(public, sizes)], [own])
+        assert got[0] == pytest.approx(total, rel=1e-4, abs=1e-4) and not len(waiting[0])
+
+
 def test_model_beats_word_frequencies_on_held_out(spark):
     rows = scoring.op3_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert len(rows) > 50 and sum(r.score for r in rows) > 0.98 * sum(r.base_score for r in rows)
