@@ -33,7 +33,7 @@ from sealyard.plans.publish import (
     write_upload_listing as keep_listing,
 )
 from sealyard.plans.validate import manifest_facts, release_inventory
-from sealyard.session import configure, fresh_folder
+from sealyard.session import bound_batches, configure, fresh_folder
 from sealyard.sources.archives import digests_of, members_of, read_bytes_once
 
 CONTRACT = ReleaseContract(
@@ -132,6 +132,7 @@ def pack(text: str, base: str, fault: str | None) -> bytes:
 
 def packed_documents(documents, base, fault):
     """``doc_id, base, fault, content``: an archive per document, built in Arrow batches."""
+    bound_batches(documents.sparkSession)
 
     def build(batches):
         import pyarrow as pa

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealyard.functions.predicates import DIRECTORY, FILE, SYMLINK
+from sealyard.session import bound_batches
 from sealyard.sources.streams import HashingReader, locate
 
 LISTING = (
@@ -73,6 +74,7 @@ def read_bytes_once(
     from being listed; the other rows are its members. Bytes come from the column
     ``content`` or else from the file ``path``, in chunks and never whole.
     """
+    bound_batches(files.sparkSession)
     archive = archives if isinstance(archives, Column) else F.lit(archives)
     source = content if content is not None else "path"
     wanted = files.select(*key, F.col(source).alias("_source"), archive.alias("_archive"))

@@ -188,6 +188,23 @@ def test_list_archives_tells_of_damage(spark):
     assert members[1] == 301 and 0 < members[2] < 301 and members[3] == 0
 
 
+def test_batches_with_contents_are_bounded_by_bytes(spark):
+    from sealyard.session import BATCH_BYTES
+
+    rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 300_000).cast("binary").alias("c"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    digests = digests_of(read_bytes_once(rows, ["k"], False, "c"), ["k"]).collect()
+    assert {(d.sha256, d.length) for d in digests} == {(hashlib.sha256(b"x" * 300_000).hexdigest(), 300_000)} and len(digests) == 40
+    found = rows.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+    assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < BATCH_BYTES + 400_000
+
+
 def test_copy_file_never_replaces(tmp_path):
     target = f"file://{tmp_path}/t"
     assert copy_file(b"one", target) == 3 and copy_file(b"one", target) == 3
