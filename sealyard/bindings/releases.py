@@ -316,7 +316,8 @@ def document_releases(spark, sf_dir):
         content_digest(F.col("text")).alias("sha256"),
         number.alias("number"),
     )
-    images = images.select("release_id", image.alias("name"), "sha256", "number")
+    # Kept, as assets and sidecars are read by several branches and texts are long.
+    images = materialise(images.select("release_id", image.alias("name"), "sha256", "number"))
     missing_image = [i + 1 for i, f in enumerate(FAULTS) if f[0] == "no_image"]
     present = images.where(~F.col("number").isin(*missing_image)).drop("number")
     assets = archives.drop("length").unionByName(

@@ -56,15 +56,18 @@ def rules_fingerprint(contract: ReleaseContract) -> str:
 def release_fingerprints(contract: ReleaseContract, candidates: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
     """``release_id, fingerprint`` of each candidate, from its rows in all tables, in any order.
 
-    Each row has a SHA-256; a release has the sums of its rows' digests, by 32 bits, which combine before the shuffle,
-    so a release with millions of members is one row a task. NULL is a value like others.
+    Each row has a SHA-256, spread over four numbers by hashes with different seeds; a release has the sums of its rows'
+    numbers, by 32 bits, which combine before the shuffle, so a release with millions of members is one row a task.
+    NULL is a value like others.
     """
     rows = None
     for i, df in enumerate([candidates.select("release_id", "tag"), *tables]):
         told = F.to_json(F.struct(F.lit(i).alias("_table"), *sorted(df.columns)), {"ignoreNullFields": "false"})
         part = df.select("release_id", F.sha2(told, 256).alias("digest"))
         rows = part if rows is None else rows.unionByName(part)
-    sums = [F.sum(F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("bigint")) for i in range(8)]
+    numbers = [F.xxhash64(F.lit(i), "digest") for i in range(4)]
+    halves = [half for n in numbers for half in (n.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(n, 32))]
+    sums = [F.sum(half) for half in halves]
     total = rows.groupBy("release_id").agg(F.count("*").alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(sums)])
     whole = F.concat_ws(":", F.lit(rules_fingerprint(contract)), "n", *[f"s{i}" for i in range(8)])
     found = total.select("release_id", F.sha2(whole, 256).alias("fingerprint"))

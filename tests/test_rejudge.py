@@ -109,3 +109,17 @@ def test_fingerprints_see_every_value_and_no_order(spark):
     assert prints(some, tag="v2")[1] != one[1]
     assert prints(some, contract=replace(CONTRACT, alias="other"))[2] != one[2]
     assert len({prints([(1, "a", i)])[1] for i in range(5)}) == 5
+
+
+def test_texts_are_hashed_once_for_all_branches(spark, sf_dir):
+    from sealyard.bindings.releases import document_releases
+
+    for df in document_releases(spark, sf_dir):
+        assert not any("documents.parquet" in name for name in df.inputFiles())
+
+
+def test_fingerprints_convert_no_digits(spark):
+    candidates = spark.createDataFrame([(1, "v1")], "release_id bigint, tag string")
+    prints = rejudge.release_fingerprints(CONTRACT, candidates, [candidates])
+    assert "conv(" not in prints._jdf.queryExecution().toString()
+    assert [len(r.fingerprint) for r in prints.collect()] == [64]
