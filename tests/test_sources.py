@@ -205,6 +205,24 @@ def test_batches_with_contents_are_bounded_by_bytes(spark):
     assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < BATCH_BYTES + 400_000
 
 
+def test_archives_of_releases_are_built_from_bounded_batches(spark):
+    from sealyard.bindings.releases import packed_documents
+    from sealyard.session import BATCH_BYTES
+
+    own = spark.newSession()  # whose limits no other query has set
+    documents = own.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 300_000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    assert packed_documents(documents, F.lit("b"), F.lit(None).cast("string")).count() == 40
+    found = documents.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+    assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < BATCH_BYTES + 400_000
+
+
 def test_copy_file_never_replaces(tmp_path):
     target = f"file://{tmp_path}/t"
     assert copy_file(b"one", target) == 3 and copy_file(b"one", target) == 3
