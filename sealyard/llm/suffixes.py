@@ -40,7 +40,8 @@ HOT = 1 << 24
 #: Bytes that a task sorts at a time, besides the last group's.
 BUFFER = 1 << 20
 _RUN = 4096
-_CHUNK = 1 << 20
+#: Strings that are hashed at a time; their numbers fit a core's cache.
+_CHUNK = 1 << 17
 _LAST = 9223372036854775807
 
 
@@ -88,20 +89,48 @@ class Minima:
                     continue
                 values = self.of(part)
                 starts = offsets[first : last + 1].astype(np.int64) - at
-                row = np.searchsorted(starts, np.arange(len(values)), side="right") - 1
-                valid = np.arange(len(values)) + self.length <= starts[row + 1]
-                new = valid.copy()
-                new[1:] &= ~valid[:-1] | (values[1:] != values[:-1]) | (row[1:] != row[:-1])
+                # Strings lie in one text: a 1 where a text's strings begin, a -1 after its last; short texts have none.
+                low, high = np.clip(starts[:-1], 0, None), np.clip(starts[1:] - self.length + 1, None, len(values))
+                some = low < high
+                step = np.zeros(len(values) + 1, np.int8)
+                step[low[some]] += 1
+                step[high[some]] -= 1
+                valid = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+                new = np.empty(len(values), bool)
+                np.not_equal(values[1:], values[:-1], out=new[1:])
+                new[low[some]] = True
+                new &= valid
                 end_of = valid.copy()
                 end_of[:-1] &= ~valid[1:] | new[1:]
                 a, b = np.flatnonzero(new), np.flatnonzero(end_of)
                 if (b - a >= _RUN).any():
                     pieces = [(i, min(i + _RUN - 1, int(y))) for x, y in zip(a, b, strict=True) for i in range(int(x), int(y) + 1, _RUN)]
                     a, b = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-                yield values[a].view(np.int64), first + row[a], a - starts[row[a]], b - a + 1
+                row = np.searchsorted(starts, a, side="right") - 1
+                yield values[a].view(np.int64), first + row, a - starts[row], b - a + 1
             first = last
 
 
+class _Among:
+    """Which numbers are among some; most that are not are told by their low bits, without a search."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.ordered = np.unique(numbers.view(np.uint64))
+        self.low = np.uint64((1 << 20) - 1)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.ordered & self.low] = True
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        values = values.view(np.uint64)
+        found = self.marks[values & self.low]
+        some = np.flatnonzero(found)
+        if len(some):
+            asked = values[some]
+            at = np.searchsorted(self.ordered, asked)
+            found[some] = self.ordered[np.minimum(at, len(self.ordered) - 1)] == asked
+        return found
+
+
 #: Symbols that fit into one number; a symbol has nine bits.
 _PACK = 7
 
@@ -117,7 +146,7 @@ def _words(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, depth: int = LENGTH, words: np.ndarray | None = None) -> np.ndarray:
     """Suffixes in order, as far as their first ``depth`` symbols tell; symbols are 0 to 256.
 
     Two stages: suffixes smaller than their successor are sorted by comparing symbols; every other suffix follows
@@ -131,7 +160,7 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     change = np.flatnonzero(np.append(s[1:] != s[:-1], True))
     next_change = change[np.searchsorted(change, np.arange(n))]
     smaller = (next_change < n - 1) & (s[np.minimum(next_change + 1, n - 1)] > s[next_change])
-    words = _words(symbols)
+    words = _words(symbols) if words is None else words
     direct = np.flatnonzero(smaller)
     # Sorted by some symbols at a time; only suffixes that are still alike are sorted further.
     direct = direct[np.argsort(words[direct])]
@@ -183,10 +212,10 @@ def suffix_array(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
+def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int = LENGTH, words: np.ndarray | None = None) -> np.ndarray:
     """How many symbols each suffix of ``order`` shares with the one before, up to ``most``."""
     n = len(symbols)
-    words = np.append(_words(symbols), np.uint64(0))
+    words = np.append(_words(symbols) if words is None else words, np.uint64(0))
     shared = np.zeros(len(order), np.int64)
     open_ = np.arange(1, len(order))
     one, two = order[1:], order[:-1]
@@ -217,14 +246,15 @@ def earliest(segments: list[bytes], docs: np.ndarray, length: int = LENGTH) -> t
     # Segments are closed by a symbol of their own, 0, below all bytes.
     symbols = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     symbols[ends - 1] = 0
-    order = suffix_array(symbols, length)
+    words = _words(symbols)
+    order = suffix_array(symbols, length, words)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     order = order[order + length < ends[owner[order]]]  # whole strings only
     strings = np.maximum(sizes - length + 1, 0)
     begins = np.cumsum(strings) - strings
     found = np.empty(len(order), np.int64)
     if len(order):
-        starts = np.flatnonzero(common_prefixes(symbols, order, length) < length)
+        starts = np.flatnonzero(common_prefixes(symbols, order, length, words) < length)
         doc = np.repeat(np.minimum.reduceat(docs[owner[order]], starts), np.diff(np.append(starts, len(order))))
         at = owner[order]
         found[begins[at] + order - (ends[at] - sizes[at] - 1)] = doc
@@ -280,14 +310,14 @@ def _hashes(texts: DataFrame, length: int, gram: int, frequent: np.ndarray) -> D
     def run(batches):
         import pyarrow as pa
 
-        minima = Minima(length, gram)
+        minima, often = Minima(length, gram), _Among(frequent)
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = _binary(batch.column(1))
             for h, row, _, strings in minima.segments(data, offsets):
                 if (strings > width).any():
                     h, row = np.repeat(h, -(-strings // width)), np.repeat(row, -(-strings // width))
-                known = np.isin(h, frequent)
+                known = often.of(h)
                 doc = docs[row]
                 salt = np.where(known, (doc & 1023) + 1, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(salt)], names=["h", "doc", "salt"])
@@ -329,9 +359,9 @@ def _cut(found: DataFrame, length: int, gram: int, hot: np.ndarray) -> DataFrame
             with np.errstate(over="ignore"):
                 # One number for hash and row; another segment taken along by chance does no harm.
                 rows = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) * _ROW
-                wanted = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ rows)
+                wanted = _Among(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ rows)
                 for h, row, place, strings in minima.segments(data, offsets):
-                    mine = np.flatnonzero(np.isin(h.view(np.uint64) ^ (row.astype(np.uint64) * _ROW), wanted))
+                    mine = np.flatnonzero(wanted.of(h.view(np.uint64) ^ (row.astype(np.uint64) * _ROW)))
                     for first in range(0, len(mine), 4096):
                         some = mine[first : first + 4096]
                         r, size = row[some], strings[some] + length - 1

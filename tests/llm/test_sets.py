@@ -129,6 +129,19 @@ def test_prefixes_are_as_long_as_recall_allows():
 # Suffix arrays
 
 
+def test_look_ups_and_bounds_of_segments_are_exact():
+    rng = np.random.default_rng(2)
+    numbers = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    asked = np.concatenate([numbers[::3], rng.integers(-(1 << 63), (1 << 63) - 1, 50_000), numbers[:50] ^ (1 << 40)])
+    assert (suffixes._Among(numbers).of(asked) == np.isin(asked, numbers)).all()
+    assert not suffixes._Among(numbers[:0]).of(asked).any()
+    texts = [b"", b"a" * 49, b"a" * 50, b"", b"ab" * 40, b"x" * 49, bytes(range(120)), b""]
+    offsets = np.cumsum([0, *map(len, texts)])
+    found = suffixes.Minima().segments(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    strings = sorted((int(r), int(p) + i) for part in found for _, r, p, n in zip(*part, strict=True) for i in range(n))
+    assert strings == [(r, i) for r, t in enumerate(texts) for i in range(len(t) - 49)]
+
+
 def test_suffix_array_is_sorted():
     rnd = random.Random(1)
     for _ in range(200):
