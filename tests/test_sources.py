@@ -189,7 +189,6 @@ def test_list_archives_tells_of_damage(spark):
 
 
 def test_batches_with_contents_are_bounded_by_bytes(spark):
-    from sealyard.session import BATCH_BYTES
 
     rows = spark.range(0, 40, 1, 1).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 300_000).cast("binary").alias("c"))
 
@@ -202,12 +201,11 @@ def test_batches_with_contents_are_bounded_by_bytes(spark):
     digests = digests_of(read_bytes_once(rows, ["k"], False, "c"), ["k"]).collect()
     assert {(d.sha256, d.length) for d in digests} == {(hashlib.sha256(b"x" * 300_000).hexdigest(), 300_000)} and len(digests) == 40
     found = rows.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
-    assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < BATCH_BYTES + 400_000
+    assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < (1 << 20) + 400_000
 
 
 def test_archives_of_releases_are_built_from_bounded_batches(spark):
     from sealyard.bindings.releases import packed_documents
-    from sealyard.session import BATCH_BYTES
 
     own = spark.newSession()  # whose limits no other query has set
     documents = own.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 300_000).alias("text"))
@@ -220,7 +218,7 @@ def test_archives_of_releases_are_built_from_bounded_batches(spark):
 
     assert packed_documents(documents, F.lit("b"), F.lit(None).cast("string")).count() == 40
     found = documents.mapInArrow(sizes, "rows bigint, bytes bigint").collect()
-    assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < BATCH_BYTES + 400_000
+    assert sum(r.rows for r in found) == 40 and max(r.bytes for r in found) < (1 << 20) + 400_000
 
 
 def test_copy_file_never_replaces(tmp_path):
