@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -483,6 +484,52 @@ def test_gradients_by_differences():
         assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=2e-2), name
 
 
+def test_training_is_plain_adam_on_each_parameter():
+    rng = np.random.default_rng(4)
+    text = rng.integers(1, 300, scoring.HALF * scoring._STEP * 2 + 1).astype(np.int32)
+    model, plain = _model(), _model()
+    assert model.train([text], rate=0.02, seed=9) == 2 * scoring._STEP
+    at, first = scoring.windows(np.array([len(text) - 1]))
+    order = np.random.default_rng(9).permutation(len(at))
+    m, s = ({k: 0.0 for k in plain.p} for _ in range(2))
+    for step, rows in enumerate(np.split(order, 2), 1):
+        lengths = np.full(len(rows), len(text) - 1)
+        g = plain.gradients(*scoring.batch_of(text, np.zeros(len(rows), int), lengths, first[rows])[:3])
+        for k, v in plain.p.items():
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            now = 0.02 * step / 20 * (1 - 0.9 * step / 2)
+            v -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
+    for k, v in plain.p.items():
+        assert model.p[k].shape == v.shape and np.allclose(model.p[k], v, atol=2e-5), k
+
+
+def test_a_step_has_few_calls_for_each_class(monkeypatch):
+    """Class by class there are only products: one forward and two back, and no other work on a few rows at a time."""
+    seen = Counter()
+
+    class Counting:
+        def __getattr__(self, name):
+            found = getattr(np, name)
+            if isinstance(found, type) or not callable(found):
+                return found
+
+            def call(*args, **kwargs):
+                seen[name] += 1
+                return found(*args, **kwargs)
+
+            call.reduceat = getattr(found, "reduceat", None)
+            return call
+
+    model = _model()
+    rng = np.random.default_rng(3)
+    flat = rng.integers(1, 300, 2000).astype(np.int32)
+    at, first = scoring.windows(np.array([1999]))
+    batch = scoring.batch_of(flat, np.zeros(len(at), int), np.full(len(at), 1999), first)[:3]
+    monkeypatch.setattr(scoring, "np", Counting())
+    model.gradients(*batch)
+    assert seen.pop("dot", 0) <= 3 * scoring.CLASSES and sum(seen.values()) < 2 * scoring.CLASSES
+
+
 def test_every_id_is_scored_once():
     for n in (1, 2, 15, 16, 17, 32, 33, 100):
         text, first = scoring.windows(np.array([n, 3]))
