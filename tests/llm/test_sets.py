@@ -484,6 +484,26 @@ def test_gradients_by_differences():
         assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=2e-2), name
 
 
+def test_scores_and_gradients_of_any_size_of_logits():
+    """Softmax does not change if all logits are larger or smaller by the same, however much that is."""
+    rng = np.random.default_rng(6)
+    flat = rng.integers(1, 300, 500).astype(np.int32)
+    at, first = scoring.windows(np.array([499]))
+    batch = scoring.batch_of(flat, np.zeros(len(at), int), np.full(len(at), 499), first)[:3]
+    plain = _model()
+    logs, g = plain.log10(*batch), plain.gradients(*batch)
+    for shift in (-300.0, 300.0):
+        model = _model()
+        model.p["class_bias"] += np.float32(shift)
+        model.p["within_bias"][::2] += np.float32(shift)
+        assert model.log10(*batch) == pytest.approx(logs, abs=1e-3)
+        for k, v in model.gradients(*batch).items():
+            assert np.allclose(v, g[k], atol=1e-4), k
+    sharp = _model()
+    sharp.p["query"] *= 1e4
+    assert np.isfinite(sharp.log10(*batch)).all() and all(np.isfinite(v).all() for v in sharp.gradients(*batch).values())
+
+
 def test_training_is_plain_adam_on_each_parameter():
     rng = np.random.default_rng(4)
     text = rng.integers(1, 300, scoring.HALF * scoring._STEP * 2 + 1).astype(np.int32)
