@@ -550,6 +550,41 @@ def test_a_step_has_few_calls_for_each_class(monkeypatch):
     assert seen.pop("dot", 0) <= 3 * scoring.CLASSES and sum(seen.values()) < 2 * scoring.CLASSES
 
 
+def test_sums_of_rows_by_their_numbers():
+    rng = np.random.default_rng(7)
+    for kind in (np.float32, np.float64):
+        rows, at = rng.standard_normal((5, 8, 6)).astype(kind), rng.integers(0, 9, (5, 8))
+        at[at == 4] = 3
+        found = scoring.sums(rows, at, 9)
+        assert found.dtype == kind and found.shape == (9, 6) and not found[4].any()
+        assert np.allclose(found, [rows[at == i].sum(0) for i in range(9)], atol=1e-5)
+
+
+def test_no_product_goes_over_all_places_of_the_windows():
+    """What is linear in the row of an id is multiplied once for each different id of a step."""
+    sizes = []
+
+    class Seen(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, out=None, **kwargs):
+            if ufunc is np.matmul and max(np.ndim(i) for i in inputs) == 2:
+                sizes.append(max(n for i in inputs for n in np.shape(i)))
+            plain = [np.asarray(i) if isinstance(i, Seen) else i for i in inputs]
+            if out:
+                kwargs["out"] = tuple(np.asarray(o) if isinstance(o, Seen) else o for o in out)
+            found = getattr(ufunc, method)(*plain, **kwargs)
+            return out[0] if out else found.view(Seen) if isinstance(found, np.ndarray) else found
+
+    model = _model()
+    flat = np.random.default_rng(5).integers(1, 300, 2000).astype(np.int32)
+    at, first = scoring.windows(np.array([1999]))
+    batch = scoring.batch_of(flat, np.zeros(len(at), int), np.full(len(at), 1999), first)[:3]
+    expected = model.gradients(*batch)
+    model.p = {k: v.view(Seen) for k, v in model.p.items()}
+    for k, v in model.gradients(*batch).items():
+        assert np.allclose(np.asarray(v), expected[k], atol=1e-6), k
+    assert len(sizes) > 5 and max(sizes) < batch[0].size
+
+
 def test_every_id_is_scored_once():
     for n in (1, 2, 15, 16, 17, 32, 33, 100):
         text, first = scoring.windows(np.array([n, 3]))
